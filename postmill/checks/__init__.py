@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("scalar_queries",)
+_MODULES = ("scalar_queries", "table_queries")
 
 
 def _load():

@@ -24,6 +24,8 @@ DUCK = {
     "days": "date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE))",
     "table": "{name}",
 }
+# Tables that drive row-heavy work.
+SPREAD = ("orders", "documents", "pages")
 BASE_TABLES = ("orders", "part", "supplier", "nation", "documents")
 
 
@@ -184,8 +186,15 @@ def searches_sql(dialect: dict[str, str]) -> str:
     """
 
 
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table; one that arrives in fewer parts than there are cores is spread."""
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in SPREAD and df.rdd.getNumPartitions() < cores else df
+
+
 def tables(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in names}
+    return {name: table(spark, folder, name) for name in names}
 
 
 def _with_tags(df: DataFrame) -> DataFrame:

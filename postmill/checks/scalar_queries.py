@@ -81,14 +81,15 @@ _DEEP = f"WITH pages_raw AS ({derived.details_sql(derived.DUCK)}), {duck.deep_ct
 
 @query("deep_experience", f"{_DEEP} SELECT k, x_exp AS experience_raw, CAST(x_max AS BIGINT) AS years FROM deep")
 def deep_experience(spark, sf):
-    found = derived.details(spark, sf).select("k", experience.deep_experience(F.col("text")).alias("d"))
-    return found.select("k", F.col("d.experience_raw").alias("experience_raw"), F.col("d.max_experience").alias("years"))
+    found = experience.with_deep_fields(derived.details(spark, sf), "text")
+    return found.select("k", F.col("d_experience.experience_raw").alias("experience_raw"), F.col("d_experience.max_experience").alias("years"))
 
 
 @query("deep_salary", f"{_DEEP} SELECT k, x_sal AS salary_raw, nullif(lo, 0) AS salary_min, nullif(hi, 0) AS salary_max FROM deep")
 def deep_salary(spark, sf):
-    found = derived.details(spark, sf).select("k", experience.deep_fields(F.col("text")).alias("d"))
-    return found.select("k", *[F.col(f"d.{c}").alias(c) for c in ("salary_raw", "salary_min", "salary_max")])
+    found = experience.with_deep_fields(derived.details(spark, sf), "text")
+    lo, hi = (F.nullif(F.col(f"d_bounds.{c}"), F.lit(0)) for c in ("lo", "hi"))
+    return found.select("k", F.col("d_salary_raw").alias("salary_raw"), lo.alias("salary_min"), hi.alias("salary_max"))
 
 
 _scalar("norm_title", f"{duck.collapse('title')} AS title", title=lambda: text.norm_title(F.col("title")))
@@ -164,7 +165,7 @@ _scalar("resolve_url", f"{RESOLVE.format(u='link')} AS joined, CASE WHEN link =
 
 # ---------------------------------------------------------------- searches
 
-_SEARCH = f"""WITH raw AS ({derived.searches_sql(derived.DUCK)}),
+SEARCH_CTES = f"""raw AS ({derived.searches_sql(derived.DUCK)}),
   q AS (SELECT search_id, {duck.collapse('text')} AS q FROM raw),
   h AS (SELECT search_id, q, regexp_extract(q, '(?i)^(.*?)\\b(?:in|at|across)\\b(.*)$', 1) AS a, regexp_extract(q, '(?i)^(.*?)\\b(?:in|at|across)\\b(.*)$', 2) AS b, regexp_matches(q, '(?i)\\b(?:in|at|across)\\b') AS split FROM q),
   p AS (SELECT search_id, trim({duck.collapse(chr(10) + "regexp_replace(CASE WHEN split THEN a ELSE q END, '(?i)\\b(?:find|search|looking\\s+for|jobs?|roles?|openings?)\\b', ' ', 'g')")}, ' ,.-') AS role,
@@ -172,6 +173,7 @@ _SEARCH = f"""WITH raw AS ({derived.searches_sql(derived.DUCK)}),
   s AS (SELECT search_id, role, list_transform(places, lambda x: {duck.alias('x')}) AS dup FROM p),
   parsed AS (SELECT search_id, role, list_filter(dup, lambda x, i: list_position(dup, x) = i) AS locations FROM s)
 """
+_SEARCH = f"WITH {SEARCH_CTES}"
 
 
 def _parsed(spark, sf):

@@ -7,7 +7,9 @@ that cannot match any of them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.salary import salary_bounds
@@ -30,31 +32,34 @@ BADGE_RULES = {
 BADGE_ENTRY = r"\b(freshers?|entry[\s\-]level|intern(?:ship)?|trainee|no\s+(?:prior\s+)?exp(?:erience)?)\b"
 
 TEXT_ENTRY = r"\b(freshers?(?:\s+can\s+apply)?|entry[\s\-]level|no\s+(?:prior\s+)?experience\s+required)\b"
+# Rules as (pattern, groups, parts of which the text must hold one).
 TEXT_RULES = (
-    (rf"(\d+){_DASH}(\d+)\s*{_YEARS}", 2),
-    (rf"(\d+)\s*\+\s*{_YEARS}", 1),
-    (rf"{_AT_LEAST}(\d+)\s*(?:\+)?\s*{_YEARS}\b", 1),
-    (rf"{_EXP_LABEL}(\d+){_DASH}(\d+)\s*{_YEARS}", 2),
-    (rf"{_EXP_LABEL}(\d+)\s*(?:\+)?\s*{_YEARS}", 1),
-    (rf"(\d+)\s*{_YEARS}\s+(?:of\s+)?experience", 1),
+    (rf"(\d+){_DASH}(\d+)\s*{_YEARS}", 2, ("-", "–", "to")),
+    (rf"(\d+)\s*\+\s*{_YEARS}", 1, ("+",)),
+    (rf"{_AT_LEAST}(\d+)\s*(?:\+)?\s*{_YEARS}\b", 1, ("min", "least")),
+    (rf"{_EXP_LABEL}(\d+){_DASH}(\d+)\s*{_YEARS}", 2, ("exp",)),
+    (rf"{_EXP_LABEL}(\d+)\s*(?:\+)?\s*{_YEARS}", 1, ("exp",)),
+    (rf"(\d+)\s*{_YEARS}\s+(?:of\s+)?experience", 1, ("experience",)),
 )
 
 DEEP_RULES = (
-    (rf"(\d+){_DASH}(\d+)\s*(?:\+\s*)?{_YEARS}(?:\s+of)?\s*(?:experience|exp)?", 2),
-    (rf"(\d+)\s*\+\s*{_YEARS}(?:\s+of)?\s*(?:experience|exp)?", 1),
-    (rf"\b(?:min(?:imum)?\.?(?:\s+of)?|at\s+least)\s*(\d+)\s*(?:\+)?\s*{_YEARS}\b", 1),
-    (rf"{_DEEP_LABEL}(\d+){_DASH}(\d+)\s*{_YEARS}", 2),
-    (rf"{_DEEP_LABEL}(\d+)\s*(?:\+)?\s*{_YEARS}", 1),
-    (rf"(\d+)\s*{_YEARS}\s+(?:of\s+)?(?:experience|exp)\b", 1),
-    (rf"\b(\d+)\s*[-–]\s*(\d+)\s*{_YEARS}\b", 2),
+    (rf"(\d+){_DASH}(\d+)\s*(?:\+\s*)?{_YEARS}(?:\s+of)?\s*(?:experience|exp)?", 2, ("-", "–", "to")),
+    (rf"(\d+)\s*\+\s*{_YEARS}(?:\s+of)?\s*(?:experience|exp)?", 1, ("+",)),
+    (rf"\b(?:min(?:imum)?\.?(?:\s+of)?|at\s+least)\s*(\d+)\s*(?:\+)?\s*{_YEARS}\b", 1, ("min", "least")),
+    (rf"{_DEEP_LABEL}(\d+){_DASH}(\d+)\s*{_YEARS}", 2, ("exp",)),
+    (rf"{_DEEP_LABEL}(\d+)\s*(?:\+)?\s*{_YEARS}", 1, ("exp",)),
+    (rf"(\d+)\s*{_YEARS}\s+(?:of\s+)?(?:experience|exp)\b", 1, ("exp",)),
+    (rf"\b(\d+)\s*[-–]\s*(\d+)\s*{_YEARS}\b", 2, ("-", "–")),
 )
 DEEP_ENTRY = (
     r"\b(freshers?\s+(?:only|can\s+apply|welcome)|entry[\s\-]level|"
     r"no\s+(?:prior\s+)?experience\s+(?:required|needed)|"
     r"0\s+(?:yrs?|years?)\s+(?:of\s+)?experience)\b"
 )
+ENTRY_PARTS = ("fresher", "entry", "experience")
 SNIPPET_CONTEXT = 5
 
+DEEP_SALARY_LABELS = ("salary", "ctc", "compensation", "package", "pay")
 _PAY = r"(?:lpa|lakh|lac|k|l|cr|crore|pa|per\s+annum)?"
 DEEP_SALARY_RULES = (
     r"(?:salary|ctc|compensation|package|pay)\s*[:\-]?\s*([₹$€£]?\s*[\d,.]+\s*" + _PAY
@@ -76,8 +81,13 @@ BADGE_EXPERIENCE = (
 )
 
 
-def _mentions_years(text: Column) -> Column:
-    return text.contains("yr") | text.contains("year")
+def _mentions(text: Column, parts: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(p) for p in parts])
+
+
+def _states_years(text: Column) -> Column:
+    """Every years rule needs a number right before ``yr`` or ``year``."""
+    return _mentions(text, ("yr", "year")) & text.rlike(r"(?U)\d\s*\+?\s*(?:yr|year)")
 
 
 def max_experience(experience_raw: Column, description: Column) -> Column:
@@ -99,8 +109,11 @@ def max_experience(experience_raw: Column, description: Column) -> Column:
     )
     text = F.lower(description)
     from_text = F.coalesce(
-        F.when(text.rlike("(?U)" + TEXT_ENTRY), zero),
-        F.when(_mentions_years(text), F.coalesce(*[capture_max(text, *r) for r in TEXT_RULES])),
+        F.when(_mentions(text, ENTRY_PARTS) & text.rlike("(?U)" + TEXT_ENTRY), zero),
+        F.when(
+            _states_years(text),
+            F.coalesce(*[F.when(_mentions(text, needs), capture_max(text, p, n)) for p, n, needs in TEXT_RULES]),
+        ),
     )
     return F.when(blank_null(badge).isNotNull(), from_badge).otherwise(from_text)
 
@@ -118,8 +131,8 @@ def _deep_match(text: Column, pattern: str, groups: int) -> Column:
     return F.split(shaped, SEP)
 
 
-def deep_experience(full_text: Column) -> Column:
-    """``struct(experience_raw, max_experience)`` from a whole posting text."""
+def deep_experience(full_text: Column, low: Column) -> Column:
+    """``struct(experience_raw, max_experience)`` from a posting text and its lower case."""
 
     def rule(pattern: str, groups: int) -> Column:
         matched = F.filter(F.array(_deep_match(full_text, pattern, groups)), lambda p: F.size(p) > 1)
@@ -136,33 +149,44 @@ def deep_experience(full_text: Column) -> Column:
             F.lit(1),
         )
 
-    low = F.lower(full_text)
     entry = F.struct(F.lit("Fresher").alias("experience_raw"), F.lit(0).cast("bigint").alias("max_experience"))
     return F.coalesce(
-        F.when(_mentions_years(low), F.coalesce(*[rule(*r) for r in DEEP_RULES])),
-        F.when(low.rlike("(?U)" + DEEP_ENTRY), entry),
+        F.when(
+            _states_years(low),
+            F.coalesce(*[F.when(_mentions(low, needs), rule(p, n)) for p, n, needs in DEEP_RULES]),
+        ),
+        F.when(_mentions(low, ENTRY_PARTS) & low.rlike("(?U)" + DEEP_ENTRY), entry),
+    )
+
+
+def deep_salary(full_text: Column, low: Column) -> Column:
+    """First salary wording of at least three characters in a posting text."""
+    gates = (
+        _mentions(low, DEEP_SALARY_LABELS),
+        _mentions(low, tuple("₹$€£")),
+        _mentions(low, ("l", "cr")),
+        low.contains("k"),
     )
+    rules = [
+        F.when(gate, first_where(F.array(strip(F.regexp_extract(full_text, "(?iU)" + p, 0))), lambda x: F.length(x) >= 3))
+        for gate, p in zip(gates, DEEP_SALARY_RULES)
+    ]
+    return F.when(full_text.rlike(r"\d"), F.coalesce(*rules))
 
 
-def deep_salary(full_text: Column) -> Column:
-    """First salary wording of at least three characters in a whole posting text."""
-    found = [strip(F.regexp_substr(full_text, F.lit("(?iU)" + p))) for p in DEEP_SALARY_RULES]
-    usable = [first_where(F.array(f), lambda x: F.length(x) >= 3) for f in found]
-    return F.when(full_text.rlike(r"\d"), F.coalesce(*usable))
-
-
-def deep_fields(full_text: Column) -> Column:
-    """All fields a posting text can fill: experience, years, salary text, bounds."""
-    experience = deep_experience(full_text)
-    salary = deep_salary(full_text)
-    bounds = salary_bounds(salary)
-    return F.struct(
-        experience.experience_raw.alias("experience_raw"),
-        experience.max_experience.alias("max_experience"),
-        salary.alias("salary_raw"),
-        F.nullif(bounds.lo, F.lit(0)).alias("salary_min"),
-        F.nullif(bounds.hi, F.lit(0)).alias("salary_max"),
+def with_deep_fields(df: DataFrame, text: str) -> DataFrame:
+    """Add all a posting text can fill: ``d_experience``, ``d_salary_raw``, ``d_bounds``.
+
+    Each step is a projection of its own, so every regex runs once per text.
+    """
+    lowered = df.withColumn("_low", F.lower(text))
+    parsed = lowered.withColumns(
+        {
+            "d_experience": deep_experience(F.col(text), F.col("_low")),
+            "d_salary_raw": deep_salary(F.col(text), F.col("_low")),
+        }
     )
+    return parsed.withColumn("d_bounds", salary_bounds(F.col("d_salary_raw"))).drop("_low")
 
 
 def says_senior(title: Column, experience_raw: Column) -> Column:

@@ -16,6 +16,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postmill.functions.text import SEP, clip, collapse, first_where, let, strip
 
@@ -63,7 +64,7 @@ def decode_entities(c: Column) -> Column:
         )
 
     def rebuild(parts: Column) -> Column:
-        decoded = F.transform(F.slice(parts, 2, 2**31 - 1), piece)
+        decoded = F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece)
         return F.concat(parts.getItem(0), F.array_join(decoded, ""))
 
     return F.when(c.contains("&"), let(F.split(c, "&"), rebuild)).otherwise(c)
@@ -106,10 +107,12 @@ NODE_ARROW = pa.list_(
         + [("text", pa.string())]
     )
 )
-NODE_DDL = (
-    "array<struct<lo:int,hi:int,tag:string,"
-    + ",".join(f"{field}:string" for field in NODE_ATTRS.values())
-    + ",text:string>>"
+NODE_TYPE = T.ArrayType(
+    T.StructType(
+        [T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType()), T.StructField("tag", T.StringType())]
+        + [T.StructField(field, T.StringType()) for field in NODE_ATTRS.values()]
+        + [T.StructField("text", T.StringType())]
+    )
 )
 
 
@@ -167,7 +170,7 @@ class _Nodes(HTMLParser):
     handle_decl = handle_pi = unknown_decl = handle_comment
 
 
-@F.arrow_udf(NODE_DDL)
+@F.arrow_udf(NODE_TYPE)
 def html_nodes(pages: pa.Array) -> pa.Array:
     """Every page as an array of element and text nodes in document order."""
     entities = entity_table()

@@ -40,9 +40,6 @@ def salary_bounds(raw: Column) -> Column:
     The first amount anywhere in the text counts. A missing upper amount repeats
     the lower one, and a unit-less number below 100 is read as lakhs.
     """
-    text = F.lower(strip(raw))
-    groups = capture(F.regexp_replace(text, ",", ""), SALARY_PATTERN, 5)
-
     def bounds(g: Column) -> Column:
         lo, unit1, hi, unit2, unit_end = (F.get(g, F.lit(i)) for i in range(5))
         has_hi = hi != ""
@@ -62,10 +59,12 @@ def salary_bounds(raw: Column) -> Column:
             (high * factor_hi).try_cast("bigint").alias("hi"),
         )
 
-    found = F.try_element_at(
-        F.transform(F.filter(F.array(groups), lambda g: F.size(g) > 0), bounds), F.lit(1)
-    )
-    return F.when(~text.isin(*NO_AMOUNT), found)
+    def of_text(text: Column) -> Column:
+        amounts = F.when(~text.isin(*NO_AMOUNT), F.regexp_replace(text, ",", ""))
+        groups = F.filter(F.array(capture(amounts, SALARY_PATTERN, 5)), lambda g: F.size(g) > 0)
+        return F.try_element_at(F.transform(groups, bounds), F.lit(1))
+
+    return let(F.lower(strip(raw)), of_text)
 
 
 def salary_sync(salary: Column, salary_raw: Column) -> tuple[Column, Column]:

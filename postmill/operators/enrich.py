@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.functions.experience import deep_fields
+from postmill.functions.experience import with_deep_fields
 from postmill.functions.text import SEP, blank_null, first_nonblank, strip
 from postmill.operators.dedup import first_per_group
 from postmill.operators.model import order_columns
@@ -26,7 +26,7 @@ def usable_details(details: DataFrame) -> DataFrame:
         F.lower(strip(F.col("source"))).alias("d_source"), F.col("url").alias("d_url"), strip(F.col("text")).alias("d_text")
     ).where(F.length("d_text") >= MINIMUM_TEXT)
     once = first_per_group(texts, [F.col("d_source"), F.col("d_url")], ["d_text"])
-    return once.withColumn("d", deep_fields(F.col("d_text")))
+    return with_deep_fields(once, "d_text")
 
 
 def known_sources(df: DataFrame, sources: Sequence[str] = SOURCES) -> DataFrame:
@@ -58,11 +58,11 @@ def enrich_details(df: DataFrame, details: DataFrame, sources: Sequence[str] = S
     salary_open = blank_null(F.col("salary_raw")).isNull()
     filled = {
         "description": F.when(longer, F.col("d_text")).otherwise(F.col("description")),
-        "experience_raw": first_nonblank(F.col("experience_raw"), F.col("d.experience_raw")),
-        "max_experience_required": F.coalesce(F.col("max_experience_required"), F.col("d.max_experience")),
-        "salary": F.when(salary_open, first_nonblank(F.col("salary"), F.col("d.salary_raw"))).otherwise(F.col("salary")),
-        "salary_raw": first_nonblank(F.col("salary_raw"), F.col("d.salary_raw")),
-        "salary_min": F.coalesce(F.col("salary_min"), F.col("d.salary_min")),
-        "salary_max": F.coalesce(F.col("salary_max"), F.col("d.salary_max")),
+        "experience_raw": first_nonblank(F.col("experience_raw"), F.col("d_experience.experience_raw")),
+        "max_experience_required": F.coalesce(F.col("max_experience_required"), F.col("d_experience.max_experience")),
+        "salary": F.when(salary_open, first_nonblank(F.col("salary"), F.col("d_salary_raw"))).otherwise(F.col("salary")),
+        "salary_raw": first_nonblank(F.col("salary_raw"), F.col("d_salary_raw")),
+        "salary_min": F.coalesce(F.col("salary_min"), F.nullif(F.col("d_bounds.lo"), F.lit(0))),
+        "salary_max": F.coalesce(F.col("salary_max"), F.nullif(F.col("d_bounds.hi"), F.lit(0))),
     }
     return joined.select(*[filled.get(c, F.col(c)).alias(c) for c in df.columns])

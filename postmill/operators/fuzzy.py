@@ -27,6 +27,7 @@ from difflib import SequenceMatcher
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postmill.operators.lineage import cut_lineage
 from postmill.operators.model import order_columns
@@ -39,7 +40,7 @@ FREQUENT_TOKENS = 256
 PAIR_TOKEN_LIMIT = 2 / 3
 
 
-@F.arrow_udf("boolean")
+@F.arrow_udf(T.BooleanType())
 def _similar(later: pa.Array, earlier: pa.Array, threshold: pa.Array) -> pa.Array:
     a, b, t = later.to_pylist(), earlier.to_pylist(), threshold[0].as_py() if len(threshold) else 0.0
     matcher, verdict = SequenceMatcher(), [False] * len(a)

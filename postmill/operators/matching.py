@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postmill.functions.text import strip
 from postmill.operators.filters import (
@@ -42,7 +43,7 @@ def _phrase_matcher(phrases: list[str]):
         for w in words:
             by_word.setdefault(w, []).append(phrase)
 
-    @F.arrow_udf("array<string>")
+    @F.arrow_udf(T.ArrayType(T.StringType()))
     def matching(head: pa.Array, text: pa.Array) -> pa.Array:
         in_text = _finder(sorted(set(phrases) | {w for ws in plain.values() for w in ws}))
         in_head = _finder(sorted(by_word)) if by_word else lambda _: set()
