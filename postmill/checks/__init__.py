@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("scalar_queries", "table_queries")
+_MODULES = ("scalar_queries", "table_queries", "source_queries", "export_queries")
 
 
 def _load():

@@ -120,7 +120,7 @@ CARD_MARKUPS = (
     '<span class="my-date">{d}</span><div class="description"></div></div>',
 )
 CARD_PAGE = (
-    "<html><head><style>.jobTuple a{}</style></head><body><nav><a class='title'>menu</a></nav>{card}"
+    "<html><head><style>.jobTuple > a</style></head><body><nav><a class='title'>menu</a></nav>{card}"
     "<div class='srp-other'></div>{empty}</body></html>"
 )
 

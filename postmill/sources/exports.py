@@ -84,8 +84,8 @@ def _read(spark: SparkSession, path: str, ddl: str) -> DataFrame:
 
 
 def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """An export as text columns; a missing one reads as empty."""
-    return _read(spark, path, EXPORT_DDL)
+    """Exports below a path or glob as text, blanks as ``""``; a missing one reads as empty."""
+    return _read(spark, path, EXPORT_DDL).fillna("")
 
 
 def read_csv_typed(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
@@ -96,8 +96,8 @@ def read_csv_typed(spark: SparkSession, path: str, infer: bool = False) -> DataF
 
 
 def read_csv_glob(spark: SparkSession, pattern: str) -> DataFrame:
-    """All exports whose path matches ``pattern``."""
-    return _read(spark, pattern, EXPORT_DDL)
+    """All exports whose path matches ``pattern``, under the one declared schema."""
+    return read_csv_text(spark, pattern)
 
 
 def list_exports(spark: SparkSession, folder: str) -> DataFrame:
