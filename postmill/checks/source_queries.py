@@ -136,21 +136,22 @@ _HREF = "CASE k % 3 WHEN 0 THEN 'https://www.naukri.com/d/' || k WHEN 1 THEN 'ht
 
 
 def _card_sql(rendered: bool) -> str:
-    # The third markup has only attribute-substring classes, which a rendered page does not look for.
-    known = "k % 3 < 2" if rendered else "TRUE"
-    company = (
-        "CASE k % 3 WHEN 0 THEN s || ' 4.1' WHEN 1 THEN s ELSE '' END" if rendered
-        else "CASE k % 3 WHEN 2 THEN 'N/A' ELSE s END"
-    )
-    # Text of a row4 block is a description for a fetched page only.
-    words = "CASE WHEN k % 3 = 0 THEN words ELSE '' END" if rendered else "CASE WHEN k % 3 < 2 THEN words ELSE '' END"
-    exp = f"CASE WHEN {known} OR TRUE THEN nullif({duck.strip('experience_raw')}, '') END" if rendered else f"nullif({duck.strip('experience_raw')}, '')"
-    date = f"CASE WHEN {known} THEN coalesce({duck.date('posted_raw')}, posted_raw) ELSE '' END"
-    place = f"CASE WHEN {known} THEN coalesce(nullif(trim(location), ''), 'Not specified') ELSE 'Not specified' END"
-    pay = f"CASE WHEN {known} THEN {duck.inr('trim(salary_raw)')} ELSE 'Not specified' END"
-    url = f"CASE WHEN {known} THEN {_HREF} ELSE '' END"
-    return f"""{BASE}, f AS (SELECT k AS page_id, CAST(0 AS BIGINT) AS ord, name AS title, {company} AS company, {words} AS description, {url} AS url, {place} AS location,
-      {pay} AS salary, {exp} AS experience_raw, {date} AS posted_date FROM base WHERE name <> '') {_MADE} FROM f"""
+    """Expected fields per markup (``k % 3``).
+
+    A rendered page takes only the first row block of the second markup as its card
+    and does not look for the attribute-substring classes of the third.
+    """
+    exp = f"nullif({duck.strip('experience_raw')}, '')"
+    seen, words, company, url = "TRUE", "k % 3 < 2", "CASE k % 3 WHEN 2 THEN 'N/A' ELSE s END", "TRUE"
+    if rendered:
+        seen, words, company, url = "k % 3 = 0", "k % 3 = 0", "CASE k % 3 WHEN 0 THEN s || ' 4.1' ELSE '' END", "k % 3 < 2"
+        exp = f"CASE WHEN k % 3 <> 1 THEN {exp} END"
+    return f"""{BASE}, f AS (SELECT k AS page_id, CAST(0 AS BIGINT) AS ord, name AS title, {company} AS company,
+      CASE WHEN {words} THEN words ELSE '' END AS description, CASE WHEN {url} THEN {_HREF} ELSE '' END AS url,
+      CASE WHEN {seen} THEN coalesce(nullif(trim(location), ''), 'Not specified') ELSE 'Not specified' END AS location,
+      CASE WHEN {seen} THEN {duck.inr('trim(salary_raw)')} ELSE 'Not specified' END AS salary, {exp} AS experience_raw,
+      CASE WHEN {seen} THEN coalesce({duck.date('posted_raw')}, posted_raw) ELSE '' END AS posted_date
+      FROM base WHERE name <> '') {_MADE} FROM f"""
 
 
 @query("project_card", _card_sql(False))
@@ -158,7 +159,7 @@ def project_card(spark, sf):
     return cards.project_card(cards.scan_html_cards(payloads.cards(spark, sf)), derived.AS_OF)
 
 
-@query("project_card_rendered")
+@query("project_card_rendered", _card_sql(True))
 def project_card_rendered(spark, sf):
     return cards.project_card_rendered(cards.scan_html_cards(payloads.cards(spark, sf), rendered=True), derived.AS_OF)
 

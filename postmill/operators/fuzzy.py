@@ -29,13 +29,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postmill.functions.text import let
 from postmill.operators.lineage import cut_lineage
 from postmill.operators.model import order_columns
 
-FIRST_BLOCK = 1024
+FIRST_BLOCK = 256
 BLOCK_GROWTH = 8
 PAIRS_PER_ROW = 256
 FREQUENT_TOKENS = 256
+ROWS_PER_TASK = 20_000
 # Above this threshold the shared character pairs give a positive bound.
 PAIR_TOKEN_LIMIT = 2 / 3
 
@@ -76,9 +78,10 @@ def _tokens(sig: Column, threshold: float) -> Column:
         F.sequence(F.lit(1), F.greatest(F.length(sig) - (width - 1), F.lit(1))),
         lambda i: F.substr(sig, i, F.lit(width)),
     )
-    return F.transform(
-        grams,
-        lambda g, i: F.xxhash64(g, F.size(F.filter(F.slice(grams, F.lit(1), i + 1), lambda x: x == g))),
+    # In sorted order a repeat's number is its distance from the first equal token.
+    return let(
+        F.array_sort(grams),
+        lambda ordered: F.transform(ordered, lambda g, i: F.xxhash64(g, i - F.array_position(ordered, g))),
     )
 
 
@@ -112,6 +115,12 @@ def _features(sigs: DataFrame, threshold: float) -> DataFrame:
     return tokens.select("pos", "sig", "n", F.transform(F.slice(in_order, F.lit(1), length), lambda s: s.t).alias("prefix"))
 
 
+def _spread(rows: DataFrame, total: int) -> DataFrame:
+    """Parts by row count: comparing texts costs far more than their bytes suggest."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(cores, -(-total // ROWS_PER_TASK)))
+
+
 def _indexed(rows: DataFrame, side: str) -> DataFrame:
     return rows.select(
         F.explode(F.array_distinct("prefix")).alias("token"),
@@ -178,7 +187,8 @@ def dedup_fuzzy(df: DataFrame, threshold: float = 0.85) -> DataFrame:
         raise ValueError("threshold must be above 0 and at most 1")
     placed = df.withColumn("_pos", position(df))
     sigs = placed.groupBy(signature().alias("sig")).agg(F.min("_pos").alias("pos"))
-    undecided = cut_lineage(_features(sigs, threshold))
+    sigs = cut_lineage(sigs)
+    undecided = cut_lineage(_features(_spread(sigs, sigs.count()), threshold))
     kept, size = None, FIRST_BLOCK
     while (total := undecided.count()) > 0:
         block, cut, size = _next_block(undecided, total, size)
@@ -188,7 +198,7 @@ def dedup_fuzzy(df: DataFrame, threshold: float = 0.85) -> DataFrame:
             break
         rest = undecided.where(F.col("pos") > cut)
         losers = _similar_pairs(rest, winners, threshold).select(F.col("later").alias("pos")).distinct()
-        undecided = cut_lineage(rest.join(losers, "pos", "left_anti"))
+        undecided = cut_lineage(_spread(rest.join(losers, "pos", "left_anti"), total))
         size *= BLOCK_GROWTH
     if kept is None:
         return df

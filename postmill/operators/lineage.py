@@ -26,8 +26,11 @@ def staging_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the data is on shared storage, a lost executor costs nothing."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """Write the rows to a table in the shared folder and go on from there.
+
+    The plan is computed once, a lost executor costs only its own task, and the
+    files give the next join real sizes to choose its strategy by.
+    """
+    path = staging_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
