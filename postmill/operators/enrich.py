@@ -18,15 +18,11 @@ RICH_TEXT = 200
 
 
 def usable_details(details: DataFrame) -> DataFrame:
-    """``details(source, url, text)`` to one row per url with its parsed fields.
-
-    Short texts go first and parsing happens once per page, before the join.
-    """
+    """``details(source, url, text)`` to one usable text per url."""
     texts = details.select(
         F.lower(strip(F.col("source"))).alias("d_source"), F.col("url").alias("d_url"), strip(F.col("text")).alias("d_text")
     ).where(F.length("d_text") >= MINIMUM_TEXT)
-    once = first_per_group(texts, [F.col("d_source"), F.col("d_url")], ["d_text"])
-    return with_deep_fields(once, "d_text")
+    return first_per_group(texts, [F.col("d_source"), F.col("d_url")], ["d_text"])
 
 
 def known_sources(df: DataFrame, sources: Sequence[str] = SOURCES) -> DataFrame:
@@ -38,6 +34,10 @@ def known_sources(df: DataFrame, sources: Sequence[str] = SOURCES) -> DataFrame:
 def enrich_details(df: DataFrame, details: DataFrame, sources: Sequence[str] = SOURCES) -> DataFrame:
     """Longer text replaces the description; other fields fill only where blank.
 
+    Texts are parsed after the join: usually few pages belong to a shortlisted
+    posting, and the others need no parsing. The one shuffle of ``details`` serves
+    both the choice of one text per url and the join.
+
     Postings that can have no page (unknown source, placeholder url) get a key of
     their own from their position, so they spread over all partitions instead of
     meeting in one null partition.
@@ -49,11 +49,12 @@ def enrich_details(df: DataFrame, details: DataFrame, sources: Sequence[str] = S
         F.when(has_page, F.col("adapter")).otherwise(F.lit(SEP)).alias("_source"),
         F.when(has_page, F.col("url")).otherwise(own_key).alias("_url"),
     )
-    joined = left.join(
+    matched = left.join(
         usable_details(details),
         (F.col("_source") == F.col("d_source")) & (F.col("_url") == F.col("d_url")),
         "left",
     )
+    joined = with_deep_fields(matched, "d_text")
     longer = F.length("d_text") > F.length(F.coalesce(F.col("description"), F.lit("")))
     salary_open = blank_null(F.col("salary_raw")).isNull()
     filled = {
