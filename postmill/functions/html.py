@@ -260,11 +260,15 @@ def without(nodes: Column, selector) -> Column:
 
 
 def text_of(nodes: Column, node: Column, separator: str = "") -> Column:
-    """Stripped text pieces below ``node``."""
-    pieces = F.filter(
-        nodes, lambda t: (t["tag"] == "") & (t["lo"] >= node["lo"]) & (t["hi"] <= node["hi"])
-    )
-    return F.array_join(F.filter(F.transform(pieces, lambda t: strip(t["text"])), lambda s: s != ""), separator)
+    """Stripped text pieces below ``node``; the node is looked up once, not per piece."""
+    def pieces(found: Column) -> Column:
+        inner = F.filter(
+            nodes, lambda t: (t["tag"] == "") & (t["lo"] >= found["lo"]) & (t["hi"] <= found["hi"])
+        )
+        stripped = F.filter(F.transform(inner, lambda t: strip(t["text"])), lambda s: s != "")
+        return F.when(found.isNotNull(), F.array_join(stripped, separator))
+
+    return let(node, pieces)
 
 
 def first_text(nodes: Column, *selectors) -> Column:
