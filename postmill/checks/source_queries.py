@@ -220,7 +220,7 @@ def blocked(spark, sf):
 
 # ---------------------------------------------------------------- native pages
 
-_NO_CHROME = r"regexp_replace(regexp_replace(html, '(?is)<(nav|header|footer)\b.*?</(nav|header|footer)>', chr(1), 'g'), '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', chr(1), 'g')"
+_NO_CHROME = r"regexp_replace(regexp_replace(html, '(?is)<(nav|header|footer)\b.*?(?:</(nav|header|footer)>|$)', chr(1), 'g'), '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', chr(1), 'g')"
 _ENTITIES = "replace(replace(replace(replace({x}, '&quot;', chr(34)), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"
 
 
@@ -232,7 +232,7 @@ def _pieces(x: str, separator: str) -> str:
 
 @query(
     "extract_body_text",
-    rf"""WITH c AS (SELECT page_id, url, {_NO_CHROME} AS h FROM pages), a AS (SELECT page_id, url, regexp_extract(h, '(?s)<article>(.*?)</article>', 1) AS art, regexp_extract(h, '(?s)<body>(.*)</body>', 1) AS body FROM c),
+    rf"""WITH c AS (SELECT page_id, url, {_NO_CHROME} AS h FROM pages), a AS (SELECT page_id, url, regexp_extract(h, '(?s)<article>(.*?)(?:</article>|$)', 1) AS art, regexp_extract(h, '(?s)<body>(.*?)(?:</body>|$)', 1) AS body FROM c),
     t AS (SELECT page_id, url, {_pieces('art', 'chr(10)')} AS x, {_pieces('body', 'chr(10)')} AS y FROM a)
     SELECT page_id, url, CASE WHEN length(x) > 80 THEN x WHEN length(y) > 80 THEN y ELSE '' END AS text FROM t""",
 )

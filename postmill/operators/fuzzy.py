@@ -21,7 +21,7 @@ the threshold, and never loses a pair that can:
 
 from __future__ import annotations
 
-import math
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -43,17 +43,30 @@ PAIR_TOKEN_LIMIT = 2 / 3
 
 
 @F.arrow_udf(T.BooleanType())
-def _similar(later: pa.Array, earlier: pa.Array, threshold: pa.Array) -> pa.Array:
-    a, b, t = later.to_pylist(), earlier.to_pylist(), threshold[0].as_py() if len(threshold) else 0.0
-    matcher, verdict = SequenceMatcher(), [False] * len(a)
-    current = None
-    # difflib prepares its second text once; visit pairs grouped by it.
-    for i in sorted(range(len(b)), key=b.__getitem__):
+def _similar(pos: pa.Array, later: pa.Array, earlier: pa.Array, threshold: pa.Array, any_match: pa.Array) -> pa.Array:
+    """Does each pair reach the threshold?
+
+    With ``any_match`` one true pair per ``pos`` is enough, so pairs of a row that
+    already has one are answered with false unseen.
+    """
+    a, b, keys = later.to_pylist(), earlier.to_pylist(), pos.to_pylist()
+    verdict = [False] * len(a)
+    if not a:
+        return pa.array(verdict, type=pa.bool_())
+    t, one_is_enough = threshold[0].as_py(), any_match[0].as_py()
+    matcher, current, done = SequenceMatcher(), None, set()
+    # difflib prepares its second text once: visit pairs by it, frequent ones first.
+    often = Counter(b)
+    for i in sorted(range(len(b)), key=lambda i: (-often[b[i]], b[i])):
+        if one_is_enough and keys[i] in done:
+            continue
         if b[i] != current:
             current = b[i]
             matcher.set_seq2(current)
         matcher.set_seq1(a[i])
-        verdict[i] = matcher.real_quick_ratio() >= t and matcher.quick_ratio() >= t and matcher.ratio() >= t
+        if matcher.real_quick_ratio() >= t and matcher.quick_ratio() >= t and matcher.ratio() >= t:
+            verdict[i] = True
+            done.add(keys[i])
     return pa.array(verdict, type=pa.bool_())
 
 
@@ -128,15 +141,18 @@ def _indexed(rows: DataFrame, side: str) -> DataFrame:
     )
 
 
-def _similar_pairs(later: DataFrame, earlier: DataFrame, threshold: float) -> DataFrame:
-    """Verified ``(later, earlier)`` positions, each pair produced at one token only."""
+def _similar_pairs(later: DataFrame, earlier: DataFrame, threshold: float, any_match: bool = False) -> DataFrame:
+    """Verified ``(later, earlier)`` positions, each pair produced at one token only.
+
+    With ``any_match`` at least one pair of every later row that has one.
+    """
     total = F.col("l_n") + F.col("e_n")
     candidates = _indexed(later, "l").join(_indexed(earlier, "e"), "token").where(
         (F.col("l_pos") > F.col("e_pos"))
         & (F.least("l_n", "e_n") * 2 >= total * F.lit(threshold - 1e-9))
         & (F.try_element_at(F.array_intersect("l_prefix", "e_prefix"), F.lit(1)) == F.col("token"))
     )
-    return candidates.where(_similar("l_sig", "e_sig", F.lit(threshold))).select(
+    return candidates.where(_similar("l_pos", "l_sig", "e_sig", F.lit(threshold), F.lit(any_match))).select(
         F.col("l_pos").alias("later"), F.col("e_pos").alias("earlier")
     )
 
@@ -197,7 +213,7 @@ def dedup_fuzzy(df: DataFrame, threshold: float = 0.85) -> DataFrame:
         if cut is None:
             break
         rest = undecided.where(F.col("pos") > cut)
-        losers = _similar_pairs(rest, winners, threshold).select(F.col("later").alias("pos")).distinct()
+        losers = _similar_pairs(rest, winners, threshold, any_match=True).select(F.col("later").alias("pos")).distinct()
         undecided = cut_lineage(_spread(rest.join(losers, "pos", "left_anti"), total))
         size *= BLOCK_GROWTH
     if kept is None:
