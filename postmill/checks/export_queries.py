@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from postmill.checks import derived, duck
 from postmill.checks.catalog import query
-from postmill.functions.search import parse_search
 from postmill.checks.scalar_queries import SEARCH_CTES
+from postmill.functions.search import parse_search
 from postmill.operators.lineage import staging_path
 from postmill.operators.model import canonicalise, valid
-from postmill.operators.normalise import export_projection
+from postmill.operators.normalise import export_projection, normalise_postings
+from postmill.schema import EXPORT_COLUMNS
 from postmill.sources import exports
 
 RUN_AT = derived.AS_OF
@@ -48,8 +49,6 @@ def scan_csv_text(spark, sf):
     f"{duck.stages('norm')} SELECT source, job_type, count(*) AS n_rows, CAST(sum(max_experience_required) AS BIGINT) AS sum_years, count(posted_date) AS n_dated FROM norm GROUP BY source, job_type",
 )
 def scan_csv_typed(spark, sf):
-    from postmill.operators.normalise import normalise_postings
-
     path = _written(spark, export_projection(normalise_postings(_postings(spark, sf))), "export")
     return exports.read_csv_typed(spark, path).groupBy("source", "job_type").agg(
         F.count("*").alias("n_rows"), F.sum("max_experience_required").alias("sum_years"), F.count("posted_date").alias("n_dated"))
@@ -73,14 +72,17 @@ def list_exports(spark, sf):
     return exports.list_exports(spark, _two_runs(spark, sf))
 
 
-@query("write_csv_extra", f"{duck.stages('good')} SELECT {CANON_EXPORT.replace(chr(39) * 2 + ' AS max_experience_required, ', chr(39) * 2 + ' AS max_experience_required, ').replace('scraped_at', chr(39) + RUN_AT.isoformat() + chr(39) + ' AS scraped_at')}, CAST(k AS VARCHAR) AS board_key FROM good")
+_EXTRA_EXPORT = CANON_EXPORT.replace("scraped_at", f"'{RUN_AT.isoformat()}' AS scraped_at")
+
+
+@query("write_csv_extra", f"{duck.stages('good')} SELECT {_EXTRA_EXPORT}, CAST(k AS VARCHAR) AS board_key FROM good")
 def write_csv_extra(spark, sf):
-    rows = export_projection(_postings(spark, sf).withColumn("title", F.col("title")))
+    """Two export columns are absent, one column is extra."""
     frame = _postings(spark, sf).select(
         "title", "company", "location", "description", F.coalesce("salary", F.lit("")).alias("salary"),
         F.coalesce("experience_raw", F.lit("")).alias("experience_raw"), "url", "posted_date", "job_type", "source", F.col("k").alias("board_key"))
     path = _written(spark, frame, "extra", keep_extra=True)
-    ddl = ", ".join(f"{c} string" for c in (*rows.columns, "board_key"))
+    ddl = ", ".join(f"{c} string" for c in (*EXPORT_COLUMNS, "board_key"))
     return spark.read.schema(ddl).options(**exports.READ_OPTIONS).csv(path).fillna("")
 
 
