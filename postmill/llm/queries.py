@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import chat, fingerprint, topk, toxicity, warc
+from postmill.llm import chat, fingerprint, huffman, packing, topk, toxicity, warc
 from postmill.llm.oracles import ORACLES
 from postmill.llm.shared import shared_path, written
 
@@ -18,6 +19,11 @@ def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_documents(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write_archive(_table(spark, folder, "pages"), path)
@@ -28,6 +34,14 @@ def op7_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op8_huffman(spark: SparkSession, folder: str) -> DataFrame:
+    path = shared_path(spark, "ids")
+    huffman.write_ids(
+        _table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), path, shared_path(spark, "tokens")
+    )
+    return huffman.read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.fingerprints(_table(spark, folder, "documents"))
 
@@ -41,8 +55,10 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_packing": op2_packing,
     "op5_warc": op5_warc,
     "op7_topk": op7_topk,
+    "op8_huffman": op8_huffman,
     "op9_fingerprint": op9_fingerprint,
     "op10_chat": op10_chat,
 }
