@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import chat, fingerprint, huffman, packing, topk, toxicity, warc
+from postmill.llm import bpe, chat, fingerprint, huffman, packing, topk, toxicity, warc
 from postmill.llm.oracles import ORACLES
 from postmill.llm.shared import shared_path, written
 
@@ -24,6 +24,11 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.digests(bpe.encode(_table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN))
+
+
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write_archive(_table(spark, folder, "pages"), path)
@@ -56,6 +61,7 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
+    "op3_bpe": op3_bpe,
     "op5_warc": op5_warc,
     "op7_topk": op7_topk,
     "op8_huffman": op8_huffman,

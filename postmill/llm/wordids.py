@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from postmill.llm.words import words
+from postmill.llm.words import spread, words
 
 KEPT = 400_000
 #: Capitals whose lower case depends on their neighbours or is longer than one character.
@@ -82,10 +82,7 @@ class WordIds(dict):
         found = words(texts)
         pool = [self[p] for p in found.distinct.to_pylist()]
         size = np.fromiter(map(len, pool), np.int64, len(pool)) // 4
-        begin = np.cumsum(size) - size
-        lengths = size[found.index]
-        ends = np.cumsum(lengths)
-        picked = np.repeat(begin[found.index] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+        picked, ends = spread(size, found.index)
         return np.frombuffer(b"".join(pool), "<u4")[picked], np.concatenate([[0], ends])[found.offsets]
 
 

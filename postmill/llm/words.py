@@ -94,6 +94,16 @@ def shingle_sets(texts: pa.Array, width: int) -> Sets:
     return Sets(np.concatenate(out) if out else np.empty(0, np.uint64), np.cumsum(size))
 
 
+def spread(size: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For items of ``size`` elements that lie one after the other in a pool, the pool places of the items named by
+    ``index`` in turn, and where each item's elements end."""
+    begin = np.cumsum(size) - size
+    lengths = size[index]
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(begin[index] - (ends - lengths), lengths) + np.arange(total), ends
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int):
     """Parts of a batch whose texts hold about ``most_bytes``; a longer text is a part of its own."""
     if not batch.num_rows:
