@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, chat, fingerprint, huffman, packing, topk, toxicity, warc
+from postmill.llm import bpe, chat, fingerprint, huffman, neardup, packing, topk, toxicity, warc
 from postmill.llm.oracles import ORACLES
 from postmill.llm.shared import shared_path, written
 
@@ -29,6 +29,11 @@ def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.encode(_table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN))
 
 
+def op4_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    found = neardup.near_duplicates(_table(spark, folder, "documents"), width=3, percent=85)
+    return found.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_path(spark, "warc")
     warc.write_archive(_table(spark, folder, "pages"), path)
@@ -62,6 +67,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
     "op3_bpe": op3_bpe,
+    "op4_neardup": op4_neardup,
     "op5_warc": op5_warc,
     "op7_topk": op7_topk,
     "op8_huffman": op8_huffman,
