@@ -66,4 +66,23 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.leas
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.a = d.doc_id
 """
 
-ORACLES = {"op4_neardup": NEARDUP, "op5_warc": WARC, "op7_topk": TOPK, "op10_chat": CHAT}
+SUBSTRING = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS i,
+    unnest(list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' '))) AS words FROM w WHERE len(w) >= 20
+), h AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY words ORDER BY doc_id, i) AS nth FROM s
+), c AS (SELECT DISTINCT doc_id, i + k AS j FROM h, (SELECT unnest(range(0, 20)) AS k) WHERE nth > 1),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM w),
+k AS (
+  SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.j) AS kept, count(*) AS n FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.j = p.j
+  WHERE c.j IS NULL GROUP BY p.doc_id
+)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+
+ORACLES = {"op6_substring": SUBSTRING, "op4_neardup": NEARDUP, "op5_warc": WARC, "op7_topk": TOPK, "op10_chat": CHAT}

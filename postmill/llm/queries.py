@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, chat, fingerprint, huffman, neardup, packing, topk, toxicity, warc
+from postmill.llm import bpe, chat, fingerprint, huffman, neardup, packing, substring, topk, toxicity, warc
 from postmill.llm.oracles import ORACLES
 from postmill.llm.shared import shared_path, written
 
@@ -40,6 +40,11 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_substring(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring.cut_repeats(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_topk(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -69,6 +74,7 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op4_neardup": op4_neardup,
     "op5_warc": op5_warc,
+    "op6_substring": op6_substring,
     "op7_topk": op7_topk,
     "op8_huffman": op8_huffman,
     "op9_fingerprint": op9_fingerprint,
