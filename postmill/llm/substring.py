@@ -24,18 +24,21 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postmill.llm.blobs import BLOBS, by_part, packed, parts_for
 from postmill.llm.recompress import anchors, recompress
 from postmill.llm.words import hashes, mix, rolling, slices, words
 
 WINDOW = 20
 SLICE_BYTES = 24 << 20
 
-ANCHORS = "name bigint, n int, key bigint, pos int"
-WINDOWS = "name bigint, extra int, doc_id bigint, key bigint, pos int, covered array<int>"
+#: Anchors: name, rows it stands for (2: several), document key, place. Windows: two hashes, document, key, start.
+ANCHOR_KINDS = ["<u8", "i1", "<i8", "<i4"]
+WINDOW_KINDS = ["<u8", "<i4", "i1", "<i8", "<i8", "<i4"]
+HITS = "key bigint, hits array<int>"
+COVERS = "key bigint, doc_id bigint, starts array<int>"
 
 
 class _Text:
@@ -80,7 +83,13 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return plain.select(F.xxhash64(number, body).alias("key"), number.alias("doc_id"), body.alias("text"), *rest)
 
 
-def _anchor_rows(window: int):
+def _lists(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """First place of each key in order, and the lists of its values."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return first, pa.ListArray.from_arrays(pa.array(np.append(first, len(keys)), pa.int32()), pa.array(values, pa.int32()))
+
+
+def _anchor_rows(window: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
@@ -96,23 +105,32 @@ def _anchor_rows(window: int):
                 used, first = np.unique(t.anchor[~own], return_index=True)
                 once[np.flatnonzero(~own)[first]] = True
                 name, key, place = name[once], key[once], place[once]
-                order = np.argsort(name, kind="stable")
-                name, key, place = name[order], key[order], place[order]
-                lead = np.concatenate([[True], name[1:] != name[:-1]])
-                n = np.diff(np.append(np.flatnonzero(lead), len(name)))
-                count = np.full(len(name), 2, np.int32)
+                distinct, lead, n = np.unique(name, return_index=True, return_counts=True)
+                count = np.full(len(name), 2, np.int8)
                 count[lead] = np.minimum(n, 2)
                 # Further occurrences in this batch are repeats already: they go on under names of their own.
-                name = np.where(lead, name, mix(name + mix(key.view(np.uint64) + place.astype(np.uint64))))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(name.view(np.int64)), pa.array(count), pa.array(key), pa.array(place.astype(np.int32))],
-                    ["name", "n", "key", "pos"],
-                )
+                further = np.ones(len(name), bool)
+                further[lead] = False
+                name[further] = mix(name[further] + mix(key[further].view(np.uint64) + place[further].astype(np.uint64)))
+                yield from packed((name % np.uint64(parts)).astype(np.int64), [name, count, key, place.astype("<i4")])
 
     return run
 
 
-def _window_rows(window: int):
+def _shared_anchors(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Places of the anchors that occur more than once, by document."""
+    name, count, key, place = columns
+    order = np.argsort(name, kind="stable")
+    name, count, key, place = name[order], count[order], key[order], place[order]
+    first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+    shared = np.repeat(np.add.reduceat(count.astype(np.int64), first) > 1, np.diff(np.append(first, len(name))))
+    key, place = key[shared], place[shared]
+    order = np.lexsort((place, key))
+    first, lists = _lists(key[order], place[order])
+    yield pa.RecordBatch.from_arrays([pa.array(key[order][first]), lists], ["key", "hits"])
+
+
+def _window_rows(window: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
@@ -125,52 +143,61 @@ def _window_rows(window: int):
                 shared = np.flatnonzero(np.isin((t.doc[t.starts].astype(np.int64) << 32) + t.anchor_places(), hit))
                 if not len(shared):
                     continue
-                name, extra = t.hashed(window)[shared], (t.hashed(window, 1)[shared] >> np.uint64(33)).astype(np.int32)
-                doc, pos = t.doc[t.starts][shared], t.pos[shared]
+                doc = t.doc[t.starts][shared]
                 numbers = part.column("doc_id")
-                known = numbers.is_valid().to_numpy(zero_copy_only=False)[doc]
-                number = numbers.fill_null(0).to_numpy()[doc]
-                order = np.lexsort((pos, number, known, extra, name))
-                name, extra, doc, pos = name[order], extra[order], doc[order], pos[order]
-                known, number = known[order], number[order]
-                lead = np.concatenate([[True], (name[1:] != name[:-1]) | (extra[1:] != extra[:-1])])
-                # The same place of a repeated row is not later than itself.
-                run_of = np.cumsum(lead) - 1
-                head = np.flatnonzero(lead)[run_of]
-                stays = (number == number[head]) & (known == known[head]) & (pos == pos[head])
-                key = part.column("key").to_numpy()[doc]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(name[stays].view(np.int64)), pa.array(extra[stays]),
-                    pa.array(number[stays], mask=~known[stays]), pa.array(key[stays]), pa.array(pos[stays].astype(np.int32)),
-                    pa.nulls(int(stays.sum()), pa.list_(pa.int32())),
-                ], ["name", "extra", "doc_id", "key", "pos", "covered"])
-                later = np.flatnonzero(~stays)
-                later = later[np.lexsort((pos[later], doc[later]))]
-                if len(later):
-                    docs, first = np.unique(doc[later], return_index=True)
-                    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(later)), pa.int32()), pa.array(pos[later], pa.int32()))
-                    keys = part.column("key").to_numpy()[docs]
-                    ids = part.column("doc_id").take(pa.array(docs))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys), pa.nulls(len(docs), pa.int32()), ids, pa.array(keys), pa.nulls(len(docs), pa.int32()), lists],
-                        ["name", "extra", "doc_id", "key", "pos", "covered"],
-                    )
+                rows = [
+                    t.hashed(window)[shared], (t.hashed(window, 1)[shared] >> np.uint64(33)).astype("<i4"),
+                    numbers.is_valid().to_numpy(zero_copy_only=False)[doc].astype(np.int8), numbers.fill_null(0).to_numpy()[doc],
+                    part.column("key").to_numpy()[doc], t.pos[shared].astype("<i4"),
+                ]
+                stays = ~_later(rows)
+                # A window that this batch holds earlier is sent under a hash of its document: it is covered whatever
+                # the others hold, and known by the odd mark.
+                name = np.where(stays, rows[0], mix(rows[4].view(np.uint64)))
+                known = np.where(stays, rows[2], rows[2] | np.int8(2))
+                yield from packed((name % np.uint64(parts)).astype(np.int64), [rows[0], rows[1], known, *rows[3:]])
 
     return run
 
 
+def _later(columns: list[np.ndarray]) -> np.ndarray:
+    """Which windows come after an equal one by (doc_id, start); null ids come first."""
+    name, extra, known, number, _, pos = columns
+    if not len(name):
+        return np.zeros(0, bool)
+    order = np.lexsort((pos, number, known, extra, name))
+    head = np.concatenate([[True], (name[order][1:] != name[order][:-1]) | (extra[order][1:] != extra[order][:-1])])
+    first = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    # The same place of a repeated row is not later than itself.
+    same = (number[order] == number[first]) & (known[order] == known[first]) & (pos[order] == pos[first])
+    out = np.empty(len(name), bool)
+    out[order] = ~same
+    return out
+
+
+def _covered(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Starts of windows that are not the first of their kind, by document."""
+    already = columns[2] >= 2
+    later = already.copy()
+    later[~already] = _later([c[~already] for c in columns])
+    known, number, key, pos = (c[later] for c in columns[2:])
+    order = np.lexsort((pos, number, known, key))
+    known, number, key, pos = known[order] % 2 == 1, number[order], key[order], pos[order]
+    first, lists = _lists(key, pos)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(key[first]), pa.array(number[first], mask=~known[first]), lists], ["key", "doc_id", "starts"]
+    )
+
+
 def covers(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(key, covers)``: per document the starts of its windows that occur earlier, with the doc_id they belong to."""
-    drawn = keyed.mapInArrow(_anchor_rows(window), ANCHORS)
-    shared = drawn.withColumn("total", F.sum("n").over(Over.partitionBy("name"))).where("total > 1")
-    hits = shared.groupBy("key").agg(F.collect_list("pos").alias("hits"))
-    found = keyed.join(hits, "key").mapInArrow(_window_rows(window), WINDOWS)
-    place = F.struct("doc_id", "pos")
-    first = F.min(F.when(F.col("pos").isNotNull(), place)).over(Over.partitionBy("name", "extra"))
-    later = found.withColumn("first", first).where(F.col("covered").isNotNull() | ~F.col("first").eqNullSafe(place))
-    starts = F.coalesce("covered", F.array("pos"))
-    per_row = later.select("key", F.struct("doc_id", starts.alias("starts")).alias("cover"))
-    return per_row.groupBy("key").agg(F.collect_list("cover").alias("covers"))
+    parts = parts_for(keyed)
+    drawn = keyed.mapInArrow(_anchor_rows(window, parts), BLOBS)
+    shared = by_part(drawn, _shared_anchors, ANCHOR_KINDS, HITS)
+    hits = shared.groupBy("key").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    found = keyed.join(hits, "key").mapInArrow(_window_rows(window, parts), BLOBS)
+    starts = by_part(found, _covered, WINDOW_KINDS, COVERS)
+    return starts.groupBy("key").agg(F.collect_list(F.struct("doc_id", "starts")).alias("covers"))
 
 
 def _kept_rows(window: int, kept_as: str):
