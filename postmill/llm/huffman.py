@@ -36,7 +36,7 @@ STRIDE = 512
 BLOCK_IDS = 1 << 18
 ROWS_PER_RANGE = 2_000
 END_ID = 1
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 10 << 20
 
 TOKENS = "part int, doc_id bigint, place bigint, n_tokens bigint, ids binary"
 BLOCKS = (

@@ -42,7 +42,7 @@ SLACK = 0.13
 HUBS = 4
 PARTNERS = 2
 TILE = 4096
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 6 << 20
 #: Expected accidental collisions of a register, times 2^MANTISSA, for sets of equal size.
 ACCIDENT = 0.169919487159739
 

@@ -30,7 +30,7 @@ from postmill.llm.words import slices
 WINDOW = 4096
 MOST_OPEN = 1024
 END_ID = 2
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 10 << 20
 
 PIECES = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary"
 Piece = tuple[int | None, int, int, np.ndarray]  # document, start, its ids in all, ids

@@ -32,7 +32,7 @@ from postmill.llm.recompress import anchors, recompress
 from postmill.llm.words import hashes, mix, rolling, slices, words
 
 WINDOW = 20
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 6 << 20
 
 #: Anchors: name, rows it stands for (2: several), document key, place. Windows: two hashes, document, key, start.
 ANCHOR_KINDS = ["<u8", "i1", "<i8", "<i4"]

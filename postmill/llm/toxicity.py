@@ -38,7 +38,7 @@ MIN_ROWS = 3
 CHI2 = 15.0
 TRIM = ".,;:!?()[]{}<>\"'`|*_-"
 STEMS = (4, 5)
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 class Model(NamedTuple):

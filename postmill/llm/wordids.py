@@ -18,7 +18,7 @@ import pyarrow as pa
 
 from postmill.llm.words import spread, words
 
-KEPT = 400_000
+KEPT = 250_000
 #: Capitals whose lower case depends on their neighbours or is longer than one character.
 ODD_CAPITALS = frozenset("Σİİ")
 
