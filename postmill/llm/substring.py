@@ -37,8 +37,10 @@ SLICE_BYTES = 6 << 20
 #: Anchors: name, rows it stands for (2: several), document key, place. Windows: two hashes, document, key, start.
 ANCHOR_KINDS = ["<u8", "i1", "<i8", "<i4"]
 WINDOW_KINDS = ["<u8", "<i4", "i1", "<i8", "<i8", "<i4"]
+HIT_KINDS = ["<i8", "<i4"]
+COVER_KINDS = ["<i8", "<i8", "i1", "<i4"]
 HITS = "key bigint, hits array<int>"
-COVERS = "key bigint, doc_id bigint, starts array<int>"
+COVERS = "key bigint, covers array<struct<doc_id: bigint, starts: array<int>>>"
 
 
 class _Text:
@@ -117,15 +119,27 @@ def _anchor_rows(window: int, parts: int):
     return run
 
 
-def _shared_anchors(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Places of the anchors that occur more than once, by document."""
-    name, count, key, place = columns
-    order = np.argsort(name, kind="stable")
-    name, count, key, place = name[order], count[order], key[order], place[order]
-    first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-    shared = np.repeat(np.add.reduceat(count.astype(np.int64), first) > 1, np.diff(np.append(first, len(name))))
-    key, place = key[shared], place[shared]
-    order = np.lexsort((place, key))
+def _to_documents(columns: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows whose first column is a document key, as blobs by key."""
+    return packed((mix(columns[0].view(np.uint64)) % np.uint64(parts)).astype(np.int64), columns)
+
+
+def _shared_anchors(parts: int):
+    def work(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Documents and places of the anchors that occur more than once."""
+        name, count, key, place = columns
+        order = np.argsort(name, kind="stable")
+        name, count, key, place = name[order], count[order], key[order], place[order]
+        first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
+        shared = np.repeat(np.add.reduceat(count.astype(np.int64), first) > 1, np.diff(np.append(first, len(name))))
+        yield from _to_documents([key[shared], place[shared]], parts)
+
+    return work
+
+
+def _hit_lists(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    key, place = columns
+    order = np.argsort(key, kind="stable")
     first, lists = _lists(key[order], place[order])
     yield pa.RecordBatch.from_arrays([pa.array(key[order][first]), lists], ["key", "hits"])
 
@@ -175,29 +189,39 @@ def _later(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _covered(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Starts of windows that are not the first of their kind, by document."""
-    already = columns[2] >= 2
-    later = already.copy()
-    later[~already] = _later([c[~already] for c in columns])
-    known, number, key, pos = (c[later] for c in columns[2:])
-    order = np.lexsort((pos, number, known, key))
-    known, number, key, pos = known[order] % 2 == 1, number[order], key[order], pos[order]
-    first, lists = _lists(key, pos)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(key[first]), pa.array(number[first], mask=~known[first]), lists], ["key", "doc_id", "starts"]
-    )
+def _covered(parts: int):
+    def work(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Documents and starts of windows that are not the first of their kind."""
+        already = columns[2] >= 2
+        later = already.copy()
+        later[~already] = _later([c[~already] for c in columns])
+        known, number, key, pos = (c[later] for c in columns[2:])
+        yield from _to_documents([key, number, known % np.int8(2), pos], parts)
+
+    return work
+
+
+def _cover_lists(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    order = np.lexsort((columns[1], columns[2], columns[0]))
+    key, number, known, pos = (c[order] for c in columns)
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (number[1:] != number[:-1]) | (known[1:] != known[:-1])])[: len(key)]
+    inner = np.flatnonzero(new)
+    starts = pa.ListArray.from_arrays(pa.array(np.append(inner, len(key)), pa.int32()), pa.array(pos, pa.int32()))
+    cover = pa.StructArray.from_arrays([pa.array(number[inner], mask=known[inner] == 0), starts], ["doc_id", "starts"])
+    outer = np.flatnonzero(np.concatenate([[True], key[inner][1:] != key[inner][:-1]])[: len(inner)])
+    lists = pa.ListArray.from_arrays(pa.array(np.append(outer, len(inner)), pa.int32()), cover)
+    yield pa.RecordBatch.from_arrays([pa.array(key[inner][outer]), lists], ["key", "covers"])
 
 
 def covers(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(key, covers)``: per document the starts of its windows that occur earlier, with the doc_id they belong to."""
     parts = parts_for(keyed)
     drawn = keyed.mapInArrow(_anchor_rows(window, parts), BLOBS)
-    shared = by_part(drawn, _shared_anchors, ANCHOR_KINDS, HITS)
-    hits = shared.groupBy("key").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    shared = by_part(drawn, _shared_anchors(parts), ANCHOR_KINDS, BLOBS)
+    hits = by_part(shared, _hit_lists, HIT_KINDS, HITS)
     found = keyed.join(hits, "key").mapInArrow(_window_rows(window, parts), BLOBS)
-    starts = by_part(found, _covered, WINDOW_KINDS, COVERS)
-    return starts.groupBy("key").agg(F.collect_list(F.struct("doc_id", "starts")).alias("covers"))
+    later = by_part(found, _covered(parts), WINDOW_KINDS, BLOBS)
+    return by_part(later, _cover_lists, COVER_KINDS, COVERS)
 
 
 def _kept_rows(window: int, kept_as: str):
