@@ -5,12 +5,12 @@
    equal sets become one class at once, pre-aggregated before the shuffle.
 2. Bands of ``BAND`` compressed registers put classes into buckets. A pair at similarity s shares none of
    the 32 bands with probability (1 - s^4)^32: 6e-11 at 0.85, 5e-8 at 0.8.
-3. Pairs are taken from buckets in three turns, each confirmed before the next: every member with a hub of
-   its bucket; then, between different components only, each member's best partners; then all pairs
-   between different components that still share a bucket. Only pairs whose collision-corrected Jaccard
+3. Pairs are taken from buckets in two turns, the first confirmed before the second: every member with a
+   hub of its bucket; then all pairs between different components that still share a bucket, inside tiles
+   that return only links which join components. Only pairs whose collision-corrected Jaccard
    estimate is within ``SLACK`` (over four standard deviations) of the threshold are confirmed, and a pair
    comes from the first band it shares. So a group of many copies costs a few pairs per member, never all
-   of them, and no link between components goes untested. Buckets of more than ``TILE`` members are dealt
+   of them, and no pair between components goes untested. Buckets of more than ``TILE`` members are dealt
    into tiles; nothing is capped.
 4. Links are confirmed on the full sets and joined to components.
 
@@ -40,7 +40,6 @@ BANDS = REGISTERS // BAND
 EMPTY = 0xFFFF
 SLACK = 0.13
 HUBS = 4
-PARTNERS = 2
 TILE = 4096
 SLICE_BYTES = 6 << 20
 #: Expected accidental collisions of a register, times 2^MANTISSA, for sets of equal size.
@@ -146,10 +145,97 @@ def _with_estimates(pairs: DataFrame, classes: DataFrame, least: float) -> DataF
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint, likeness double")
 
 
-def _between(members: DataFrame, parts: DataFrame, classes: DataFrame, least: float, partners: int | None) -> DataFrame:
-    """Pairs of a bucket that lie in different components, each from the first band it shares.
-
-    ``partners`` keeps each member's best ones only.
+TILED = "key bigint, band tinyint, id bigint, part bigint, chunk int, i int, j int, n bigint, registers binary"
+TILE_ORDER = ["key", "i", "j"]
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """One table per tile from rows that come tile by tile."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, i, j = (batch.column(c).to_numpy() for c in TILE_ORDER)
+        new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        if held and tuple(held[-1].column(c)[-1].as_py() for c in TILE_ORDER) != (key[0], i[0], j[0]):
+            yield pa.Table.from_batches(held)
+            held = []
+        start = 0
+        for stop in new.tolist():
+            yield pa.Table.from_batches([*held, batch.slice(start, stop - start)])
+            held, start = [], stop
+        held.append(batch.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pairs_of_tile(tile: pa.Table, least: float, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and estimates of the pairs between components whose first shared band is the tile's."""
+    ids, part, chunk = (tile.column(c).to_numpy() for c in ("id", "part", "chunk"))
+    sizes, registers = tile.column("n").to_numpy().astype(float), _registers(tile.column("registers"))
+    band, across = tile.column("band")[0].as_py(), tile.column("i")[0].as_py() != tile.column("j")[0].as_py()
+    hashes, filled = _band_hashes(registers)
+    left, right, values = [], [], []
+    for x in range(len(ids)):
+        # A tile of two different chunks pairs across them only.
+        fits = (part != part[x]) & (ids > ids[x]) & (100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x]))
+        other = np.flatnonzero(fits & (chunk != chunk[x]) if across else fits)
+        if not len(other):
+            continue
+        value = estimate(registers[x], registers[other], np.full(len(other), sizes[x]), sizes[other])
+        other, value = other[value >= least], value[value >= least]
+        if len(other):
+            first = ((hashes[other] == hashes[x]) & filled[x]).argmax(axis=1) == band
+            other, value = other[first], value[first]
+            left.append(np.full(len(other), x))
+            right.append(other)
+            values.append(value)
+    if not left:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    return np.concatenate(left), np.concatenate(right), np.concatenate(values)
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    at = np.searchsorted(large, small)
+    return int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
+
+
+def _joins_of_tile(tile: pa.Table, least: float, percent: int) -> tuple[list[int], list[int]]:
+    """Confirmed links that join components, each pair of components at most once per tile."""
+    a, b, value = _pairs_of_tile(tile, least, percent)
+    ids, part = tile.column("id").to_pylist(), tile.column("part").to_pylist()
+    sets = tile.column("values")
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in above:
+            x = above[x]
+        return x
+
+    read: dict[int, np.ndarray] = {}
+    u, v = [], []
+    for k in np.argsort(-value, kind="stable"):
+        x, y = int(a[k]), int(b[k])
+        p, q = top(part[x]), top(part[y])
+        if p == q:
+            continue
+        for z in (x, y):
+            if z not in read:
+                read[z] = np.frombuffer(sets[z].as_py(), "<u8")
+        common = _common(read[x], read[y])
+        if 100 * common >= percent * (len(read[x]) + len(read[y]) - common):
+            above[max(p, q)] = min(p, q)
+            u.append(ids[x])
+            v.append(ids[y])
+    return u, v
+
+
+def _between(members: DataFrame, parts: DataFrame, classes: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
+    """``(u, v)``: confirmed links that join different components; every pair that could be one is looked at.
+
+    Sketches first tell which members of a bucket have a likely partner in another component; only those get
+    their full sets, and a tile returns the links that join components, fewer than it has members.
     """
     named = members.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id"))
     bucket = Window.partitionBy("key")
@@ -160,68 +246,25 @@ def _between(members: DataFrame, parts: DataFrame, classes: DataFrame, least: fl
     own = F.pmod(F.xxhash64("id"), tiles).cast("int")
     tile = F.transform(F.sequence(F.lit(0), tiles - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     dealt = mixed.withColumn("tile", F.explode(tile)).select("key", "band", "id", "part", own.alias("chunk"), "tile.i", "tile.j")
-    known = dealt.join(classes.select("id", "n", "registers"), "id")
-
-    def pairs_of(ids, part, chunk, sizes, registers, band, i, j) -> tuple[np.ndarray, np.ndarray]:
-        hashes, filled = _band_hashes(registers)
-        left, right = [], []
-        for x in range(len(ids)):
-            # A tile of two different chunks pairs across them only.
-            other = np.flatnonzero((part != part[x]) & (ids > ids[x]) & ((chunk != chunk[x]) if i != j else True))
-            if not len(other):
-                continue
-            other = other[estimate(registers[x], registers[other], np.full(len(other), sizes[x]), sizes[other]) >= least]
-            same = (hashes[other] == hashes[x]) & filled[x]
-            other = other[same.argmax(axis=1) == band] if len(other) else other
-            left.append(np.full(len(other), x))
-            right.append(other)
-        if not left:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        a, b = np.concatenate(left), np.concatenate(right)
-        if partners is not None and len(a):
-            value = estimate(registers[a], registers[b], sizes[a], sizes[b])
-            keep = np.zeros(len(a), bool)
-            for side in (a, b):
-                order = np.lexsort((-value, side))
-                first = np.searchsorted(side[order], side[order])
-                keep[order[np.arange(len(a)) - first < partners]] = True
-            a, b = a[keep], b[keep]
-        return ids[a], ids[b]
+    columns = ["key", "band", "id", "part", "chunk", "i", "j", "n", "registers"]
+    known = dealt.join(classes.select("id", "n", "registers"), "id").select(*columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def tiles_of(table: pa.Table) -> pa.RecordBatch:
-            key, i, j = (table.column(c).to_numpy() for c in ("key", "i", "j"))
-            cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
-            ids, part, chunk, band = (table.column(c).to_numpy() for c in ("id", "part", "chunk", "band"))
-            sizes, registers = table.column("n").to_numpy().astype(float), _registers(table.column("registers"))
-            found = [
-                pairs_of(ids[x:y], part[x:y], chunk[x:y], sizes[x:y], registers[x:y], band[x], i[x], j[x])
-                for x, y in zip(cut[:-1], cut[1:], strict=True) if y - x > 1
-            ]
-            a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _tiles(batches):
+            a, b, _ = _pairs_of_tile(table, least, percent)
+            if len(a):
+                yield from table.take(pa.array(np.union1d(a, b))).combine_chunks().to_batches()
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            last = (batch.column("key")[-1], batch.column("i")[-1], batch.column("j")[-1])
-            keep = batch.num_rows
-            while keep and (batch.column("key")[keep - 1], batch.column("i")[keep - 1], batch.column("j")[keep - 1]) == last:
-                keep -= 1
-            if keep:
-                yield tiles_of(pa.Table.from_batches([*held, batch.slice(0, keep)]))
-                held = []
-            elif held and (held[-1].column("key")[-1], held[-1].column("i")[-1], held[-1].column("j")[-1]) != last:
-                yield tiles_of(pa.Table.from_batches(held))
-                held = []
-            held.append(batch.slice(keep))
-        if held:
-            yield tiles_of(pa.Table.from_batches(held))
-
-    order = ["key", "i", "j"]
-    return known.repartition(*order).sortWithinPartitions(*order, "id").mapInArrow(run, "a bigint, b bigint").distinct()
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _tiles(batches):
+            u, v = _joins_of_tile(table, least, percent)
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    together = lambda df: df.repartition(*TILE_ORDER).sortWithinPartitions(*TILE_ORDER, "id")
+    found = together(known).mapInArrow(likely, TILED)
+    with_sets = found.join(sets.select("id", "values"), "id").select(*columns, "values")
+    return together(with_sets).mapInArrow(confirm, "u bigint, v bigint")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -233,9 +276,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             u, v = [], []
             for a, b, raw_a, raw_b in zip(*columns, strict=True):
                 x, y = np.frombuffer(raw_a, "<u8"), np.frombuffer(raw_b, "<u8")
-                small, large = (x, y) if len(x) < len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+                common = _common(x, y)
                 if 100 * common >= percent * (len(x) + len(y) - common):
                     u.append(a)
                     v.append(b)
@@ -281,10 +322,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     best = near.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("likeness"), "a")))
     links = written(_confirmed(best.where(F.col("rank") <= HUBS), sets, percent), "links")
     parts = written(components(links), "parts")
-    for partners in (PARTNERS, None):
-        more = written(_confirmed(_between(members, parts, classes, least, partners), sets, percent), "links")
-        stars = parts.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
-        parts = written(components(stars.unionByName(more)), "parts")
+    more = _between(members, parts, classes, sets, least, percent)
+    stars = parts.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
+    parts = written(components(stars.unionByName(more)), "parts")
 
     named = every.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("part"))
     return drawn.select("doc_id", "n", "digest").join(named, "digest", "left").select(
