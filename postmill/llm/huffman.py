@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.shared import id_bounds, place_of
+from postmill.llm.shared import id_bounds
 from postmill.llm.wordids import word_ids
 from postmill.llm.words import slices
 
@@ -124,7 +124,8 @@ def tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     """``(part, doc_id, place, n_tokens, ids)`` per document; ``part`` is its range of ids, ``place`` orders equal ids."""
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     bounds = id_bounds(rows, "doc_id", ROWS_PER_RANGE)
-    placed = rows.select(place_of("doc_id", bounds)["part"].alias("part"), "doc_id", F.xxhash64("text").alias("place"), "text")
+    edges = np.array(bounds or [0], np.int64)
+    placed = rows.select("doc_id", F.xxhash64("text").alias("place"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_ids(tokenizer)
@@ -133,11 +134,13 @@ def tokens(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
                 ids, offsets = encode.batch(part.column("text"))
                 ends = offsets[1:]
                 with_end = np.insert(ids, ends, end_id).astype("<u2" if ids.max(initial=end_id) < 1 << 16 else "<u4")
-                bounds = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
+                cut = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
                 # Ids of 16 bits where they fit; the number of ids tells which.
-                data = pa.array([with_end[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())
+                data = pa.array([with_end[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary())
+                names = part.column("doc_id")
+                at = np.searchsorted(edges, names.fill_null(int(edges[0])).to_numpy(), side="right") - 1
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in ("part", "doc_id", "place")] + [pa.array(np.diff(bounds), pa.int64()), data],
+                    [pa.array(np.maximum(at, 0), pa.int32()), names, part.column("place")] + [pa.array(np.diff(cut), pa.int64()), data],
                     ["part", "doc_id", "place", "n_tokens", "ids"],
                 )
 
