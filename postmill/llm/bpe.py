@@ -30,11 +30,14 @@ from pyspark.sql import functions as F
 from postmill.llm.words import spread
 
 BLOCK_WORDS = 4 << 20
+#: Words whose ids are sent at once, and words whose positions are filled at once.
+SENT_ROWS = 1 << 18
+FILLED_WORDS = 1 << 19
 #: Java's \\s and \\S take all Unicode white space under this flag, as the pattern's own engine does.
 UNICODE = "(?U)"
 
 ASKED = "block bigint, word string, local int"
-GIVEN = "block bigint, local int, ids binary"
+GIVEN = "block bigint, n int, data binary"
 PLACES = "block bigint, n_distinct bigint, doc_ids array<bigint>, counts array<bigint>, places binary"
 ENCODED = "doc_id bigint, ids binary, decoded binary"
 
@@ -61,7 +64,13 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np.n
             stop = max(start + 1, int(np.searchsorted(total, limit, side="right")))
             part = batch.slice(start, stop - start)
             coded = part.column("words").flatten().dictionary_encode()
-            yield number, part.column("doc_id").to_pylist(), counts[start:stop].astype(np.int64), coded.dictionary, coded.indices.to_numpy()
+            index = coded.indices.to_numpy()
+            # Frequent words get small numbers, which compress better.
+            often = np.argsort(-np.bincount(index, minlength=len(coded.dictionary)), kind="stable")
+            number_of = np.empty(len(often), np.int64)
+            number_of[often] = np.arange(len(often))
+            names, sizes = part.column("doc_id").to_pylist(), counts[start:stop].astype(np.int64)
+            yield number, names, sizes, coded.dictionary.take(pa.array(often)), number_of[index]
             number, start = number + 1, stop
 
 
@@ -79,10 +88,48 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for number, names, counts, distinct, index in _blocks(batches):
         yield pa.RecordBatch.from_arrays([
             pa.array([number]), pa.array([len(distinct)]), pa.array([names], pa.list_(pa.int64())),
-            pa.array([counts], pa.list_(pa.int64())), pa.array([packer.compress(index.astype("<i4").tobytes())]),
+            pa.array([counts], pa.list_(pa.int64())), pa.array([packer.compress(_planes(index))]),
         ], ["block", "n_distinct", "doc_ids", "counts", "places"])
 
 
+def _given(held: list[tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Per block that asked: numbers of its words, how many ids each has, and the ids, compressed together."""
+    block, local = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+    words = [w for h in held for w in h[2]]
+    before = np.cumsum([0, *[len(h[2]) for h in held]])
+    index = np.concatenate([h[3] + n for h, n in zip(held, before, strict=False)])
+    size = np.fromiter(map(len, words), np.int64, len(words)) // 4
+    pool = np.frombuffer(b"".join(words), "<u4")
+    order = np.argsort(block, kind="stable")
+    block, local, index = block[order], local[order], index[order]
+    first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    ends, packer, data = np.append(first[1:], len(block)), zstandard.ZstdCompressor(level=1), []
+    for a, b in zip(first, ends, strict=True):
+        own = index[a:b]
+        data.append(packer.compress(_planes(local[a:b]) + _planes(size[own]) + _planes(pool[spread(size, own)[0]])))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(block[first]), pa.array((ends - first).astype(np.int32)), pa.array(data, pa.binary())], ["block", "n", "data"]
+    )
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """32-bit numbers byte place by byte place: the high bytes of small numbers compress to nothing."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def _opened(n: int, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    return _from_planes(raw[: 4 * n]), _from_planes(raw[4 * n : 8 * n]), _from_planes(raw[8 * n :])
+
+
+def _read_places(data: bytes) -> np.ndarray:
+    return _from_planes(zstandard.ZstdDecompressor().decompress(data))
+
+
 def encode(
     docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
@@ -94,7 +141,8 @@ def encode(
         import tiktoken
 
         encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
-        last, ids = None, b""
+        last, ids, n_held = None, b"", 0
+        held: list[tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]] = []
         for batch in batches:
             coded = batch.column("word").dictionary_encode()
             of_word = []
@@ -102,29 +150,44 @@ def encode(
                 if word != last:
                     last, ids = word, np.array(encoding.encode_ordinary(word), "<u4").tobytes()
                 of_word.append(ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("block"), batch.column("local"), pa.array(of_word, pa.binary()).take(coded.indices)], ["block", "local", "ids"]
-            )
+            held.append((batch.column("block").to_numpy(), batch.column("local").to_numpy(), of_word, coded.indices.to_numpy()))
+            n_held += batch.num_rows
+            if n_held >= SENT_ROWS:
+                yield from _given(held)
+                held, n_held = [], 0
+        if held:
+            yield from _given(held)
 
     def gather(given: pa.Table, places: pa.Table) -> pa.Table:
-        if places.num_rows != 1 or given.num_rows != places.column("n_distinct")[0].as_py():
+        parts = [_opened(n, data) for n, data in zip(given.column("n").to_pylist(), given.column("data").to_pylist(), strict=True)]
+        n = sum(len(p[0]) for p in parts)
+        if places.num_rows != 1 or n != places.column("n_distinct")[0].as_py():
             raise ValueError("words and positions of a block don't belong together")
-        local = given.column("local").combine_chunks().to_numpy()
-        pool = given.column("ids").combine_chunks().take(pa.array(np.argsort(local))) if len(local) else pa.array([], pa.binary())
-        size = pc.binary_length(pool).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-        raw = zstandard.ZstdDecompressor().decompress(places.column("places")[0].as_py())
-        picked, ends = spread(size, np.frombuffer(raw, "<i4"))
-        ids = np.frombuffer(b"".join(pool.to_pylist()), "<u4")[picked]
+        local, size, pool = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in range(3))
+        order = np.argsort(local)
+        pool = pool[spread(size, order)[0]].astype("<u4")
+        size = size[order]
+        index = _read_places(places.column("places")[0].as_py())
+        begin = np.cumsum(size) - size
         counts = np.array(places.column("counts")[0].as_py(), np.int64)
-        cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        table = token_bytes(ranks_path)
-        taken, byte_ends = spread(table.size, ids)
-        decoded = table.data[taken]
-        byte_cut = np.concatenate([[0], byte_ends])[cut]
+        last = np.cumsum(counts)
+        table, ids_out, decoded_out, start = token_bytes(ranks_path), [], [], 0
+        while start < len(counts):
+            before = int(last[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(last, before + FILLED_WORDS, side="right")))
+            own = index[before : int(last[stop - 1])]
+            lengths = size[own]
+            ends = np.cumsum(lengths)
+            ids = pool[np.repeat(begin[own] - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            cut = np.concatenate([[0], ends])[np.concatenate([[0], last[start:stop] - before])]
+            taken, byte_ends = spread(table.size, ids)
+            decoded = table.data[taken]
+            byte_cut = np.concatenate([[0], byte_ends])[cut]
+            ids_out += [ids[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+            decoded_out += [decoded[a:b].tobytes() for a, b in zip(byte_cut, byte_cut[1:], strict=False)]
+            start = stop
         return pa.table([
-            places.column("doc_ids").combine_chunks().flatten(),
-            pa.array([ids[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)], pa.binary()),
-            pa.array([decoded[a:b].tobytes() for a, b in zip(byte_cut, byte_cut[1:], strict=False)], pa.binary()),
+            places.column("doc_ids").combine_chunks().flatten(), pa.array(ids_out, pa.binary()), pa.array(decoded_out, pa.binary()),
         ], names=["doc_id", "ids", "decoded"])
 
     given = found.mapInArrow(_asked, ASKED).repartition("word").sortWithinPartitions("word").mapInArrow(give, GIVEN)
