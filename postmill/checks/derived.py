@@ -115,7 +115,7 @@ def postings_sql(dialect: dict[str, str]) -> str:
       doc || {_pick('k % 9', "''", "' Needs 3+ years of experience.'", "' Min 2 years with SQL.'", "' Freshers can apply.'", "' US only.'", "' experience: 2-4 years'", "' at least 5 years'", "' 1 to 3 yrs'", "'   '")} AS description,
       {_pick('k % 8', "''", "'FULL TIME'", "'parttime'", "'freelance'", "'intern'", "'permanent'", "' temporary '", "'Other'")} AS job_type
     FROM (
-      SELECT o_orderkey AS k, o_orderdate, p_name, s_name, n_name, substr(text, 1, 200) AS doc,
+      SELECT o_orderkey AS k, o_orderdate, p_name, s_name, n_name, text AS doc,
         CASE WHEN o_orderkey % 5 = 4 THEN o_orderkey - 4 ELSE o_orderkey END AS g,
         CAST(floor(o_totalprice) AS BIGINT) AS price,
         {_pick('o_orderkey % 3', "'naukri'", "'remoteok'", "'wellfound'")} AS src
@@ -132,8 +132,8 @@ def postings_sql(dialect: dict[str, str]) -> str:
     """
 
 
-def details_sql(dialect: dict[str, str]) -> str:
-    """``(source, url, text)``: a page text for seven of ten orders."""
+def details_sql(dialect: dict[str, str], gaps: bool = True) -> str:
+    """``(source, url, text)``: a page text for every order; with ``gaps`` three of ten have none, as in a join."""
     t = {name: dialect["table"].format(name=name) for name in ("orders", "documents")}
     experience = _pick(
         "k % 12", "' Needs 0-3 years of experience in SQL.'", "' Minimum 2 years.'", "' We want 4+ yrs.'",
@@ -153,7 +153,7 @@ def details_sql(dialect: dict[str, str]) -> str:
     FROM (SELECT o_orderkey AS k, text
           FROM (SELECT o_orderkey, o_orderkey % (SELECT count(*) FROM {t['documents']}) AS doc_k FROM {t['orders']}) o
           JOIN {t['documents']} d ON doc_id = doc_k
-          WHERE o_orderkey % 10 < 7) base
+          {'WHERE o_orderkey % 10 < 7' if gaps else ''}) base
     """
 
 
@@ -213,8 +213,8 @@ def raw_postings(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def details(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.sql(details_sql(SPARK), **tables(spark, folder, "orders", "documents"))
+def details(spark: SparkSession, folder: str, gaps: bool = True) -> DataFrame:
+    return spark.sql(details_sql(SPARK, gaps), **tables(spark, folder, "orders", "documents"))
 
 
 def searches(spark: SparkSession, folder: str) -> DataFrame:

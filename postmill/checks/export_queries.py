@@ -38,10 +38,10 @@ def write_csv(spark, sf):
     return exports.read_csv_text(spark, _written(spark, export_projection(_postings(spark, sf)), "export"))
 
 
-@query("scan_csv_text", f"{duck.stages('good')} SELECT {CANON_EXPORT} FROM good WHERE contains(description, chr(10))")
+@query("scan_csv_text", f"{duck.stages('good')} SELECT {CANON_EXPORT} FROM good")
 def scan_csv_text(spark, sf):
     path = _written(spark, export_projection(_postings(spark, sf)), "export")
-    return exports.read_csv_text(spark, path).where(F.col("description").contains("\n"))
+    return exports.read_csv_text(spark, path)
 
 
 @query(
@@ -109,9 +109,12 @@ def fill_export_defaults(spark, sf):
     return exports.fill_export_defaults(rows, RUN_AT).select("k", "posted_date", "scraped_at")
 
 
+_PLACES = "array_to_string(locations, ' ')"
+
+
 @query(
     "run_output_path",
-    f"WITH {SEARCH_CTES} SELECT search_id, coalesce(nullif({duck.slug('role')}, ''), 'all') AS role_slug, coalesce(nullif({duck.slug(chr(97) + 'rray_to_string(locations, chr(32))')}, ''), 'all') AS location_slug FROM parsed",
+    f"WITH {SEARCH_CTES} SELECT search_id, coalesce(nullif({duck.slug('role')}, ''), 'all') AS role_slug, coalesce(nullif({duck.slug(_PLACES)}, ''), 'all') AS location_slug FROM parsed",
 )
 def run_output_path(spark, sf):
     s = derived.searches(spark, sf).select("search_id", parse_search(F.col("text")).alias("s"))

@@ -76,26 +76,28 @@ _scalar("format_date", f"coalesce({duck.date('posted_raw')}, posted_raw, '') AS
 _scalar("max_experience", f"{duck.max_experience('experience_raw', 'description')} AS years",
         years=lambda: experience.max_experience(F.col("experience_raw"), F.col("description")))
 
-_DEEP = f"WITH pages_raw AS ({derived.details_sql(derived.DUCK)}), {duck.deep_ctes('deep', 'pages_raw', 'text')}"
+_DEEP = f"WITH pages_raw AS ({derived.details_sql(derived.DUCK, gaps=False)}), {duck.deep_ctes('deep', 'pages_raw', 'text')}"
 
 
 @query("deep_experience", f"{_DEEP} SELECT k, x_exp AS experience_raw, CAST(x_max AS BIGINT) AS years FROM deep")
 def deep_experience(spark, sf):
-    found = experience.with_deep_fields(derived.details(spark, sf), "text")
+    found = experience.with_deep_fields(derived.details(spark, sf, gaps=False), "text")
     return found.select("k", F.col("d_experience.experience_raw").alias("experience_raw"), F.col("d_experience.max_experience").alias("years"))
 
 
 @query("deep_salary", f"{_DEEP} SELECT k, x_sal AS salary_raw, nullif(lo, 0) AS salary_min, nullif(hi, 0) AS salary_max FROM deep")
 def deep_salary(spark, sf):
-    found = experience.with_deep_fields(derived.details(spark, sf), "text")
+    found = experience.with_deep_fields(derived.details(spark, sf, gaps=False), "text")
     lo, hi = (F.nullif(F.col(f"d_bounds.{c}"), F.lit(0)) for c in ("lo", "hi"))
     return found.select("k", F.col("d_salary_raw").alias("salary_raw"), lo.alias("salary_min"), hi.alias("salary_max"))
 
 
 _scalar("norm_title", f"{duck.collapse('title')} AS title", title=lambda: text.norm_title(F.col("title")))
 _scalar("norm_company", f"{duck.company('company')} AS company", company=lambda: text.norm_company(F.col("company")))
+_FOLLOWED = "'Acme ' || k || 'k+ Followers on site'"
+_NUMBERED = "'Forever ' || k"
 _scalar("clean_company_ratings",
-        f"{duck.company_ratings(chr(99) + 'ompany')} AS company, {duck.company_ratings(chr(39) + 'Acme ' + chr(39) + ' || k || ' + chr(39) + 'k+ Followers on site' + chr(39))} AS followed, {duck.company_ratings(chr(39) + 'Forever ' + chr(39) + ' || k')} AS numbered",
+        f"{duck.company_ratings('company')} AS company, {duck.company_ratings(_FOLLOWED)} AS followed, {duck.company_ratings(_NUMBERED)} AS numbered",
         company=lambda: text.clean_company_ratings(F.col("company")),
         followed=lambda: text.clean_company_ratings(F.concat(F.lit("Acme "), F.col("k").cast("string"), F.lit("k+ Followers on site"))),
         numbered=lambda: text.clean_company_ratings(F.concat(F.lit("Forever "), F.col("k").cast("string"))))

@@ -53,7 +53,7 @@ _LO, _HI = f"({duck.coerce('salary_min')})", f"({duck.coerce('salary_max')})"
       FROM base WHERE {_LEGAL}""",
 )
 def project_feed(spark, sf):
-    rows = feed.project_feed(feed.scan_feed_json(payloads.feed(spark, sf)), derived.AS_OF)
+    rows = feed.project_feed(feed.scan_feed_json(payloads.feed(spark, sf)), derived.AS_OF, limit=500)
     return rows.withColumn("tags", F.array_join("tags", "|"))
 
 
@@ -253,4 +253,4 @@ _LINE = duck.collapse(_pieces(_PAGE_TEXT, "' '"))
 
 @query("clean_html", f"SELECT page_id, CASE WHEN length({_LINE}) > 500 THEN substr({_LINE}, 1, 500) || '...' ELSE {_LINE} END AS text FROM pages")
 def clean_html(spark, sf):
-    return derived.table(spark, sf, "pages").select("page_id", clean_html_column(F.col("html")).alias("text"))
+    return derived.table(spark, sf, "pages").select("page_id", clean_html_column(F.col("html"), 500).alias("text"))

@@ -85,9 +85,10 @@ def spaced_text(html_text: Column, separator: str = " ") -> Column:
     return F.array_join(F.filter(F.transform(F.split(text, SEP), strip), lambda t: t != ""), separator)
 
 
-def clean_html(html_text: Column, limit: int = 500) -> Column:
-    """One line of text, cut at ``limit`` characters."""
-    return clip(collapse(spaced_text(html_text)), limit)
+def clean_html(html_text: Column, limit: int | None = None) -> Column:
+    """One line of text; cut at ``limit`` characters if one is given."""
+    line = collapse(spaced_text(html_text))
+    return line if limit is None else clip(line, limit)
 
 
 # --------------------------------------------------------------------------
@@ -160,7 +161,9 @@ class _Nodes(HTMLParser):
         self.pending.append(self.entities.get(name, "&" + name))
 
     def handle_charref(self, name):
-        code = int(name[1:], 16) if name[0] in "xX" else int(name)
+        digits, base = (name[1:], 16) if name[0] in "xX" else (name, 10)
+        # No code point has more digits; longer numbers would only cost time.
+        code = int(digits, base) if 0 < len(digits.lstrip("0")) <= 8 else 0
         valid = 0 < code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF
         self.pending.append(self.entities.get(f"#{code}") or (chr(code) if valid else "�"))
 
@@ -179,8 +182,11 @@ def html_nodes(pages: pa.Array) -> pa.Array:
         if not page:
             return []
         parser = _Nodes(entities)
-        parser.feed(page)
-        parser.close()
+        try:
+            parser.feed(page)
+            parser.close()
+        except (AssertionError, ValueError):
+            return None  # a page the tokenizer can't read must not end the job
         parser.flush()
         for node in parser.open:
             node["hi"] = len(parser.nodes)

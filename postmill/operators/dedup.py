@@ -52,6 +52,6 @@ def cross_source_dedup(sources: Sequence[DataFrame]) -> DataFrame:
     return dedup_exact(merge_sources(sources))
 
 
-def cap_per_source(df: DataFrame, limit: int = 50) -> DataFrame:
+def cap_per_source(df: DataFrame, limit: int) -> DataFrame:
     """First ``limit`` postings of each source."""
     return first_per_group(df, [F.col("source")], order_columns(df), limit)

@@ -151,7 +151,7 @@ def test_html(spark):
         ("a &amp;&amp;& b &unknown; &#8377;&#x20B9; &lt;i&gt; &euro &#150;", "a &&& b &unknown ₹₹ <i> € –"),
         ("x<!-- <b>no</b> -->y<script>if (a < b) {}</script>z <a title='a > b'>t</a> 1 < 2", "x y z t 1 < 2"),
         ("plain", "plain"), ("", ""), (None, ""),
-    ], lambda: html.clean_html(F.col("v")))
+    ], lambda: html.clean_html(F.col("v"), 500))
 
 
 def test_keywords_and_locations(spark):

@@ -265,3 +265,12 @@ def test_registry(spark):
     assert default_registry().names() == ["naukri", "remoteok", "wellfound"]
     with pytest.raises(ValueError):
         registry.register(" ", lambda p: p)
+
+
+def test_unreadable_pages_do_not_end_the_job(spark):
+    from postmill.functions.html import html_nodes
+
+    pages = [(0, "<p>fine</p>"), (1, "<![foo[ x"), (2, "<p>&#" + "9" * 5000 + "; end</p>")]
+    rows = spark.createDataFrame(pages, "i int, html string").select("i", html_nodes("html").alias("n")).collect()
+    found = {r["i"]: r["n"] for r in rows}
+    assert found[0] and found[1] is None and found[2]
