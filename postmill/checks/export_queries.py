@@ -67,7 +67,10 @@ def scan_csv_glob(spark, sf):
     return exports.read_csv_glob(spark, _two_runs(spark, sf) + "/jobs_*.csv")
 
 
-@query("list_exports")
+_RUN_NAME = f"'jobs_data-engineer_' || CASE k % 2 WHEN 0 THEN 'pune' ELSE 'noida' END || '_{RUN_AT:%Y%m%d_%H%M%S}.csv'"
+
+
+@query("list_exports", f"{duck.stages('good')} SELECT DISTINCT {_RUN_NAME} AS name FROM good")
 def list_exports(spark, sf):
     return exports.list_exports(spark, _two_runs(spark, sf))
 
@@ -122,7 +125,7 @@ def run_output_path(spark, sf):
     return s.select("search_id", role.alias("role_slug"), place.alias("location_slug"))
 
 
-@query("empty_guard")
+@query("empty_guard", f"{GOOD} WHERE title = 'no such title'")
 def empty_guard(spark, sf):
     """Nothing matches, nothing is written, and the missing export reads as empty."""
     path = staging_path(spark, "none") + ".csv"

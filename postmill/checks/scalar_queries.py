@@ -167,10 +167,11 @@ _scalar("resolve_url", f"{RESOLVE.format(u='link')} AS joined, CASE WHEN link =
 
 # ---------------------------------------------------------------- searches
 
+_ROLE = r"regexp_replace(CASE WHEN split THEN a ELSE q END, '(?i)\b(?:find|search|looking\s+for|jobs?|roles?|openings?)\b', ' ', 'g')"
 SEARCH_CTES = f"""raw AS ({derived.searches_sql(derived.DUCK)}),
   q AS (SELECT search_id, {duck.collapse('text')} AS q FROM raw),
   h AS (SELECT search_id, q, regexp_extract(q, '(?i)^(.*?)\\b(?:in|at|across)\\b(.*)$', 1) AS a, regexp_extract(q, '(?i)^(.*?)\\b(?:in|at|across)\\b(.*)$', 2) AS b, regexp_matches(q, '(?i)\\b(?:in|at|across)\\b') AS split FROM q),
-  p AS (SELECT search_id, trim({duck.collapse(chr(10) + "regexp_replace(CASE WHEN split THEN a ELSE q END, '(?i)\\b(?:find|search|looking\\s+for|jobs?|roles?|openings?)\\b', ' ', 'g')")}, ' ,.-') AS role,
+  p AS (SELECT search_id, trim({duck.collapse(_ROLE)}, ' ,.-') AS role,
      list_filter(list_transform(regexp_split_to_array(CASE WHEN split THEN b ELSE '' END, '(?i)\\s*(?:,|\\band\\b|\\bor\\b|&)\\s*'), lambda x: trim({duck.collapse('x')}, ' .')), lambda x: x <> '') AS places FROM h),
   s AS (SELECT search_id, role, list_transform(places, lambda x: {duck.alias('x')}) AS dup FROM p),
   parsed AS (SELECT search_id, role, list_filter(dup, lambda x, i: list_position(dup, x) = i) AS locations FROM s)

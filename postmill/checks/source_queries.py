@@ -75,18 +75,30 @@ def scan_api_json(spark, sf):
     return items.select("page_id", "ord", "title", F.col("jdURL").alias("jd_url"), spots.alias("n_placeholders"))
 
 
-@query("placeholder_lookup", f"{BASE} SELECT k AS page_id, {_API_PLACE} AS location, CASE WHEN k % 7 > 0 THEN trim(salary_raw) END AS salary, CASE WHEN k % 7 > 0 AND k % 3 > 0 THEN trim(experience_raw) END AS experience FROM base WHERE {_HAS}")
+_SAID = "CASE WHEN k % 7 > 0 THEN coalesce(trim({x}), '') END"
+
+
+@query(
+    "placeholder_lookup",
+    f"""{BASE} SELECT k AS page_id, {_SAID.format(x="CASE WHEN k % 4 <> 1 THEN location END")} AS location, {_SAID.format(x="salary_raw")} AS salary,
+      {_SAID.format(x="CASE WHEN k % 3 > 0 THEN experience_raw END")} AS experience FROM base WHERE {_HAS}""",
+)
 def placeholder_lookup(spark, sf):
     spots = F.col("placeholders")
-    found = {kind: F.nullif(api.placeholder(spots, kind), F.lit("")) for kind in ("location", "salary")}
-    items = api.scan_api_json(payloads.api(spark, sf))
-    return items.select(
-        "page_id",
-        F.when((F.col("page_id") % 7 > 0) & (F.col("page_id") % 4 != 1), F.coalesce(found["location"], F.lit(""))).alias("location"),
-        found["salary"].alias("salary"),
-        F.when((F.col("page_id") % 11 == 1) & F.col("placeholders").isNotNull() & (F.col("page_id") % 3 > 0), "")
-        .otherwise(F.nullif(api.placeholder(spots, "experience"), F.lit(""))).alias("experience"),
-    )
+    return api.scan_api_json(payloads.api(spark, sf)).select(
+        "page_id", *[api.placeholder(spots, kind).alias(kind) for kind in ("location", "salary", "experience")])
+
+
+@query(
+    "payload_rejects",
+    f"""{BASE} SELECT k AS page_id, 'remoteok' AS source, {_ORD} + n AS ord, 'element is no object' AS reject_reason FROM base, (VALUES (1), (2), (3)) v(n) WHERE k % 5 = 0
+      UNION ALL SELECT k AS page_id, 'naukri' AS source, CAST(n AS BIGINT) AS ord, 'element is no object' AS reject_reason FROM base, (VALUES (0), (2)) v(n) WHERE {_HAS}
+      UNION ALL SELECT k AS page_id, 'naukri' AS source, CAST(NULL AS BIGINT) AS ord, 'no list of elements' AS reject_reason FROM base WHERE NOT ({_HAS})""",
+)
+def payload_rejects(spark, sf):
+    found = {feed.SOURCE: feed.feed_rejects(payloads.feed(spark, sf)), api.SOURCE: api.api_rejects(payloads.api(spark, sf))}
+    from_feed, from_api = (rows.withColumn("source", F.lit(name)) for name, rows in found.items())
+    return from_feed.unionByName(from_api)
 
 
 _MADE = f"""SELECT page_id, ord, title, company, description, url, location, salary, nullif(salary, 'Not specified') AS salary_raw, experience_raw, posted_date,
@@ -230,17 +242,16 @@ def _pieces(x: str, separator: str) -> str:
     return f"array_to_string(list_filter(list_transform(string_split({text}, chr(1)), lambda t: {duck.strip('t')}), lambda t: t <> ''), {separator})"
 
 
-@query(
-    "extract_body_text",
-    rf"""WITH c AS (SELECT page_id, url, {_NO_CHROME} AS h FROM pages), a AS (SELECT page_id, url, regexp_extract(h, '(?s)<article>(.*?)(?:</article>|$)', 1) AS art, regexp_extract(h, '(?s)<body>(.*?)(?:</body>|$)', 1) AS body FROM c),
-    t AS (SELECT page_id, url, {_pieces('art', 'chr(10)')} AS x, {_pieces('body', 'chr(10)')} AS y FROM a)
-    SELECT page_id, url, CASE WHEN length(x) > 80 THEN x WHEN length(y) > 80 THEN y ELSE '' END AS text FROM t""",
-)
+_BODY = rf"""WITH c AS (SELECT page_id, url, {_NO_CHROME} AS h FROM pages), a AS (SELECT page_id, url, regexp_extract(h, '(?s)<article>(.*?)(?:</article>|$)', 1) AS art, regexp_extract(h, '(?s)<body>(.*?)(?:</body>|$)', 1) AS body FROM c),
+    t AS (SELECT page_id, url, {_pieces('art', 'chr(10)')} AS x, {_pieces('body', 'chr(10)')} AS y FROM a)"""
+
+
+@query("extract_body_text", f"{_BODY} SELECT page_id, url, CASE WHEN length(x) > 80 THEN x WHEN length(y) > 80 THEN y ELSE '' END AS text FROM t")
 def extract_body_text(spark, sf):
     return details.extract_body_text(derived.table(spark, sf, "pages"), "remoteok")
 
 
-@query("extract_body_text_boards")
+@query("extract_body_text_boards", f"{_BODY} SELECT page_id, source, CASE WHEN length(x) > 80 THEN x ELSE '' END AS text FROM t, (VALUES ('naukri'), ('wellfound')) s(source)")
 def extract_body_text_boards(spark, sf):
     pages = derived.table(spark, sf, "pages")
     texts = [details.extract_body_text(pages, s).select("page_id", F.lit(s).alias("source"), "text") for s in ("naukri", "wellfound")]

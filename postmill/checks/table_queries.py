@@ -156,6 +156,15 @@ def fuzzy(spark, sf):
     return dedup_fuzzy(valid(_canon(spark, sf)).select("k", "source_rank", "ord", "title", "company"))
 
 
+_SIGNATURE = "lower(title) || ' ' || lower(company)"
+
+
+@query("dedup_fuzzy_equal", f"{duck.stages('good')} {_first_sql('good', _SIGNATURE, 'k, title, company')}")
+def fuzzy_equal(spark, sf):
+    """At threshold 1 the first of every equal text stays."""
+    return dedup_fuzzy(valid(_canon(spark, sf)).select("k", "source_rank", "ord", "title", "company"), 1.0).select("k", "title", "company")
+
+
 def _by_source(df):
     """The postings split by board, as their adapters deliver them."""
     return [df.where(F.lower(F.trim("source")) == name).drop("source_rank") for name in SOURCES]

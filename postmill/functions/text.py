@@ -18,7 +18,7 @@ WHITESPACE = (
 # The same set as a regex character class.
 WS_RUN = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 
-# Separator put between captured groups; a control character that no text holds.
+# Separator put between captured groups; taken out of a text before it is used.
 SEP = "\x01"
 
 
@@ -57,7 +57,8 @@ def capture(c: Column, pattern: str, groups: int, flags: str = "sU") -> Column:
     the separated groups and split. A group that took no part gives ``""``.
     """
     rewrite = "".join(f"{SEP}${i}" for i in range(1, groups + 1))
-    joined = F.regexp_replace(c, f"(?{flags})^.*?(?:{pattern}).*$", rewrite)
+    # A separator in the text itself becomes a blank, so only groups are split and a text without match has none.
+    joined = F.regexp_replace(F.translate(c, SEP, " "), f"(?{flags})^.*?(?:{pattern}).*$", rewrite)
     return F.slice(F.split(joined, SEP), 2, groups)
 
 

@@ -16,9 +16,11 @@ def first_per_group(df: DataFrame, keys: Sequence[Column], order: Sequence[Colum
 
     ``row_number() <= rows`` lets Spark put a group limit in front of the shuffle:
     each map task forwards at most ``rows`` rows per key, so a key that holds a
-    third of the table still reaches its reducer as a handful of rows.
+    third of the table still reaches its reducer as a handful of rows. Rows that tie
+    in ``order`` are told apart by their content, so a re-run task picks the same one.
     """
-    window = Window.partitionBy(*keys).orderBy(*order)
+    content = F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind])
+    window = Window.partitionBy(*keys).orderBy(*order, content)
     return df.withColumn("_nth", F.row_number().over(window)).where(F.col("_nth") <= rows).drop("_nth")
 
 

@@ -5,7 +5,8 @@ is similar enough (difflib ratio ``2M / (|a| + |b|)``). Similarity is decided by
 difflib itself; the work around it only avoids comparing texts that cannot reach
 the threshold, and never loses a pair that can:
 
-* Equal texts collapse first, with a map-side minimum of the position.
+* Equal texts collapse first, to the first row by position; the distinct texts are
+  then numbered in order of position and text, so no two of them share a number.
 * If ``a`` and ``b`` reach the threshold ``t``, their matching blocks cover
   ``M >= t(|a|+|b|)/2`` characters. Between two blocks at least one character is
   unmatched, so there are at most ``|a|+|b|-2M+1`` blocks and the texts share at
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postmill.functions.text import let
+from postmill.operators.dedup import first_per_group
 from postmill.operators.lineage import cut_lineage
 from postmill.operators.model import order_columns
 
@@ -70,13 +72,6 @@ def _similar(pos: pa.Array, later: pa.Array, earlier: pa.Array, threshold: pa.Ar
     return pa.array(verdict, type=pa.bool_())
 
 
-def position(df: DataFrame) -> Column:
-    """Order columns as one number: source rank in the top bits, place below."""
-    columns = order_columns(df)
-    rank = F.col("source_rank").cast("bigint") if "source_rank" in columns else F.lit(0).cast("bigint")
-    return F.shiftleft(rank, 48) + F.col("ord").cast("bigint")
-
-
 def signature() -> Column:
     return F.concat_ws(" ", F.lower(F.col("title")), F.lower(F.col("company")))
 
@@ -201,15 +196,19 @@ def dedup_fuzzy(df: DataFrame, threshold: float = 0.85) -> DataFrame:
     """First-wins removal of postings similar to an earlier kept posting."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    placed = df.withColumn("_pos", position(df))
-    sigs = placed.groupBy(signature().alias("sig")).agg(F.min("_pos").alias("pos"))
-    sigs = cut_lineage(sigs)
+    order = order_columns(df)
+    firsts = first_per_group(df.withColumn("_sig", signature()), [F.col("_sig")], order)
+    if threshold == 1:  # only equal texts are that similar
+        return firsts.drop("_sig")
+    # Numbers rise with the range-sorted rows; written at once, they stay as they are.
+    sorted_sigs = firsts.select(F.col("_sig").alias("sig"), *order).orderBy(*order, "sig")
+    sigs = cut_lineage(sorted_sigs.select(F.monotonically_increasing_id().alias("pos"), "sig"))
     undecided = cut_lineage(_features(_spread(sigs, sigs.count()), threshold))
     kept, size = None, FIRST_BLOCK
     while (total := undecided.count()) > 0:
         block, cut, size = _next_block(undecided, total, size)
         winners = _resolve(block, _similar_pairs(block, block, threshold))
-        kept = winners.select("pos") if kept is None else kept.union(winners.select("pos"))
+        kept = winners.select("sig") if kept is None else kept.union(winners.select("sig"))
         if cut is None:
             break
         rest = undecided.where(F.col("pos") > cut)
@@ -218,4 +217,4 @@ def dedup_fuzzy(df: DataFrame, threshold: float = 0.85) -> DataFrame:
         size *= BLOCK_GROWTH
     if kept is None:
         return df
-    return placed.join(kept.withColumnRenamed("pos", "_pos"), "_pos", "left_semi").drop("_pos")
+    return firsts.join(kept.withColumnRenamed("sig", "_sig"), "_sig", "left_semi").drop("_sig")

@@ -30,10 +30,10 @@ RAW_TYPES = {
     "scraped_at": "string",
     "job_id": "string",
 }
-# Position of a posting: source first, then place inside the source. "First wins"
-# always means smallest by these columns; they come from the data, never from
+# Position of a posting: source first, then page, then place on the page. "First
+# wins" always means smallest by these columns; they come from the data, never from
 # partition numbering, so a re-run task gives the same answer.
-ORDER_COLUMNS = ("source_rank", "ord")
+ORDER_COLUMNS = ("source_rank", "page_id", "ord")
 
 EXPORT_DDL = ", ".join(f"{name} string" for name in EXPORT_COLUMNS)
 EXPORT_TYPED_DDL = ", ".join(

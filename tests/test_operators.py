@@ -83,10 +83,10 @@ def test_merge_sources_keeps_order(spark):
 
 def test_strict_filter(spark):
     ddl = "ord long, title string, experience_raw string, max_experience_required long"
-    rows = [(0, "Junior Developer", None, 0), (1, "Software Engineer", None, 1), (2, "Fullstack Developer", None, None),
-            (3, "Senior Developer", None, 0), (4, "Software Engineer", "senior", None), (5, "Tech Lead", None, None),
-            (6, "Sr. Software Developer", None, None), (7, "Software Engineer", None, 3), (8, "Python Developer", None, 2),
-            (9, "Backend Dev", "0-3 Yrs", 3), (10, "Data Dev", "0-6 Yrs", 6)]
+    rows = [(0, "Trainee Analyst", None, 0), (1, "Map Editor", None, 1), (2, "Game Tester", None, None),
+            (3, "Senior Botanist", None, 0), (4, "Map Editor", "senior", None), (5, "Kitchen Lead", None, None),
+            (6, "Sr. Glass Blower", None, None), (7, "Map Editor", None, 3), (8, "Rust Hacker", None, 2),
+            (9, "Payroll Clerk", "0-3 Yrs", 3), (10, "Survey Clerk", "0-6 Yrs", 6)]
     df = posts(spark, rows, ddl)
     assert sorted(r["ord"] for r in filters.strict_filter(df).collect()) == [0, 1, 2]
     counts = {r["outcome"]: r["n_rows"] for r in summary.filter_summary(df).collect()}
@@ -94,8 +94,8 @@ def test_strict_filter(spark):
 
 
 PAGE_TEXT = (
-    "About the Role\nWe are looking for a talented developer to join our team.\n\nRequirements\n"
-    "- Proficiency in Python, Django, and REST APIs.\n- 0-1 years of experience required.\n"
+    "The workshop\nOur bindery repairs maps and atlases for libraries across the region.\n\nYou bring\n"
+    "- Steady hands and a liking for old paper.\n- 0-1 years of experience required.\n"
 )
 
 
@@ -110,7 +110,7 @@ def test_enrichment(spark):
     out = {r["ord"]: r for r in enrich.enrich_details(valid(canon(spark, rows, ddl)), details, ["board"]).collect()}
     assert len(out) == 5
     assert out[0]["description"] == PAGE_TEXT.strip() and out[0]["max_experience_required"] == 1
-    assert out[0]["experience_raw"] == "s.\n- 0-1 years of experience requ"
+    assert out[0]["experience_raw"] == "r.\n- 0-1 years of experience requ"
     assert [out[i]["description"] for i in (1, 2, 3)] == ["keep"] * 3
     # A sentinel text blocks the salary text but not the bounds.
     assert (out[4]["salary"], out[4]["salary_raw"], out[4]["salary_min"], out[4]["salary_max"]) == ("Not specified", "Not specified", 600000, 1200000)
@@ -136,6 +136,37 @@ def test_fuzzy_dedup_equals_the_sequential_rule(spark, monkeypatch, threshold, b
     assert sorted(r["ord"] for r in fuzzy.dedup_fuzzy(df, threshold).select("ord").collect()) == _greedy(rows, threshold)
 
 
+def test_rows_sharing_a_position_are_judged_by_their_own_text(spark):
+    rows = [(0, 0, 0, "welder night shift", "Brook"), (0, 0, 1, "welder night shifts", "Brook"), (0, 1, 1, "tax clerk", "Orchard"),
+            (0, 1, 0, "florist", "Moss"), (0, 1, 0, "florists", "Moss")]
+    df = posts(spark, rows, "source_rank int, page_id long, ord long, title string, company string")
+    for parts in (1, 5):
+        shuffled = df.orderBy(F.rand(parts)).repartition(parts)
+        got = sorted(r["title"] for r in fuzzy.dedup_fuzzy(shuffled).collect())
+        assert got == ["florist", "tax clerk", "welder night shift"]
+        assert fuzzy.dedup_fuzzy(shuffled, 1.0).count() == 5
+
+
+def test_first_wins_over_pages_and_ties(spark):
+    rows = [(1, 0, "second page"), (0, 1, "first page, later"), (0, 0, "tie b"), (0, 0, "tie a")]
+    df = posts(spark, [(p, o, t, "C", "https://x/1", "s") for p, o, t in rows], "page_id long, ord long, title string, company string, url string, source string")
+    picked = {dedup.dedup_exact_raw(df.orderBy(F.rand(i)).repartition(i)).first()["title"] for i in (1, 2, 3, 4)}
+    assert len(picked) == 1 and picked <= {"tie a", "tie b"}
+    assert sorted(r["page_id"] for r in dedup.cap_per_source(df, 3).collect()) == [0, 0, 0]
+
+
+def test_payload_rejects(spark):
+    ddl = "page_id long, payload string"
+    rows = posts(spark, [(0, '[{"position":"a"},5,null]'), (1, "not json"), (2, None), (3, "[]"), (4, '{"error":1}')], ddl)
+    got = sorted((r["page_id"], r["ord"] if r["ord"] is not None else -1, r["reject_reason"]) for r in feed.feed_rejects(rows).collect())
+    assert got == [(0, 1, "element is no object"), (0, 2, "element is no object"), (1, -1, "no list of elements"),
+                   (2, -1, "payload missing"), (4, -1, "no list of elements")]
+    rows = posts(spark, [(0, '{"jobDetails":["x",{"title":"a"}]}'), (1, '{"other":1}'), (2, '{"jobDetails":3}')], ddl)
+    got = sorted((r["page_id"], r["reject_reason"]) for r in api.api_rejects(rows).collect())
+    assert got == [(0, "element is no object"), (1, "no list of elements"), (2, "no list of elements")]
+    assert feed.feed_rejects(rows.limit(0)).count() == 0
+
+
 def test_saved_searches_equal_the_single_search(spark, sf):
     rows = derived.postings(spark, sf)
     asked = [(1, "widget developer", ["pune"]), (2, "developer", []), (3, "python", ["san francisco"]), (4, "", ["pune"])]
