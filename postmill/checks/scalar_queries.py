@@ -194,7 +194,7 @@ _LOC = duck.slug(duck.alias("coalesce(place, '')"))
 
 @query(
     "build_targets",
-    f"""{_SEARCH}, board AS (SELECT search_id, 'board' AS kind, unnest(CASE WHEN len(locations) = 0 THEN [''] ELSE locations[1:2] END) AS place, role FROM parsed),
+    f"""{_SEARCH}, board AS (SELECT search_id, 'board' AS kind, unnest(CASE WHEN len(locations) = 0 THEN [''] ELSE locations[1:2] END) AS place, role FROM parsed WHERE {duck.slug('role')} <> ''),
     listed AS (SELECT search_id, role, CASE WHEN len(locations) = 0 THEN [''] ELSE locations END AS ls FROM parsed WHERE {duck.slug('role')} <> ''),
     st AS (SELECT search_id, role, {duck.slug_loose('role')} AS r, locations[1] AS place FROM parsed)
     SELECT search_id, kind, {_BOARD.format(r=duck.slug('role'), l=_LOC)} AS url FROM board
@@ -204,9 +204,8 @@ _LOC = duck.slug(duck.alias("coalesce(place, '')"))
 )
 def build_targets(spark, sf):
     parsed = _parsed(spark, sf)
-    places = F.when(F.size("locations") == 0, F.array(F.lit(""))).otherwise(F.slice("locations", 1, 2))
-    board = parsed.select("search_id", "role", F.explode(places).alias("place")).select(
-        "search_id", F.lit("board").alias("kind"), search.board_url(F.col("role"), F.col("place")).alias("url"))
+    targets = search.board_targets(F.array("role"), F.col("locations"), limit=2)
+    board = parsed.select("search_id", F.lit("board").alias("kind"), F.explode(targets).alias("url"))
     listed = parsed.select("search_id", F.lit("listed").alias("kind"), F.explode(search.parsed_search_urls(F.col("role"), F.col("locations"))).alias("url"))
     first_place = F.try_element_at("locations", F.lit(1))
     startup = parsed.select("search_id", F.lit("startup").alias("kind"), F.explode(search.startup_urls(F.col("role"), first_place)).alias("url"))

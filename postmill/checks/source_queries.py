@@ -14,6 +14,7 @@ from postmill.checks.scalar_queries import BADGE_PAY, BADGE_YEARS, EXP_FROM_TAGS
 from postmill.functions.html import clean_html as clean_html_column
 from postmill.operators.filters import drop_blocked_pages
 from postmill.sources import api, cards, details, feed, startup
+from postmill.sources.registry import default_registry
 
 WORDS = "trim(regexp_replace(description, '[^A-Za-z]+', ' ', 'g'))"
 NAME = "trim(regexp_replace(title, ' +', ' ', 'g'))"
@@ -183,10 +184,13 @@ _CARD_TEXT = f"concat_ws(' ', nullif(name, ''), nullif(CASE WHEN k % 3 <> 1 THEN
 _TOKENS = f"list_filter(['python', trim(coalesce(experience_raw, '')), trim({_PAY}) || ' now'], lambda t: t <> '' AND t <> name AND t <> c)"
 
 
+_STARTUP_LINK = "CASE WHEN k % 11 = 0 THEN CASE WHEN k % 3 = 2 THEN 'https://wellfound.com/company/a' ELSE '' END WHEN k % 11 = 1 THEN 'https://wellfound.com/jobs/abs' ELSE 'https://wellfound.com/jobs/' || k END"
+
+
 @query(
     "project_startup_card",
     f"""{BASE}, b AS (SELECT *, CASE WHEN k % 3 = 1 THEN 'Startup (Wellfound)' ELSE s END AS c, {_CARD_TEXT} AS txt,
-        CASE WHEN k % 11 = 0 THEN CASE WHEN k % 3 = 2 THEN 'https://wellfound.com/company/a' ELSE '' END WHEN k % 11 = 1 THEN 'https://wellfound.com/jobs/abs' ELSE 'https://wellfound.com/jobs/' || k END AS link FROM base),
+        {_STARTUP_LINK} AS link FROM base),
       p AS (SELECT k AS page_id, CAST(0 AS BIGINT) AS ord, name AS title, c AS company, 'wellfound' AS source, link AS url, CASE WHEN k % 4 = 0 THEN 'New-Delhi, India' ELSE 'Remote' END AS location,
         array_to_string(list_filter({_TOKENS}, lambda t, i: list_position({_TOKENS}, t) = i), ' | ') AS description, CASE WHEN contains(lower(name), 'intern') THEN 'Internship' ELSE 'Full-time' END AS job_type,
         {BADGE_PAY.format(x='txt')} AS salary, {duck.strip(BADGE_YEARS.format(x='txt'))} AS experience_raw FROM b WHERE name <> '' AND link <> '')
@@ -225,6 +229,43 @@ def project_markdown_links(spark, sf):
     return rows.withColumn("part", F.right("url", F.lit(1))).drop("ord")
 
 
+_MD_LINKS = """SELECT k, name AS title, 'https://wellfound.com/jobs/' || k || '-a' AS url FROM b WHERE k % 10 > 0 AND name <> ''
+      UNION ALL SELECT k, trim(name || ' Intern') AS title, 'https://www.wellfound.com/jobs/' || k || '-b' AS url FROM b WHERE k % 10 > 0"""
+
+
+@query(
+    "startup_postings",
+    f"""{BASE}, b AS (SELECT *, {_STARTUP_LINK} AS link FROM base), md AS ({_MD_LINKS})
+      SELECT k AS page_id, name AS title, link AS url FROM b WHERE name <> '' AND link <> ''
+      UNION ALL SELECT k AS page_id, title, url FROM md WHERE k NOT IN (SELECT k FROM b WHERE name <> '' AND link <> '')""",
+)
+def startup_postings(spark, sf):
+    """Every page in both forms; Markdown counts where the page shows no card."""
+    both = payloads.startup(spark, sf).join(payloads.markdown(spark, sf).select("page_id", "markdown"), "page_id")
+    return default_registry().postings("wellfound_pages", both).select("page_id", "title", "url")
+
+
+@query(
+    "registered_sources",
+    f"""{BASE}, b AS (SELECT *, {_STARTUP_LINK} AS link FROM base), md AS ({_MD_LINKS})
+      SELECT 'naukri' AS adapter, k AS page_id, name AS title FROM b WHERE {_HAS} AND name <> ''
+      UNION ALL SELECT 'naukri_cards' AS adapter, k AS page_id, name AS title FROM b WHERE name <> ''
+      UNION ALL SELECT 'wellfound' AS adapter, k AS page_id, name AS title FROM b WHERE name <> '' AND link <> ''
+      UNION ALL SELECT 'wellfound_markdown' AS adapter, k AS page_id, title FROM md""",
+)
+def registered_sources(spark, sf):
+    """Adapters by name; the feed's own adapter also filters and has its query in ``filter_feed``."""
+    registry = default_registry()
+    found = {
+        "naukri": registry.postings("naukri", payloads.api(spark, sf), as_of=derived.AS_OF),
+        "naukri_cards": registry.postings("naukri_cards", payloads.cards(spark, sf), as_of=derived.AS_OF),
+        "wellfound": registry.postings("wellfound", payloads.startup(spark, sf)),
+        "wellfound_markdown": registry.postings("wellfound_markdown", payloads.markdown(spark, sf)),
+    }
+    rows = [df.select(F.lit(name).alias("adapter"), "page_id", "title") for name, df in found.items()]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+
+
 @query("drop_blocked_pages", f"{BASE} SELECT k AS page_id FROM base WHERE k % 10 > 0")
 def blocked(spark, sf):
     return drop_blocked_pages(payloads.markdown(spark, sf), "markdown", markdown=True).select("page_id")

@@ -56,7 +56,7 @@ def parse_search(text: Column) -> Column:
     Everything before the first preposition is the role, everything after it the
     locations; distinct locations keep their order.
     """
-    query = collapse(F.coalesce(text, F.lit("")))
+    query = collapse(F.translate(F.coalesce(text, F.lit("")), SEP, " "))
     halves = F.split(F.regexp_replace(query, rf"(?siU)^(.*?)\b(?:in|at|across)\b(.*)$", f"$1{SEP}$2"), SEP)
     role = F.regexp_replace(halves.getItem(0), ROLE_STOP_WORDS, " ")
     role = F.btrim(collapse(role), F.lit(" ,.-"))
@@ -80,6 +80,17 @@ def board_url(role: Column, location: Column) -> Column:
     return F.when(place != "", F.concat(base, F.lit("-in-"), place)).otherwise(base)
 
 
+def board_targets(roles: Column, locations: Column, limit: int | None = None) -> Column:
+    """Search pages of every role in every place, role by role; role pages without a place.
+
+    With ``limit`` only the first so many places of the list are used; blank roles give none.
+    """
+    places = locations if limit is None else F.slice(locations, 1, limit)
+    places = F.when(F.size(locations) == 0, F.array(F.lit(""))).otherwise(places)
+    named = F.filter(roles, lambda r: slugify(r) != "")
+    return F.array_distinct(F.flatten(F.transform(named, lambda r: F.transform(places, lambda p: board_url(r, p)))))
+
+
 def parsed_search_urls(role: Column, locations: Column) -> Column:
     """One search page per parsed location; none at all without a role."""
     slug = slugify(role)

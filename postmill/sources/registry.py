@@ -33,11 +33,16 @@ class SourceRegistry:
 
 def default_registry() -> SourceRegistry:
     from postmill.sources.api import api_postings
+    from postmill.sources.cards import card_postings
     from postmill.sources.feed import feed_postings
-    from postmill.sources.startup import project_startup_card
+    from postmill.sources.startup import project_markdown_links, project_startup_card, startup_postings
 
     registry = SourceRegistry()
     registry.register("naukri", api_postings)
     registry.register("remoteok", feed_postings)
     registry.register("wellfound", project_startup_card)
+    # Other payload shapes of the same boards.
+    registry.register("naukri_cards", card_postings)
+    registry.register("wellfound_markdown", project_markdown_links)
+    registry.register("wellfound_pages", startup_postings)
     return registry
