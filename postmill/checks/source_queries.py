@@ -76,7 +76,7 @@ def scan_api_json(spark, sf):
     return items.select("page_id", "ord", "title", F.col("jdURL").alias("jd_url"), spots.alias("n_placeholders"))
 
 
-_SAID = "CASE WHEN k % 7 > 0 THEN coalesce(trim({x}), '') END"
+_SAID = "CASE WHEN k % 7 > 0 THEN coalesce(trim({x}), '') ELSE '' END"
 
 
 @query(

@@ -83,12 +83,11 @@ def board_url(role: Column, location: Column) -> Column:
 def board_targets(roles: Column, locations: Column, limit: int | None = None) -> Column:
     """Search pages of every role in every place, role by role; role pages without a place.
 
-    With ``limit`` only the first so many places of the list are used; blank roles give none.
+    With ``limit`` only the first so many places of the list are used.
     """
     places = locations if limit is None else F.slice(locations, 1, limit)
     places = F.when(F.size(locations) == 0, F.array(F.lit(""))).otherwise(places)
-    named = F.filter(roles, lambda r: slugify(r) != "")
-    return F.array_distinct(F.flatten(F.transform(named, lambda r: F.transform(places, lambda p: board_url(r, p)))))
+    return F.flatten(F.transform(roles, lambda r: F.transform(places, lambda p: board_url(r, p))))
 
 
 def parsed_search_urls(role: Column, locations: Column) -> Column:
