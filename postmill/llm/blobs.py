@@ -15,6 +15,10 @@ import zstandard
 from pyspark.sql import DataFrame
 
 BLOBS = "part int, n int, data binary"
+#: Rows that a task gathers before it packs them.
+HELD_BYTES = 16 << 20
+
+Piece = tuple[np.ndarray, list[np.ndarray]]
 
 
 def parts_for(df: DataFrame) -> int:
@@ -36,6 +40,30 @@ def packed(part: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBat
         )
 
 
+def gathered(pieces: Iterator[Piece]) -> Iterator[pa.RecordBatch]:
+    """Pieces ``(part, columns)`` of a task packed together, ``HELD_BYTES`` at a time.
+
+    A task so sends a blob for each part, not for each piece and part.
+    """
+    held: list[Piece] = []
+    size = 0
+
+    def joined() -> Iterator[pa.RecordBatch]:
+        parts, columns = zip(*held, strict=True)
+        return packed(np.concatenate(parts), [np.concatenate(c) for c in zip(*columns, strict=True)])
+
+    for part, columns in pieces:
+        if not len(part):
+            continue
+        held.append((part, columns))
+        size += part.nbytes + sum(c.nbytes for c in columns)
+        if size >= HELD_BYTES:
+            yield from joined()
+            held, size = [], 0
+    if held:
+        yield from joined()
+
+
 def unpacked(rows: list[tuple[int, bytes]], kinds: list[str]) -> list[np.ndarray]:
     """The columns of all blobs of a part."""
     out: list[list[np.ndarray]] = [[] for _ in kinds]
@@ -49,10 +77,13 @@ def unpacked(rows: list[tuple[int, bytes]], kinds: list[str]) -> list[np.ndarray
     return [np.concatenate(c) if c else np.empty(0, k) for c, k in zip(out, kinds, strict=True)]
 
 
-def by_part(df: DataFrame, work: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]], kinds: list[str], schema: str) -> DataFrame:
-    """Brings every part's blobs together and runs ``work`` on its columns."""
+def by_part(df: DataFrame, work: Callable[[list[np.ndarray]], Iterator], kinds: list[str], schema: str) -> DataFrame:
+    """Brings every part's blobs together and runs ``work`` on its columns.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ``work`` gives batches, or pieces to be packed again where the schema is ``BLOBS``.
+    """
+
+    def results(batches: Iterator[pa.RecordBatch]) -> Iterator:
         current, held = None, []
         for batch in batches:
             for part, n, data in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "data")), strict=True):
@@ -64,4 +95,7 @@ def by_part(df: DataFrame, work: Callable[[list[np.ndarray]], Iterator[pa.Record
         if held:
             yield from work(unpacked(held, kinds))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return gathered(results(batches)) if schema == BLOBS else results(batches)
+
     return df.repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postmill.llm.blobs import BLOBS, by_part, packed, parts_for
+from postmill.llm.blobs import BLOBS, Piece, by_part, gathered, parts_for
 from postmill.llm.recompress import anchors, recompress
 from postmill.llm.words import hashes, mix, rolling, slices, words
 
@@ -92,7 +92,7 @@ def _lists(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.Array]:
 
 
 def _anchor_rows(window: int, parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Piece]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 t = _Text(part.column("text"), window)
@@ -114,25 +114,25 @@ def _anchor_rows(window: int, parts: int):
                 further = np.ones(len(name), bool)
                 further[lead] = False
                 name[further] = mix(name[further] + mix(key[further].view(np.uint64) + place[further].astype(np.uint64)))
-                yield from packed((name % np.uint64(parts)).astype(np.int64), [name, count, key, place.astype("<i4")])
+                yield (name % np.uint64(parts)).astype(np.int64), [name, count, key, place.astype("<i4")]
 
-    return run
+    return lambda batches: gathered(pieces(batches))
 
 
-def _to_documents(columns: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
-    """Rows whose first column is a document key, as blobs by key."""
-    return packed((mix(columns[0].view(np.uint64)) % np.uint64(parts)).astype(np.int64), columns)
+def _to_documents(columns: list[np.ndarray], parts: int) -> Piece:
+    """Rows whose first column is a document key, dealt by it."""
+    return (mix(columns[0].view(np.uint64)) % np.uint64(parts)).astype(np.int64), columns
 
 
 def _shared_anchors(parts: int):
-    def work(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def work(columns: list[np.ndarray]) -> Iterator[Piece]:
         """Documents and places of the anchors that occur more than once."""
         name, count, key, place = columns
         order = np.argsort(name, kind="stable")
         name, count, key, place = name[order], count[order], key[order], place[order]
         first = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
         shared = np.repeat(np.add.reduceat(count.astype(np.int64), first) > 1, np.diff(np.append(first, len(name))))
-        yield from _to_documents([key[shared], place[shared]], parts)
+        yield _to_documents([key[shared], place[shared]], parts)
 
     return work
 
@@ -145,7 +145,7 @@ def _hit_lists(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 
 def _window_rows(window: int, parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Piece]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
                 t = _Text(part.column("text"), window)
@@ -169,9 +169,9 @@ def _window_rows(window: int, parts: int):
                 # the others hold, and known by the odd mark.
                 name = np.where(stays, rows[0], mix(rows[4].view(np.uint64)))
                 known = np.where(stays, rows[2], rows[2] | np.int8(2))
-                yield from packed((name % np.uint64(parts)).astype(np.int64), [rows[0], rows[1], known, *rows[3:]])
+                yield (name % np.uint64(parts)).astype(np.int64), [rows[0], rows[1], known, *rows[3:]]
 
-    return run
+    return lambda batches: gathered(pieces(batches))
 
 
 def _later(columns: list[np.ndarray]) -> np.ndarray:
@@ -190,13 +190,13 @@ def _later(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def _covered(parts: int):
-    def work(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def work(columns: list[np.ndarray]) -> Iterator[Piece]:
         """Documents and starts of windows that are not the first of their kind."""
         already = columns[2] >= 2
         later = already.copy()
         later[~already] = _later([c[~already] for c in columns])
         known, number, key, pos = (c[later] for c in columns[2:])
-        yield from _to_documents([key, number, known % np.int8(2), pos], parts)
+        yield _to_documents([key, number, known % np.int8(2), pos], parts)
 
     return work
 
