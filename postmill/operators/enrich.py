@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from postmill.functions.experience import with_deep_fields
 from postmill.functions.text import SEP, blank_null, first_nonblank, strip
 from postmill.operators.dedup import first_per_group
+from postmill.operators.lineage import cut_lineage
 from postmill.operators.model import order_columns
 from postmill.schema import SOURCES
 
@@ -34,9 +35,11 @@ def known_sources(df: DataFrame, sources: Sequence[str] = SOURCES) -> DataFrame:
 def enrich_details(df: DataFrame, details: DataFrame, sources: Sequence[str] = SOURCES) -> DataFrame:
     """Longer text replaces the description; other fields fill only where blank.
 
-    Texts are parsed after the join: usually few pages belong to a shortlisted
-    posting, and the others need no parsing. The one shuffle of ``details`` serves
-    both the choice of one text per url and the join.
+    The postings are written once, and a semi-join with their keys drops the pages that
+    no posting asks for. The written table has a known size: where the keys are small,
+    Spark ships them to the pages and no other text is shuffled; where they are not,
+    the one shuffle of the pages serves the semi-join, the choice of one text per url
+    and the join. Texts are parsed after the join.
 
     Postings that can have no page (unknown source, placeholder url) get a key of
     their own from their position, so they spread over all partitions instead of
@@ -44,13 +47,15 @@ def enrich_details(df: DataFrame, details: DataFrame, sources: Sequence[str] = S
     """
     own_key = F.xxhash64(*(order_columns(df) or ["job_id"])).cast("string")
     has_page = F.col("adapter").isNotNull() & ~F.col("url").isin("", "#", "/")
-    left = known_sources(df, sources).select(
+    left = cut_lineage(known_sources(df, sources)).select(
         "*",
         F.when(has_page, F.col("adapter")).otherwise(F.lit(SEP)).alias("_source"),
         F.when(has_page, F.col("url")).otherwise(own_key).alias("_url"),
     )
+    wanted = left.where(has_page).select(F.col("_source").alias("w_source"), F.col("_url").alias("w_url"))
+    asked_for = (F.lower(strip(F.col("source"))) == F.col("w_source")) & (F.col("url") == F.col("w_url"))
     matched = left.join(
-        usable_details(details),
+        usable_details(details.join(wanted, asked_for, "left_semi")),
         (F.col("_source") == F.col("d_source")) & (F.col("_url") == F.col("d_url")),
         "left",
     )

@@ -63,12 +63,18 @@ def run_path(folder: str, run_at: datetime, role: str | None = None, location: s
 
 
 def write_csv(df: DataFrame, path: str, run_at: datetime, append: bool = False, keep_extra: bool = False) -> str:
-    """Write an export and return its path, or ``""`` and nothing when there are no rows."""
-    if df.isEmpty():
-        return ""
-    rows = export_rows(df, run_at, keep_extra)
-    rows.write.mode("append" if append else "errorifexists").options(**WRITE_OPTIONS).csv(path)
-    return path
+    """Write an export and return its path, or ``""`` and nothing when there are no rows.
+
+    The rows are kept from the look at the first one to the write, so the plan runs once.
+    """
+    rows = export_rows(df, run_at, keep_extra).persist()
+    try:
+        if rows.isEmpty():
+            return ""
+        rows.write.mode("append" if append else "errorifexists").options(**WRITE_OPTIONS).csv(path)
+        return path
+    finally:
+        rows.unpersist()
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -305,3 +305,13 @@ def test_unreadable_pages_do_not_end_the_job(spark):
     rows = spark.createDataFrame(pages, "i int, html string").select("i", html_nodes("html").alias("n")).collect()
     found = {r["i"]: r["n"] for r in rows}
     assert found[0] and found[1] is None and found[2]
+
+
+def test_pages_are_filtered_before_they_are_shuffled(spark, tmp_path):
+    ddl = RAW + ", description string, salary string, salary_raw string"
+    left = valid(canon(spark, [(0, "F", "A", "https://a.com/1", "board", "Short", None, None)], ddl))
+    posts(spark, [("board", f"https://a.com/{i}", PAGE_TEXT) for i in range(5)], "source string, url string, text string").write.parquet(str(tmp_path / "d"))
+    out = enrich.enrich_details(left, spark.read.parquet(str(tmp_path / "d")), ["board"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("LeftSemi")  # below the choice of one text per url
+    assert out.count() == 1
