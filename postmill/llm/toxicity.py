@@ -8,6 +8,7 @@ to 0..1: the factors ``v`` learn pairs of terms that are toxic together only.
 * Training reads labels by a join, hashes the texts where they lie and fits on a bounded
   sample: at most ``sample_rows`` labelled rows of each class, those with the smallest
   hash of the id. Beyond the bound the fit costs the same at every size.
+* A bin that no training row held has weight and factors 0: a text's unknown terms leave its score alone.
 * Scoring is one pass over the texts without a shuffle; the model is ``BINS * (FACTORS + 1)``
   numbers whatever the size of the tables.
 
@@ -125,6 +126,10 @@ def fit(rows: list[tuple[int, np.ndarray]], steps: int = 2_000, rate: float = 0.
         return Model(bias, np.zeros(BINS), np.zeros((BINS, FACTORS)))
     model = Model(0.0, np.zeros(BINS), rng.normal(0, 0.01, (BINS, FACTORS)))
     bias, bias_sum = float(np.log(share / (1 - share))), 1e-6
+    known = np.zeros(BINS, bool)
+    for _, b in rows:
+        known[b] = True
+    model.factors[~known] = 0
     seen_w, seen_v = np.full(BINS, 1e-6), np.full((BINS, FACTORS), 1e-6)
     weight = np.where(label == 1, 0.5 / share, 0.5 / (1 - share))
     for _ in range(max(8, steps * 64 // len(rows))):

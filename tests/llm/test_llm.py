@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -166,6 +167,18 @@ def test_toxicity_pairs():
     assert both > 0.5 > max(alone_a, alone_b)
 
 
+def test_toxicity_unknown_terms():
+    """A clean text of 20,000 distinct words that no training row held scores as one without words."""
+    rng = np.random.default_rng(2)
+    rows = [(i % 2, np.unique(np.append(rng.integers(0, 200, 20), 500 + i % 2))) for i in range(400)]
+    model = toxicity.fit(rows)
+    bins, offsets = toxicity.term_bins(pa.array(["".join(f" {k}word" for k in range(20_000)), ""]))
+    fresh = bins[(bins >= 200) & (bins != 500) & (bins != 501)]
+    assert len(fresh) > 19_000
+    long, empty = model.raw(fresh, np.array([0, len(fresh), len(fresh)]))
+    assert abs(long - empty) < 1e-9
+
+
 def test_packing(spark, corpus):
     tokenizer = Tokenizer.from_file(WORD_FILE)
     tokenizer.encode_special_tokens = True
