@@ -8,6 +8,9 @@ to 0..1: the factors ``v`` learn pairs of terms that are toxic together only.
 * Training reads labels by a join, hashes the texts where they lie and fits on a bounded
   sample: at most ``sample_rows`` labelled rows of each class, those with the smallest
   hash of the id. Beyond the bound the fit costs the same at every size.
+* The machine learns bins that go with a class, alone or together with another bin. Every pair of bins in the
+  sample is looked at, by tasks that take some bins each: a pair counts if its rows lean to a class more than the rows
+  of either of its bins do, by a bound that holds for all pairs at once (``PAIR_ODDS``).
 * A bin that no training row held has weight and factors 0: a text's unknown terms leave its score alone.
 * Scoring is one pass over the texts without a shuffle; the model is ``BINS * (FACTORS + 1)``
   numbers whatever the size of the tables.
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postmill.llm.words import slices, words
+from postmill.llm.words import slices, spread, words
 
 BITS = 18
 BINS = 1 << BITS
@@ -37,6 +40,9 @@ FACTORS = 4
 SAMPLE_ROWS = 8_000
 MIN_ROWS = 3
 CHI2 = 15.0
+#: Chance that any pair at all is taken for one that goes with a class while it doesn't.
+PAIR_ODDS = 0.05
+PAIR_TASKS = 48
 TRIM = ".,;:!?()[]{}<>\"'`|*_-"
 STEMS = (4, 5)
 SLICE_BYTES = 4 << 20
@@ -103,8 +109,8 @@ def with_bins(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return df.select(*keep, text).mapInArrow(run, schema)
 
 
-def informative(rows: list[tuple[int, np.ndarray]], least: int = MIN_ROWS, chi2: float = CHI2) -> list[tuple[int, np.ndarray]]:
-    """Bins of at least ``least`` rows whose presence goes with a class; the machine learns these and their pairs."""
+def informative(rows: list[tuple[int, np.ndarray]], least: int = MIN_ROWS, chi2: float = CHI2) -> np.ndarray:
+    """Which bins have at least ``least`` rows and a presence that goes with a class."""
     counts = np.zeros((2, BINS))
     for y, b in rows:
         counts[y, b] += 1
@@ -112,8 +118,90 @@ def informative(rows: list[tuple[int, np.ndarray]], least: int = MIN_ROWS, chi2:
     n, present = size.sum(), counts.sum(axis=0)
     expected = size[1] * present / max(n, 1)
     spread = expected * (1 - present / max(n, 1)) * size[0] / max(n, 1)
-    useful = (present >= least) & ((counts[1] - expected) ** 2 >= chi2 * np.maximum(spread, 1e-9))
-    return [(y, b[useful[b]]) for y, b in rows]
+    return (present >= least) & ((counts[1] - expected) ** 2 >= chi2 * np.maximum(spread, 1e-9))
+
+
+def _surprise(hits: np.ndarray, n: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Minus log of a bound on the chance of ``hits`` or more among ``n`` at a given share; 0 if no more than expected."""
+    n, share = np.maximum(n, 1), np.clip(share, 1e-9, 1 - 1e-9)
+    q = np.clip(hits / n, 1e-12, 1 - 1e-12)
+    return np.where(q > share, n * (q * np.log(q / share) + (1 - q) * np.log((1 - q) / (1 - share))), 0)
+
+
+class Pairs(NamedTuple):
+    """Rows of a sample, their bins renumbered to those that a pair could need."""
+
+    flat: np.ndarray  # bins of the clean rows in turn, then of the toxic ones
+    offsets: np.ndarray
+    clean: int  # number of clean rows
+    rows: np.ndarray  # rows of each bin in turn, ascending
+    starts: np.ndarray
+    names: np.ndarray
+    least: float
+
+    @classmethod
+    def of(cls, sample: list[tuple[int, np.ndarray]]) -> Pairs:
+        sample = sorted(sample, key=lambda r: r[0])
+        sizes = np.array([len(b) for _, b in sample], np.int64)
+        flat = np.concatenate([b for _, b in sample]) if len(sample) else np.empty(0, np.int64)
+        label = np.array([y for y, _ in sample], np.int64)
+        counts = np.stack([np.bincount(flat[np.repeat(label, sizes) == y], minlength=BINS) for y in (0, 1)])
+        many = int((counts.sum(axis=0) > 0).sum())
+        least = np.log(max(many, 2) ** 2 / PAIR_ODDS)
+        # A pair has no more rows of a class than either bin, so a bin with too few can't be part of any.
+        share = np.bincount(label, minlength=2) / max(len(sample), 1)
+        able = (counts * -np.log(np.clip(share, 1e-9, 1 - 1e-9))[:, None] >= least).any(axis=0)
+        names = np.flatnonzero(able)
+        number = np.full(BINS, -1, np.int32)
+        number[names] = np.arange(len(names))
+        keep = able[flat]
+        owner = np.repeat(np.arange(len(sample)), sizes)[keep]
+        flat = number[flat[keep]]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sample)))])
+        by_bin = np.argsort(flat, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(names)))])
+        return cls(flat, offsets, int((label == 0).sum()), owner[by_bin].astype(np.int32), starts, names, least)
+
+    def partners(self, bins: range) -> np.ndarray:
+        """Names of those bins and their partners whose rows in common lean to a class more than either's rows do."""
+        n, m = len(self.offsets) - 1, len(self.names)
+        edge = self.offsets[self.clean]
+        toxic = np.bincount(self.flat[edge:], minlength=m)
+        share = toxic / np.maximum(np.diff(self.starts), 1)
+        overall, lengths, found = (n - self.clean) / max(n, 1), np.diff(self.offsets), np.zeros(m, bool)
+        for a in bins:
+            own = self.rows[self.starts[a] : self.starts[a + 1]]
+            cut = int(np.searchsorted(own, self.clean))
+            clean, bad = (np.bincount(self.flat[spread(lengths, part)[0]], minlength=m) for part in (own[:cut], own[cut:]))
+            both = clean + bad
+            at = np.flatnonzero((bad * -np.log(max(overall, 1e-9)) >= self.least) | (clean * -np.log(max(1 - overall, 1e-9)) >= self.least))
+            at = at[at != a]
+            high, low = (f(f(share[at], share[a]), overall) for f in (np.maximum, np.minimum))
+            goes = (_surprise(bad[at], both[at], high) >= self.least) | (_surprise(clean[at], both[at], 1 - low) >= self.least)
+            if goes.any():
+                found[a] = True
+                found[at[goes]] = True
+        return self.names[found]
+
+
+def paired(docs: DataFrame, rows: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Which bins go with a class together with another bin."""
+    useful = np.zeros(BINS, bool)
+    if len({y for y, _ in rows}) < 2:
+        return useful
+    spark, pairs = docs.sparkSession, Pairs.of(rows)
+    shared, many = spark.sparkContext.broadcast(tuple(pairs)), len(pairs.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in batch.column("id").to_pylist():
+                found = Pairs(*shared.value).partners(range(start, many, PAIR_TASKS))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["bin"])
+
+    found = spark.range(0, min(PAIR_TASKS, many), 1, max(1, min(PAIR_TASKS, many))).mapInArrow(run, "bin bigint").distinct().toArrow()
+    useful[found.column("bin").to_numpy()] = True
+    shared.unpersist()
+    return useful
 
 
 def fit(rows: list[tuple[int, np.ndarray]], steps: int = 2_000, rate: float = 0.1, seed: int = 7) -> Model:
@@ -184,7 +272,8 @@ def train(
     offsets, flat = values.offsets.to_numpy(), values.values.to_numpy()
     answers = table.column("_label").to_numpy()
     rows = [(int(y), flat[a:b].astype(np.int64)) for y, a, b in zip(answers, offsets[:-1], offsets[1:], strict=True)]
-    return fit(informative(rows))
+    useful = informative(rows) | paired(docs, rows)
+    return fit([(y, b[useful[b]]) for y, b in rows])
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str], text: str = "text", score: str = "score") -> DataFrame:

@@ -167,6 +167,23 @@ def test_toxicity_pairs():
     assert both > 0.5 > max(alone_a, alone_b)
 
 
+def test_toxicity_pairs_through_train(spark):
+    """Toxic by a pair whose two terms are each as frequent in clean rows as in toxic ones."""
+    rng = random.Random(4)
+    rows, labels = [], []
+    for i in range(1200):
+        own = [f"w{rng.randrange(300)}" for _ in range(30)]
+        own[:2] = [("gruppe", "hasswort"), ("idiot", own[1]), ("gruppe", own[1]), (own[0], "hasswort")][i % 4]
+        rng.shuffle(own)
+        rows.append((i, " ".join(own)))
+        labels.append((i, 1, int(i % 4 < 2)))
+    table = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    held = [r for r in toxicity.score_documents(documents(spark, rows), table).collect() if r.held_out]
+    for kind in range(4):
+        own = [r.predicted == int(kind < 2) for r in held if r.doc_id % 4 == kind]
+        assert sum(own) >= 0.9 * len(own)
+
+
 def test_toxicity_unknown_terms():
     """A clean text of 20,000 distinct words that no training row held scores as one without words."""
     rng = np.random.default_rng(2)
