@@ -11,7 +11,7 @@
    estimate is within ``SLACK`` (over four standard deviations) of the threshold are confirmed, and a pair
    comes from the first band it shares. So a group of many copies costs a few pairs per member, never all
    of them, and no pair between components goes untested. Buckets of more than ``TILE`` members are dealt
-   into tiles; nothing is capped.
+   into tiles of two components' members each; nothing is capped.
 4. Links are confirmed on the full sets and joined to components.
 
 A text without words has no set and links with nothing. A text with fewer words than a shingle is one
@@ -176,10 +176,13 @@ def _pairs_of_tile(tile: pa.Table, least: float, percent: int) -> tuple[np.ndarr
     band, across = tile.column("band")[0].as_py(), tile.column("i")[0].as_py() != tile.column("j")[0].as_py()
     hashes, filled = _band_hashes(registers)
     left, right, values = [], [], []
-    for x in range(len(ids)):
-        # A tile of two different chunks pairs across them only.
-        fits = (part != part[x]) & (ids > ids[x]) & (100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x]))
-        other = np.flatnonzero(fits & (chunk != chunk[x]) if across else fits)
+    # A tile of two different chunks pairs across them only: each member of the smaller with all of the other.
+    ahead = chunk == chunk[0]
+    if across and 2 * ahead.sum() > len(ids):
+        ahead = ~ahead
+    for x in np.flatnonzero(ahead) if across else range(len(ids)):
+        fits = (part != part[x]) & (100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x]))
+        other = np.flatnonzero(fits & (~ahead if across else ids > ids[x]))
         if not len(other):
             continue
         value = estimate(registers[x], registers[other], np.full(len(other), sizes[x]), sizes[other])
@@ -231,21 +234,38 @@ def _joins_of_tile(tile: pa.Table, least: float, percent: int) -> tuple[list[int
     return u, v
 
 
+def _dealt(named: DataFrame) -> DataFrame:
+    """``(key, band, id, part, chunk, i, j)``: members of mixed buckets, once for each tile of two chunks that they meet in.
+
+    A component of more than ``TILE`` members has chunks of its own, which meet all chunks but each other; the smaller
+    ones share chunks. So copies of one component are sent once for each chunk of others, whatever their number.
+    """
+    size = F.ceil(F.col("n") / TILE).cast("int")
+    large = F.when(F.col("n") > TILE, F.struct("part", size.alias("chunks")))
+    # Groups are counted before the shuffle, and a bucket lists its few large ones only.
+    buckets = named.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.count("*").alias("parts"), F.sort_array(F.collect_list(large)).alias("large"),
+        F.ceil(F.sum(F.when(F.col("n") <= TILE, F.col("n")).otherwise(0)) / TILE).cast("int").alias("shared"),
+    ).where("parts > 1").drop("parts")
+    upto = lambda n: F.aggregate(F.slice("large", 1, n), F.col("shared"), lambda total, x: total + x.chunks)
+    placed = named.join(buckets, "key").withColumn("at", F.array_position(F.transform("large", lambda x: x.part), F.col("part")).cast("int"))
+    ranged = placed.withColumn("all", upto(F.size("large"))).withColumn(
+        "first", F.when(F.col("at") > 0, upto(F.greatest(F.col("at") - 1, F.lit(0)))).otherwise(0)
+    ).withColumn("own", F.when(F.col("at") > 0, F.try_element_at("large", F.greatest("at", F.lit(1))).chunks).otherwise(F.col("shared")))
+    chunk = ranged.withColumn("chunk", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("own"))).cast("int"))
+    other = F.filter(F.sequence(F.lit(0), F.col("all") - 1), lambda j: (F.col("at") == 0) | (j < F.col("first")) | (j >= F.col("first") + F.col("own")))
+    tile = F.transform(other, lambda j: F.struct(F.least("chunk", j).alias("i"), F.greatest("chunk", j).alias("j")))
+    return chunk.withColumn("tile", F.explode(tile)).select("key", "band", "id", "part", "chunk", "tile.i", "tile.j")
+
+
 def _between(members: DataFrame, parts: DataFrame, classes: DataFrame, sets: DataFrame, least: float, percent: int) -> DataFrame:
     """``(u, v)``: confirmed links that join different components; every pair that could be one is looked at.
 
     Sketches first tell which members of a bucket have a likely partner in another component; only those get
     their full sets, and a tile returns the links that join components, fewer than it has members.
     """
-    named = members.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id"))
-    bucket = Window.partitionBy("key")
-    mixed = named.select(
-        "key", "band", "id", "part", "size", F.min("part").over(bucket).alias("low"), F.max("part").over(bucket).alias("high")
-    ).where("low <> high")
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("id"), tiles).cast("int")
-    tile = F.transform(F.sequence(F.lit(0), tiles - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    dealt = mixed.withColumn("tile", F.explode(tile)).select("key", "band", "id", "part", own.alias("chunk"), "tile.i", "tile.j")
+    named = members.join(parts, "id", "left").select("key", "band", "id", F.coalesce("component", "id").alias("part"))
+    dealt = _dealt(named)
     columns = ["key", "band", "id", "part", "chunk", "i", "j", "n", "registers"]
     known = dealt.join(classes.select("id", "n", "registers"), "id").select(*columns)
 

@@ -124,6 +124,27 @@ def test_near_duplicates_chain_and_tiles(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == expected_components(rows, 3, 85)
 
 
+def test_near_duplicate_tiles(spark, monkeypatch):
+    """Members of different components meet in one tile; copies of one component are not multiplied by their number."""
+    monkeypatch.setattr(neardup, "TILE", 4)
+    members = [(1, i, 0) for i in range(200)] + [(1, 999, 999)] + [(2, i, 0) for i in range(50)]
+    members += [(3, i, i // 30 if i < 60 else i // 2) for i in range(75)] + [(4, i, i) for i in range(11)]
+    frame = spark.createDataFrame([(k, 1, i, p) for k, i, p in members], "key bigint, band tinyint, id bigint, part bigint")
+    rows, tiles = defaultdict(int), defaultdict(list)
+    for r in neardup._dealt(frame).collect():
+        rows[r.key] += 1
+        tiles[r.key, r.i, r.j].append(r)
+    assert rows[1] == 200 + 50 + 1 and 2 not in rows
+    met = defaultdict(int)
+    for (key, i, j), own in tiles.items():
+        for a in own:
+            for b in own:
+                if a.id < b.id and a.part != b.part and (i == j or a.chunk != b.chunk):
+                    met[key, a.id, b.id] += 1
+    wanted = {(k, i, j) for k, i, p in members for m, j, q in members if k == m and i < j and p != q}
+    assert set(met) == wanted and set(met.values()) == {1}
+
+
 def test_near_duplicate_stage(spark, corpus):
     docs = documents(spark, corpus)
     out = neardup.drop_near_duplicates(docs)
