@@ -405,6 +405,41 @@ def test_chat(spark):
             assert n.position == sum(a.stop - a.start for a in n.attends)
 
 
+def test_chat_long_conversations(spark, monkeypatch):
+    """Long conversations are cut into blocks by turns and characters, whose shared turns are written once."""
+    monkeypatch.setattr(chat, "BLOCK_TURNS", 8)
+    monkeypatch.setattr(chat, "BLOCK_CHARS", 3000)
+    roles = ("user", "assistant")
+    shared = [(roles[t % 2], f"shared {t} " + "x" * (t % 3 * 150)) for t in range(45)]
+    by_conv = {c: shared[: 45 - c % 2] + [("user", f"own {c} {t}") for t in range(c)] for c in range(6)}
+    by_conv |= {None: shared[:20], 50: [("assistant", "y" * 9000)], 51: shared[:3], 52: shared[:45], 53: [("user", "same")] * 30}
+    rows = [(c, t, *turn) for c, turns in by_conv.items() for t, turn in enumerate(turns)]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    segments = chat.segments(frame).collect()
+    assert max(len(s.nodes) for s in segments) < 45
+    assert sum(s.text.count("shared 40 ") for s in segments) <= 4
+    got = {r.conv_id: r for r in chat.read_back(chat.segments(frame)).collect()}
+    assert set(got) == set(by_conv)
+    for conv, turns in by_conv.items():
+        learned, r = "".join(text for role, text in turns if role == "assistant"), got[conv]
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) == (
+            len(turns), hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode()).hexdigest(), len(learned),
+            hashlib.sha256(learned.encode()).hexdigest(), sum(len(chat.format_turn(*turn)[0]) for turn in turns))
+
+
+def test_chat_shares_turns_after_the_32nd(spark):
+    """Conversations that branch after 60 turns hold those once, whatever the order of their ids."""
+    shared = [("user", f"turn {t}") for t in range(60)]
+    rows = [(c, t, *turn) for c in range(20) for t, turn in enumerate([*shared, ("user", f"branch {c % 2}"), ("user", f"end {c}")])]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        text = "".join(s.text for s in chat.segments(frame).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert text.count("branch 0") == text.count("branch 1") == 1
+
+
 def test_empty_tables(spark):
     docs = documents(spark, []) if False else spark.createDataFrame([], DOC)
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
