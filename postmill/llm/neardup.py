@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from postmill.llm.components import components
 from postmill.llm.shared import written
@@ -307,7 +308,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
-    """``(id, values)``: full sets of the documents that stand for the wanted classes."""
+    """``(id, values)``: full sets of the wanted classes ``(id, doc, digest)``, read from the documents that stand for them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,26 +317,29 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, width: int, doc_id: str, text
                 raw, cut = sets.values.astype("<u8").tobytes(), (sets.offsets * 8).tolist()
                 values = [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(values, pa.binary()), pa.array([xxhash.xxh3_128_digest(x) for x in values], pa.binary())],
-                    ["id", "values", "digest"],
+                    [part.column("doc"), pa.array(values, pa.binary()), pa.array([xxhash.xxh3_128_digest(x) for x in values], pa.binary())],
+                    ["doc", "values", "digest"],
                 )
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    found = rows.join(wanted.select("id").distinct(), "id", "left_semi").mapInArrow(run, "id bigint, values binary, digest binary")
-    return found.join(wanted, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"))
+    found = rows.join(wanted.select("doc").distinct(), "doc", "left_semi").mapInArrow(run, "doc bigint, values binary, digest binary")
+    return found.join(wanted, ["doc", "digest"]).dropDuplicates(["id", "digest"]).select("id", "values", "digest")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for every row of the documents."""
+def _grouped(docs: DataFrame, width: int, percent: int, doc_id: str, text: str, apart: bool) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows, and ``(digest, part)`` of the classes.
+
+    Classes are named by their smallest doc_id, so one document's classes are one; or each by its own number if ``apart``.
+    """
     least = percent / 100 - SLACK
     drawn = written(sketches(docs, width, doc_id, text), "sketches")
     grouped = drawn.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("id"), F.any_value("n").alias("n"), F.any_value("registers").alias("registers")
+        F.min("doc_id").alias("doc"), F.any_value("n").alias("n"), F.any_value("registers").alias("registers")
     )
-    every = written(grouped, "classes")
+    every = written(grouped.withColumn("id", F.monotonically_increasing_id() if apart else F.col("doc")), "classes")
     members = written(_members(every), "members")
     classes = written(every.join(members.select("id").distinct(), "id", "left_semi"), "candidates")
-    sets = written(_full_sets(docs, classes.select("id", "digest"), width, doc_id, text), "sets")
+    sets = written(_full_sets(docs, classes.select("id", "doc", "digest"), width, doc_id, text), "sets")
 
     hubs = members.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     near = _with_estimates(hubs, classes, least)
@@ -346,23 +350,55 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id:
     stars = parts.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
     parts = written(components(stars.unionByName(more)), "parts")
 
-    named = every.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("part"))
+    return drawn, every.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("part"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for every row of the documents."""
+    drawn, named = _grouped(docs, width, percent, doc_id, text, False)
     return drawn.select("doc_id", "n", "digest").join(named, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("part")).otherwise(F.col("doc_id"))).alias("component_id"),
     )
 
 
+def _with_digest(docs: DataFrame, width: int, text: str) -> DataFrame:
+    """All columns and ``_digest``, that of the row's set."""
+    schema = T.StructType([*docs.schema, T.StructField("_digest", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text, SLICE_BYTES):
+                sets = shingle_sets(part.column(text), width)
+                raw, cut = sets.values.astype("<u8").tobytes(), (sets.offsets * 8).tolist()
+                digests = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(digests, pa.binary())], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, that with the smallest id, with all its columns; rows without id stay.
+    """One row of each group of near copies, of the smallest id, with all its columns; rows without id stay.
 
-    Rows that repeat an id are copies or versions of one document; the first by text stays.
+    Rows are judged by their own text, also those that repeat an id: different texts of one id stay side by side, equal
+    and near ones are a group. A text without words is a copy only of an equal text of its id.
     """
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     name, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
-    found = near_duplicates(plain, width, percent, name, text)
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    rest = plain.where(F.col(name).isNotNull()).join(dropped, F.col(name) == F.col("_gone"), "left_anti")
-    first = F.row_number().over(Window.partitionBy(name).orderBy(text))
-    one = rest.withColumn("_first", first).where("_first = 1").drop("_first")
+    drawn, named = _grouped(plain, width, percent, name, text, True)
+    found = written(drawn.where("doc_id IS NOT NULL").select("doc_id", "n", "digest").join(named, "digest", "left"), "groups")
+    kept = found.where("n > 0").groupBy("part").agg(F.min(F.struct("doc_id", "digest")).alias("kept")).select("kept.*")
+    # Most ids have one text, and stay or go as a whole; only rows of the others are told apart by their sets.
+    ids = found.groupBy("doc_id").agg((F.min("digest") != F.max("digest")).alias("several"), F.max("n").alias("n"))
+    several = ids.where("several").select(F.col("doc_id").alias("_id"))
+    gone = ids.where("NOT several AND n > 0").join(kept, "doc_id", "left_anti").select(F.col("doc_id").alias("_id"))
+    rows = plain.where(F.col(name).isNotNull())
+    single = rows.join(several.unionByName(gone), F.col(name) == F.col("_id"), "left_anti").withColumn("_digest", F.lit(None).cast("binary"))
+    mixed = _with_digest(rows.join(several, F.col(name) == F.col("_id"), "left_semi"), width, text)
+    blank = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^ \t\n\x0B\f\r]")
+    own = kept.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_kept"))
+    match = (F.col(name) == F.col("_id")) & (F.col("_digest") == F.col("_kept"))
+    rest = single.unionByName(mixed.where(~blank).join(own, match, "left_semi")).unionByName(mixed.where(blank))
+    copy = Window.partitionBy(name, "_digest", F.when(blank, F.coalesce(F.concat(F.lit("t"), text), F.lit("")))).orderBy(text)
+    one = rest.withColumn("_first", F.row_number().over(copy)).where("_first = 1").drop("_first", "_digest")
     return one.unionByName(plain.where(F.col(name).isNull())).toDF(*docs.columns)

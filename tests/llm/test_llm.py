@@ -155,6 +155,18 @@ def test_near_duplicate_stage(spark, corpus):
     assert ids.count(None) == 2
 
 
+def test_near_duplicate_stage_judges_rows(spark):
+    """Different texts of one id stay, unless their own text is a near copy; a null text displaces nothing."""
+    a, b, c, d = (prose(50 + k, 120, 3000) for k in range(4))
+    near = lambda text: text.replace(text.split()[60], "changed", 1)
+    rows = [(1, a), (5, near(a)), (5, b), (6, None), (6, c), (6, None), (7, d), (7, near(d)), (7, d.upper()), (8, near(b)), (9, ""), (9, " ")]
+    got = neardup.drop_near_duplicates(documents(spark, rows)).collect()
+    # 5's first text is a copy of 1's, 8's of 5's second; 7's three texts are one group.
+    texts = sorted([(r.doc_id, r.text) for r in got if r.doc_id != 7], key=str)
+    assert texts == sorted([(1, a), (5, b), (6, None), (6, c), (9, ""), (9, " ")], key=str)
+    assert [r.doc_id for r in got].count(7) == 1
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     rows, labels = [], []
