@@ -3,7 +3,8 @@
 The library costs microseconds a word, and texts repeat their words. A text is therefore cut at ASCII white space,
 which no token of such a tokenizer crosses, and the ids of every piece are kept in a bounded
 table of the task. Words of letters only go straight to the tokenizer's merges, all others through its
-whole chain; both give what encoding the text as one gives.
+whole chain; both give what encoding the text as one gives. The library's defaults hold: a special token's
+string in a text is that token.
 """
 
 from __future__ import annotations
@@ -38,7 +39,6 @@ class WordIds(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         # Two generations of words: a full one becomes the old one, from which words in use come back.

@@ -251,6 +251,16 @@ def test_packing(spark, corpus):
         assert total <= 4096 and total & (total - 1) == 0
 
 
+def test_special_tokens_in_texts():
+    """Ids are those of the unmodified library, also where a text holds the strings of special tokens."""
+    from postmill.llm.wordids import WordIds
+
+    tokenizer = Tokenizer.from_file(WORD_FILE)
+    texts = ["hello <|endoftext|> x<|startoftext|>y", "<|endoftext|>", "a<|endoftext|>, b.<|startoftext|><|endoftext|>.", "Ä<|ENDOFTEXT|> <|endoftext |>"]
+    ids, offsets = WordIds(WORD_FILE).batch(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_sum_of_squares_choice():
     """The level taken is one with the smallest sum of squares, by trying all."""
     rng = random.Random(5)
