@@ -1,6 +1,7 @@
 """Operators of the llm subpackage against brute force, round trips and odd inputs."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -145,6 +146,14 @@ def test_near_duplicate_tiles(spark, monkeypatch):
     assert set(met) == wanted and set(met.values()) == {1}
 
 
+@pytest.mark.parametrize("s", [0.8, 0.85])
+def test_near_duplicate_slack(s):
+    """A pair at the threshold is lost by its estimate with a probability below 1e-7 (exact binomial tail)."""
+    n = neardup.REGISTERS
+    lost = sum(math.comb(n, k) * s**k * (1 - s) ** (n - k) for k in range(n + 1) if k / n < s - neardup.SLACK)
+    assert lost < 1e-7
+
+
 def test_near_duplicate_stage(spark, corpus):
     docs = documents(spark, corpus)
     out = neardup.drop_near_duplicates(docs)
