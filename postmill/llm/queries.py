@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm import bpe, chat, fingerprint, huffman, neardup, packing, substring, topk, toxicity, warc
+from postmill.llm import (
+    bpe, chat, covertree, fingerprint, huffman, merkle, neardup, packing, secrets, substring, topk, toxicity, warc,
+)
+from postmill.llm.manifest_oracles import MERKLE, SECRETS, VECTOR_CODES
 from postmill.llm.oracles import ORACLES
 from postmill.llm.shared import shared_path, written
 
@@ -68,6 +71,18 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(written(chat.segments(rows), "chat"))
 
 
+def op11_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.digests(secrets.scan(_table(spark, folder, "documents"), ["doc_id"]))
+
+
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.proofs(_table(spark, folder, "documents"))
+
+
+def op13_covertree(spark: SparkSession, folder: str) -> DataFrame:
+    return covertree.encode(_table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_packing": op2_packing,
@@ -79,6 +94,9 @@ QUERIES = {
     "op8_huffman": op8_huffman,
     "op9_fingerprint": op9_fingerprint,
     "op10_chat": op10_chat,
+    "op11_secrets": op11_secrets,
+    "op12_merkle": op12_merkle,
+    "op13_covertree": op13_covertree,
 }
 
 
@@ -87,4 +105,4 @@ def all_queries() -> dict:
 
 
 def all_oracles() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | {"op11_secrets": SECRETS, "op12_merkle": MERKLE, "op13_covertree": VECTOR_CODES}
