@@ -204,7 +204,7 @@ def whole_vectors(df: DataFrame, vec_id: str, vector: str, label: str) -> DataFr
     )
 
 
-def _blocks(vectors: DataFrame, width: int) -> DataFrame:
+def _blocks(vectors: DataFrame, width: int, rows: int) -> DataFrame:
     """``(ids, labels, data)``: up to ``BLOCK_ROWS`` vectors of one task with their trees."""
     step = width // PARTS
     label_type = vectors.schema["label"].dataType
@@ -240,7 +240,10 @@ def _blocks(vectors: DataFrame, width: int) -> DataFrame:
         if held:
             yield block()
 
-    return vectors.mapInArrow(run, schema)
+    # Many small partitions would give as many small trees.
+    spark = vectors.sparkSession
+    tasks = max(-(-rows // BLOCK_ROWS), 2 * spark.sparkContext.defaultParallelism)
+    return vectors.coalesce(tasks).mapInArrow(run, schema)
 
 
 SUMS = "part int, entry int, n bigint, total array<decimal(38,0)>"
@@ -268,12 +271,14 @@ def _sums(blocks: DataFrame, books: list[np.ndarray]) -> DataFrame:
                     for part, book in enumerate(shared.value):
                         tree, _ = _tree_of(loaded, part)
                         _, decided, _ = assign(tree, book)
+                        count, total = np.zeros(len(book), np.int64), np.zeros(book.shape, tree.total.dtype)
                         for nodes, entries in decided:
-                            for e in np.unique(entries).tolist():
-                                own = nodes[entries == e]
-                                held = sums.setdefault((part, e), [0, 0])
-                                held[0] += tree.count[own].sum()
-                                held[1] = held[1] + tree.total[own].astype(object).sum(axis=0)
+                            np.add.at(count, entries, tree.count[nodes])
+                            np.add.at(total, entries, tree.total[nodes])
+                        for e in np.flatnonzero(count).tolist():
+                            held = sums.setdefault((part, e), [0, 0])
+                            held[0] += int(count[e])
+                            held[1] = held[1] + total[e].astype(object)
         if sums:
             yield rows(sums)
 
@@ -295,7 +300,8 @@ def learned(blocks: DataFrame, books: list[np.ndarray], rounds: int = ROUNDS) ->
     """The codebooks after some rounds; entries without points stay."""
     for _ in range(rounds):
         books = [b.copy() for b in books]
-        for r in _sums(blocks, books).toLocalIterator():
+        # At most ENTRIES rows a part.
+        for r in _sums(blocks, books).collect():
             books[r.part][r.entry] = [int(x) // r.n for x in r.total]
     return books
 
@@ -335,7 +341,7 @@ SALTS = 16
 def encode(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """``(vec_id, code, error, label_error, codebooks_sha256)`` of every vector that takes part."""
     vectors = whole_vectors(df, vec_id, vector, label)
-    width = vectors.agg(F.max(F.size("v"))).first()[0] or 0
+    width, rows = vectors.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count("*")).first()
     width = max(PARTS, -(-width // PARTS) * PARTS)
     step = width // PARTS
     opening = vectors.select("vec_id", "v").orderBy(F.col("vec_id").asc_nulls_last(), "v").limit(ENTRIES).collect()
@@ -343,7 +349,7 @@ def encode(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", lab
     for i, r in enumerate(opening):
         start[i, : len(r.v)] = r.v
     books = [start[:, p * step : (p + 1) * step] for p in range(PARTS)]
-    blocks = written(_blocks(vectors, width), "blocks")
+    blocks = written(_blocks(vectors, width, rows), "blocks")
     books = learned(blocks, books)
     digest = sha256(",".join(str(int(x)) for b in books for x in b.ravel()).encode()).hexdigest()
     coded = written(_coded(blocks, books), "coded")

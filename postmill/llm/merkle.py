@@ -92,9 +92,9 @@ def ranked(df: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
     return rows.join(spark.createDataFrame(bases, schema), "_part").select(*df.columns, (F.col("_local") + added).alias("_index"))
 
 
-def height_of(block: int, count: int) -> int:
+def height_of(block: int, count: int, levels: int = LEVELS) -> int:
     """Levels above the leaves of a builder; all of them where the group has other builders."""
-    return LEVELS if block or count == 1 << LEVELS else (count - 1).bit_length()
+    return levels if block or count == 1 << levels else (count - 1).bit_length()
 
 
 def widths(count: int, height: int) -> list[int]:
@@ -132,7 +132,7 @@ def places(level: int, count: int) -> np.ndarray:
     return 2 * first - ones + size - 1
 
 
-def _builders(rows: DataFrame, group: T.DataType) -> DataFrame:
+def _builders(rows: DataFrame, group: T.DataType, levels: int) -> DataFrame:
     """``(grp, index, digest, doc_id, altered)`` to one row a builder with its log."""
     schema = T.StructType([
         T.StructField("grp", group), T.StructField("block", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("log", T.BinaryType()),
@@ -144,7 +144,7 @@ def _builders(rows: DataFrame, group: T.DataType) -> DataFrame:
 
         def built() -> pa.RecordBatch:
             digests, ids, altered = zip(*held, strict=True)
-            log = completed([d.hex().encode() for d in digests], height_of(current[1], len(held)))
+            log = completed([d.hex().encode() for d in digests], height_of(current[1], len(held), levels))
             row = (current[0], current[1], len(held), bytes.fromhex(b"".join(log).decode()), bytes.fromhex(log[-1].decode()), list(ids), list(altered))
             return pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True))], out)
 
@@ -162,17 +162,17 @@ def _builders(rows: DataFrame, group: T.DataType) -> DataFrame:
         ("grp", pa.string() if isinstance(group, T.StringType) else pa.int64()), ("block", pa.int64()), ("n", pa.int32()), ("log", pa.binary()),
         ("root", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("altered", pa.list_(pa.binary())),
     ])
-    blocked = rows.withColumn("block", F.shiftright("index", LEVELS)).repartition("grp", "block").sortWithinPartitions("grp", "block", "index")
+    blocked = rows.withColumn("block", F.shiftright("index", levels)).repartition("grp", "block").sortWithinPartitions("grp", "block", "index")
     return blocked.select("grp", "block", "digest", "doc_id", "altered").mapInArrow(run, schema)
 
 
-def _layers(rows: DataFrame, path: str) -> list[DataFrame]:
+def _layers(rows: DataFrame, path: str, levels: int) -> list[DataFrame]:
     """Writes a log table for each layer until every group has one builder."""
     spark, layers = rows.sparkSession, []
     group = rows.schema["grp"].dataType
     while True:
         at = f"{path}-{len(layers)}"
-        _builders(rows, group).write.parquet(at)
+        _builders(rows, group, levels).write.parquet(at)
         layers.append(spark.read.parquet(at))
         if not layers[-1].agg(F.max("block")).first()[0]:
             return layers
@@ -207,24 +207,24 @@ def unpacked(data: bytes) -> list[tuple[int, bytes]]:
     return out
 
 
-def _logs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[bytes], int]]:
+def _logs(batches: Iterator[pa.RecordBatch], levels: int) -> Iterator[tuple[dict, list[bytes], int]]:
     """Rows of builders with the digests of their logs and their heights."""
     for batch in batches:
         for i in range(batch.num_rows):
             row = {name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names)}
             text = row["log"].hex().encode()
-            yield row, [text[k : k + 64] for k in range(0, len(text), 64)], height_of(row["block"], row["n"])
+            yield row, [text[k : k + 64] for k in range(0, len(text), 64)], height_of(row["block"], row["n"], levels)
 
 
-def _above(layer: DataFrame, above: DataFrame) -> DataFrame:
+def _above(layer: DataFrame, above: DataFrame, levels: int) -> DataFrame:
     """``(grp, block, path)`` of the layer below from this layer's logs and the paths above it."""
     schema = T.StructType([layer.schema["grp"], T.StructField("block", T.LongType()), T.StructField("path", T.BinaryType())])
     kind = pa.string() if isinstance(layer.schema["grp"].dataType, T.StringType) else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, log, height in _logs(batches):
+        for row, log, height in _logs(batches, levels):
             paths = [packed(p) + row["path"] for p in path_entries(log, row["n"], height)]
-            first = row["block"] << LEVELS
+            first = row["block"] << levels
             yield pa.RecordBatch.from_arrays(
                 [pa.array([row["grp"]] * len(paths), kind), pa.array(range(first, first + len(paths)), pa.int64()), pa.array(paths, pa.binary())], schema.names
             )
@@ -237,14 +237,17 @@ def _met(layer: DataFrame, above: DataFrame) -> DataFrame:
     return layer.join(right, F.col("grp").eqNullSafe(F.col("_grp")) & (F.col("block") == F.col("_block")))
 
 
-def _down(layers: list[DataFrame], above: DataFrame) -> DataFrame:
+def _down(layers: list[DataFrame], above: DataFrame, levels: int) -> DataFrame:
     """Paths over the builders of the lowest layer."""
     for layer in reversed(layers[1:]):
-        above = written(_above(layer, above), "paths")
+        above = written(_above(layer, above, levels), "paths")
     return above
 
 
-def prove(docs: DataFrame, fields: Sequence[str], altered_fields: Sequence[Column], is_altered: Column, group: str = "lang", doc_id: str = "doc_id") -> DataFrame:
+def prove(
+    docs: DataFrame, fields: Sequence[str], altered_fields: Sequence[Column], is_altered: Column, group: str = "lang",
+    doc_id: str = "doc_id", levels: int = LEVELS,
+) -> DataFrame:
     """``(doc_id, leaf, subroot, root, proof_sha256, folded_root)`` of every row, all hexadecimal.
 
     ``folded_root`` is folded from the altered row's leaf where ``is_altered``, else from the row's own, and its siblings.
@@ -256,31 +259,31 @@ def prove(docs: DataFrame, fields: Sequence[str], altered_fields: Sequence[Colum
         F.when(altered, leaf(*altered_fields)).alias("altered"), F.monotonically_increasing_id().alias("tie"),
     ), "leaves")
     rows = ranked(leaves, "grp", ["doc_id", "digest", "tie"]).withColumnRenamed("_index", "index")
-    layers = _layers(rows, shared_path(spark, "log"))
+    layers = _layers(rows, shared_path(spark, "log"), levels)
     subroots = layers[-1].select(F.lit(0).cast("bigint").alias("all"), F.col("grp").alias("name"), "root")
     tops = written(ranked(subroots, "all", ["name"]), "subroots")
     upper = _layers(tops.select(
         F.col("all").alias("grp"), F.col("_index").alias("index"), F.col("root").alias("digest"), F.col("_index").alias("doc_id"),
         F.lit(None).cast("binary").alias("altered"),
-    ), shared_path(spark, "log-of-roots"))
+    ), shared_path(spark, "log-of-roots"), levels)
     found = upper[-1].select("root").collect()  # one row, or none from an empty table
     root = found[0].root if found else b""
     # Above the groups' roots, then above the builders of each group.
     start = upper[-1].select("grp", "block", F.lit(b"").alias("path"))
-    paths = written(_above(upper[0], _down(upper, start)), "paths")
+    paths = written(_above(upper[0], _down(upper, start, levels), levels), "paths")
     named = tops.join(paths.withColumnRenamed("block", "_index"), "_index").select(
         F.col("name").alias("grp"), F.lit(0).cast("bigint").alias("block"), "path"
     )
-    return _proofs(_met(layers[0], _down(layers, named)), tops, root)
+    return _proofs(_met(layers[0], _down(layers, named, levels)), tops, root, levels)
 
 
-def _proofs(builders: DataFrame, tops: DataFrame, root: bytes) -> DataFrame:
+def _proofs(builders: DataFrame, tops: DataFrame, root: bytes, levels: int) -> DataFrame:
     names = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root"]
     schema = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(n, T.StringType()) for n in names[1:]]])
     top = root.hex()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, log, height in _logs(batches):
+        for row, log, height in _logs(batches, levels):
             above = unpacked(row["path"])
             shared = b"".join(d for _, d in above)
             leaves = [log[p] for p in places(0, row["n"]).tolist()]
@@ -309,9 +312,9 @@ def tampered(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 0
 
 
-def proofs(docs: DataFrame) -> DataFrame:
+def proofs(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Proofs of every document against the manifest, folded from a copy with some ``n_chars`` one too high."""
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
     more = F.col("n_chars").cast("decimal(20,0)") + 1
-    out = prove(docs, fields, [more if c == "n_chars" else F.col(c) for c in fields], tampered() & F.col("n_chars").isNotNull())
+    out = prove(docs, fields, [more if c == "n_chars" else F.col(c) for c in fields], tampered() & F.col("n_chars").isNotNull(), levels=levels)
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))

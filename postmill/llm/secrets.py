@@ -73,8 +73,8 @@ KINDS = (
         rb"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 8,
     ),
     Kind("access", ("akia",), rb"AKIA[A-Z0-9]+", 0, 16),
-    Kind("github", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), rb"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])", check=crc_suffix),
-    Kind("npm", ("npm_",), rb"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])", check=crc_suffix),
+    Kind("github", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), rb"gh[pousr]_[A-Za-z0-9]{36}\b", check=crc_suffix),
+    Kind("npm", ("npm_",), rb"npm_[A-Za-z0-9]{36}\b", check=crc_suffix),
 )
 HEX = "hex"
 HEX_LEAST = 32
