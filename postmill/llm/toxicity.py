@@ -7,7 +7,8 @@ to 0..1: the factors ``v`` learn pairs of terms that are toxic together only.
 
 * Training reads labels by a join, hashes the texts where they lie and fits on a bounded
   sample: at most ``sample_rows`` labelled rows of each class, those with the smallest
-  hash of the id. Beyond the bound the fit costs the same at every size.
+  hash of the id, and at most ``sample_bins`` bins of all of them together, half for each
+  class that needs it. Beyond the bounds the fit costs the same at every size.
 * The machine learns bins that go with a class, alone or together with another bin. Every pair of bins in the
   sample is looked at, by tasks that take some bins each: a pair counts if its rows lean to a class more than the rows
   of either of its bins do, by a bound that holds for all pairs at once (``PAIR_ODDS``).
@@ -22,6 +23,7 @@ Without labelled rows, or with one class only, every score is the share of toxic
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -32,12 +34,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postmill.llm.shared import written
 from postmill.llm.words import slices, spread, words
 
 BITS = 18
 BINS = 1 << BITS
 FACTORS = 4
 SAMPLE_ROWS = 8_000
+#: Distinct bins of all rows of the sample together: 48 MB on the driver.
+SAMPLE_BINS = 12_000_000
 MIN_ROWS = 3
 CHI2 = 15.0
 #: Chance that any pair at all is taken for one that goes with a class while it doesn't.
@@ -128,6 +133,50 @@ def _surprise(hits: np.ndarray, n: np.ndarray, share: np.ndarray) -> np.ndarray:
     return np.where(q > share, n * (q * np.log(q / share) + (1 - q) * np.log((1 - q) / (1 - share))), 0)
 
 
+class Able(NamedTuple):
+    """What tasks need to look for pairs: the sample's rows by class, with the bins that can be part of any."""
+
+    flat: np.ndarray  # 32 bits, renumbered
+    sizes: np.ndarray
+    clean: int
+    names: np.ndarray
+    least: float
+
+    @classmethod
+    def of(cls, sample: list[tuple[int, np.ndarray]]) -> Able:
+        ordered = [b for _, b in sorted(sample, key=lambda r: r[0])]
+        label = np.bincount([y for y, _ in sample], minlength=2)
+        counts = np.zeros((2, BINS), np.int64)
+        for y, b in sample:
+            counts[y, b] += 1
+        many = int((counts.sum(axis=0) > 0).sum())
+        least = float(np.log(max(many, 2) ** 2 / PAIR_ODDS))
+        # A pair has no more rows of a class than either bin, so a bin with too few can't be part of any.
+        share = label / max(len(sample), 1)
+        able = (counts * -np.log(np.clip(share, 1e-9, 1 - 1e-9))[:, None] >= least).any(axis=0)
+        names = np.flatnonzero(able)
+        number = np.zeros(BINS, np.int32)
+        number[names] = np.arange(len(names), dtype=np.int32)
+        # One row at a time: no second copy of the sample beside the filtered one.
+        sizes = np.array([int(able[b].sum()) for b in ordered], np.int32)
+        flat, at = np.empty(int(sizes.sum()), np.int32), 0
+        for b, size in zip(ordered, sizes.tolist(), strict=True):
+            flat[at : at + size] = number[b[able[b]]]
+            at += size
+        return cls(flat, sizes, int(label[0]), names, least)
+
+
+_PAIRS: dict[str, Pairs] = {}
+
+
+def _pairs_in_worker(key: str, able: tuple) -> Pairs:
+    """The pair tables of a sample, built once in a worker."""
+    if key not in _PAIRS:
+        _PAIRS.clear()
+        _PAIRS[key] = Pairs.of(Able(*able))
+    return _PAIRS[key]
+
+
 class Pairs(NamedTuple):
     """Rows of a sample, their bins renumbered to those that a pair could need."""
 
@@ -140,27 +189,12 @@ class Pairs(NamedTuple):
     least: float
 
     @classmethod
-    def of(cls, sample: list[tuple[int, np.ndarray]]) -> Pairs:
-        sample = sorted(sample, key=lambda r: r[0])
-        sizes = np.array([len(b) for _, b in sample], np.int64)
-        flat = np.concatenate([b for _, b in sample]) if len(sample) else np.empty(0, np.int64)
-        label = np.array([y for y, _ in sample], np.int64)
-        counts = np.stack([np.bincount(flat[np.repeat(label, sizes) == y], minlength=BINS) for y in (0, 1)])
-        many = int((counts.sum(axis=0) > 0).sum())
-        least = np.log(max(many, 2) ** 2 / PAIR_ODDS)
-        # A pair has no more rows of a class than either bin, so a bin with too few can't be part of any.
-        share = np.bincount(label, minlength=2) / max(len(sample), 1)
-        able = (counts * -np.log(np.clip(share, 1e-9, 1 - 1e-9))[:, None] >= least).any(axis=0)
-        names = np.flatnonzero(able)
-        number = np.full(BINS, -1, np.int32)
-        number[names] = np.arange(len(names))
-        keep = able[flat]
-        owner = np.repeat(np.arange(len(sample)), sizes)[keep]
-        flat = number[flat[keep]]
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sample)))])
-        by_bin = np.argsort(flat, kind="stable")
-        starts = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(names)))])
-        return cls(flat, offsets, int((label == 0).sum()), owner[by_bin].astype(np.int32), starts, names, least)
+    def of(cls, able: Able) -> Pairs:
+        offsets = np.concatenate([[0], np.cumsum(able.sizes)])
+        by_bin = np.argsort(able.flat, kind="stable")
+        rows = np.repeat(np.arange(len(able.sizes), dtype=np.int32), able.sizes)[by_bin]
+        starts = np.concatenate([[0], np.cumsum(np.bincount(able.flat, minlength=len(able.names)))])
+        return cls(able.flat, offsets, able.clean, rows, starts, able.names, able.least)
 
     def partners(self, bins: range) -> np.ndarray:
         """Names of those bins and their partners whose rows in common lean to a class more than either's rows do."""
@@ -189,13 +223,14 @@ def paired(docs: DataFrame, rows: list[tuple[int, np.ndarray]]) -> np.ndarray:
     useful = np.zeros(BINS, bool)
     if len({y for y, _ in rows}) < 2:
         return useful
-    spark, pairs = docs.sparkSession, Pairs.of(rows)
-    shared, many = spark.sparkContext.broadcast(tuple(pairs)), len(pairs.names)
+    spark, able, key = docs.sparkSession, Able.of(rows), uuid.uuid4().hex
+    shared, many = spark.sparkContext.broadcast(tuple(able)), len(able.names)
+    del able
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in batch.column("id").to_pylist():
-                found = Pairs(*shared.value).partners(range(start, many, PAIR_TASKS))
+                found = _pairs_in_worker(key, shared.value).partners(range(start, many, PAIR_TASKS))
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["bin"])
 
     found = spark.range(0, min(PAIR_TASKS, many), 1, max(1, min(PAIR_TASKS, many))).mapInArrow(run, "bin bigint").distinct().toArrow()
@@ -250,30 +285,57 @@ def fit(rows: list[tuple[int, np.ndarray]], steps: int = 2_000, rate: float = 0.
     return model._replace(bias=bias)
 
 
-def train(
-    docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sample_rows: int = SAMPLE_ROWS,
-    doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-) -> Model:
-    """Fits on at most ``sample_rows`` rows of each class among labelled rows that ``allowed`` admits."""
+def sample_of(
+    docs: DataFrame, labels: DataFrame, allowed: Column | None, sample_rows: int, sample_bins: int, doc_id: str, text: str, label: str
+) -> list[tuple[int, np.ndarray]]:
+    """``(label, bins)`` of the sample, a row for each id, label and text.
+
+    The bounds hold after the join, so an id that many rows repeat brings no more of them. The driver chooses by keys
+    of some bytes, then takes the chosen rows' bins, 32 bits each and in one copy.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull())
     if allowed is not None:
         known = known.where(allowed)
-    known = known.select(F.col(doc_id), F.col(label).cast("int").alias("_label")).distinct()
-    picked = None
-    for value in (0, 1):
-        part = known.where(F.col("_label") == value).orderBy(F.xxhash64(doc_id), doc_id).limit(sample_rows)
-        picked = part if picked is None else picked.unionByName(part)
-    joined = docs.select(doc_id, text).join(F.broadcast(picked), doc_id)
-    found = with_bins(joined, text, [doc_id, "_label"]).orderBy(F.xxhash64(doc_id), doc_id, "_label")
-    table = found.select("_label", "bins").toArrow()
-    values = table.column("bins").combine_chunks()
-    if isinstance(values, pa.ChunkedArray):
-        values = pa.concat_arrays(values.chunks) if values.num_chunks else pa.array([], pa.list_(pa.int32()))
-    offsets, flat = values.offsets.to_numpy(), values.values.to_numpy()
-    answers = table.column("_label").to_numpy()
-    rows = [(int(y), flat[a:b].astype(np.int64)) for y, a, b in zip(answers, offsets[:-1], offsets[1:], strict=True)]
+    known = known.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).distinct()
+    first = [F.xxhash64("_id"), "_id"]
+
+    def of_each_class(df: DataFrame, *more: str) -> DataFrame:
+        parts = [df.where(F.col("_label") == value).orderBy(*first, *more).limit(sample_rows) for value in (0, 1)]
+        return parts[0].unionByName(parts[1])
+
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_digest"))
+    # At most two times sample_rows labels.
+    joined = texts.join(F.broadcast(of_each_class(known)), "_id")
+    found = written(with_bins(joined, "_text", ["_id", "_label", "_digest"]), "labelled")
+    keys = ["_id", "_label", "_digest"]
+    chosen = of_each_class(found.groupBy(*keys).agg(F.max(F.size("bins")).alias("n")), "_digest").orderBy("_label", *first, "_digest").collect()
+    total = [sum(r.n for r in chosen if r._label == y) for y in (0, 1)]
+    room = [max(sample_bins // 2, sample_bins - total[1 - y]) for y in (0, 1)]
+    kept, used = [], [0, 0]
+    for r in chosen:
+        used[r._label] += r.n
+        if used[r._label] <= room[r._label]:
+            kept.append((r._id, r._label, r._digest))
+    schema = T.StructType([found.schema[c] for c in keys])
+    once = found.join(F.broadcast(docs.sparkSession.createDataFrame(kept, schema)), keys).groupBy(*keys).agg(F.first("bins").alias("bins"))
+    table = once.orderBy(*first, "_label", "_digest").select("_label", "bins").toArrow()
+    rows = []
+    for answers, lists in zip(table.column("_label").chunks, table.column("bins").chunks, strict=True):
+        offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        rows += [(int(y), flat[a:b]) for y, a, b in zip(answers.to_numpy(), offsets[:-1], offsets[1:], strict=True)]
+    return rows
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sample_rows: int = SAMPLE_ROWS,
+    doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample_bins: int = SAMPLE_BINS,
+) -> Model:
+    """Fits on at most ``sample_rows`` rows of each class and ``sample_bins`` bins among labelled rows that ``allowed`` admits."""
+    rows = sample_of(docs, labels, allowed, sample_rows, sample_bins, doc_id, text, label)
     useful = informative(rows) | paired(docs, rows)
-    return fit([(y, b[useful[b]]) for y, b in rows])
+    few = [(y, b[useful[b]]) for y, b in rows]
+    del rows
+    return fit(few)
 
 
 def scored(docs: DataFrame, model: Model, keep: list[str], text: str = "text", score: str = "score") -> DataFrame:

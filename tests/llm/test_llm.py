@@ -196,6 +196,18 @@ def test_toxicity(spark):
     assert kept.columns == documents(spark, rows).columns and 1000 in {r.doc_id for r in kept.collect()}
 
 
+def test_toxicity_sample_is_bounded(spark):
+    """A labelled id that most rows repeat brings one row for each of its texts, within the bounds in rows and bins."""
+    rows = [(1, f"same text {k % 3}") for k in range(300)] + [(2, "other words here")] * 20 + [(k, f"word{k} fine") for k in range(3, 40)]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(40)], "doc_id bigint, quality int, toxic int")
+    take = lambda rows_, bins: toxicity.sample_of(documents(spark, rows), labels, None, rows_, bins, "doc_id", "text", "toxic")
+    full = take(1000, 10**6)
+    assert len(full) == 3 + 1 + 37 and {y for y, _ in full} == {0, 1}
+    assert all(sum(y == c for y, _ in take(5, 10**6)) == 5 for c in (0, 1))
+    few = take(1000, 100)
+    assert sum(len(b) for _, b in few) <= 100 and {y for y, _ in few} == {0, 1}
+
+
 def test_toxicity_pairs():
     """A pair of terms that alone say nothing is learned by the factors."""
     rng = np.random.default_rng(1)
@@ -240,7 +252,6 @@ def test_toxicity_unknown_terms():
 
 def test_packing(spark, corpus):
     tokenizer = Tokenizer.from_file(WORD_FILE)
-    tokenizer.encode_special_tokens = True
     rows = [(i, t) for i, t in dict(corpus).items() if i is not None]
     got = packing.pack(documents(spark, rows), WORD_FILE).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
@@ -301,9 +312,23 @@ def test_bpe(spark, corpus):
     assert sorted(map(tuple, got), key=str) == sorted(expected, key=str)
 
 
+def test_bpe_newer_letters(spark):
+    """Letters and numbers of Unicode 14 to 16, which the JVM doesn't know, alone and among others."""
+    newer = ["\u0870", "\u0cdd", "\u1711\u171f", "\U00012f90", "\U00011f04", "\U00031350", "\U0001e4d0", "\U00011f50", "\U0002ebf0", "\u1c89", "\U00010d40", "\U0001ccf0"]
+    others = ["'s", " ", "  ", "\n", "\t", "a", "Ä", "1", "½", ".", "'ll", "\u00a0", "\u3000", "don't", "\U0001fae0", "\uffff", "😀"]
+    rng = random.Random(6)
+    texts = [f"{c}'s a" for c in newer] + [f"x {c}'ll b" for c in newer] + ["y" * 20_000 + newer[0] + ",z" * 20_000]
+    texts += ["".join(rng.choice([*newer, *others]) for _ in range(rng.randrange(1, 40))) for _ in range(1500)]
+    encoding = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    got = bpe.encode(documents(spark, list(enumerate(texts))), RANKS, public_tokenizers.PATTERN).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert np.frombuffer(r.ids, "<u4").tolist() == encoding.encode_ordinary(texts[r.doc_id]), texts[r.doc_id][:80]
+        assert bytes(r.decoded).decode() == texts[r.doc_id]
+
+
 def test_huffman(spark, corpus):
     tokenizer = Tokenizer.from_file(WORD_FILE)
-    tokenizer.encode_special_tokens = True
     path = shared_path(spark, "test-ids")
     huffman.write_ids(documents(spark, corpus), WORD_FILE, path, shared_path(spark, "test-tokens"))
     got = huffman.read_ids(spark, path).collect()
