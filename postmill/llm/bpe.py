@@ -1,6 +1,7 @@
 """Byte-level BPE: every distinct word is encoded once for the whole table.
 
-Texts are cut into pre-tokens by JVM expressions. A block, the documents of one Arrow batch, keeps its own
+Texts are cut into pre-tokens by JVM expressions; a run of characters that the JVM's older Unicode version doesn't know
+is left to the library to cut. A block, the documents of one Arrow batch, keeps its own
 list of distinct words and, per document and position, the number of the word in that list. The rows of
 all lists are shuffled by word: a word's rows meet, the word is encoded once, and its ids go back to every
 block that asked for it. There the positions pick them up again: the ids of a document come in order
@@ -35,6 +36,10 @@ SENT_ROWS = 1 << 18
 FILLED_WORDS = 1 << 19
 #: Java's \\s and \\S take all Unicode white space under this flag, as the pattern's own engine does.
 UNICODE = "(?U)"
+#: A run without white space that holds a code point this JVM's Unicode version doesn't know, with the space before it.
+#: The library may know it as a letter or a number, so such a run is one word here and the library cuts it.
+UNKNOWN = r"\p{Cn}"
+UNKNOWN_RUN = r"(?: |(?<!\S))\S*\p{Cn}\S*"
 
 ASKED = "block bigint, word string, local int"
 GIVEN = "block bigint, n int, data binary"
@@ -48,7 +53,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def pre_tokens(docs: DataFrame, pattern: str, doc_id: str, text: str) -> DataFrame:
-    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(UNICODE + pattern), F.lit(0))
+    value = F.coalesce(F.col(text), F.lit(""))
+    # No pre-token reaches from other characters into white space, so a run can be cut apart from its text.
+    found = F.when(
+        value.rlike(UNKNOWN), F.regexp_extract_all(value, F.lit(f"{UNICODE}{UNKNOWN_RUN}|{pattern}"), F.lit(0))
+    ).otherwise(F.regexp_extract_all(value, F.lit(UNICODE + pattern), F.lit(0)))
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), found.alias("words"))
 
 
