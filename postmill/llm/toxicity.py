@@ -297,6 +297,7 @@ def sample_of(
     if allowed is not None:
         known = known.where(allowed)
     known = known.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_label")).distinct()
+    known = known.join(docs.select(F.col(doc_id).alias("_id")).distinct(), "_id", "left_semi")
     first = [F.xxhash64("_id"), "_id"]
 
     def of_each_class(df: DataFrame, *more: str) -> DataFrame:
