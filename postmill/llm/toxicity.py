@@ -23,7 +23,6 @@ Without labelled rows, or with one class only, every score is the share of toxic
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -133,17 +132,22 @@ def _surprise(hits: np.ndarray, n: np.ndarray, share: np.ndarray) -> np.ndarray:
     return np.where(q > share, n * (q * np.log(q / share) + (1 - q) * np.log((1 - q) / (1 - share))), 0)
 
 
-class Able(NamedTuple):
+#: Elements that a step of the pair search works on at once.
+PAIR_CHUNK = 1 << 20
+
+
+class Pairs(NamedTuple):
     """What tasks need to look for pairs: the sample's rows by class, with the bins that can be part of any."""
 
-    flat: np.ndarray  # 32 bits, renumbered
+    flat: np.ndarray  # 32 bits, renumbered; the clean rows' bins in turn, then the toxic ones'
     sizes: np.ndarray
-    clean: int
+    clean: int  # number of clean rows
     names: np.ndarray
+    counts: np.ndarray  # rows of each class that hold a bin
     least: float
 
     @classmethod
-    def of(cls, sample: list[tuple[int, np.ndarray]]) -> Able:
+    def of(cls, sample: list[tuple[int, np.ndarray]]) -> Pairs:
         ordered = [b for _, b in sorted(sample, key=lambda r: r[0])]
         label = np.bincount([y for y, _ in sample], minlength=2)
         counts = np.zeros((2, BINS), np.int64)
@@ -163,50 +167,42 @@ class Able(NamedTuple):
         for b, size in zip(ordered, sizes.tolist(), strict=True):
             flat[at : at + size] = number[b[able[b]]]
             at += size
-        return cls(flat, sizes, int(label[0]), names, least)
-
-
-_PAIRS: dict[str, Pairs] = {}
-
-
-def _pairs_in_worker(key: str, able: tuple) -> Pairs:
-    """The pair tables of a sample, built once in a worker."""
-    if key not in _PAIRS:
-        _PAIRS.clear()
-        _PAIRS[key] = Pairs.of(Able(*able))
-    return _PAIRS[key]
-
-
-class Pairs(NamedTuple):
-    """Rows of a sample, their bins renumbered to those that a pair could need."""
-
-    flat: np.ndarray  # bins of the clean rows in turn, then of the toxic ones
-    offsets: np.ndarray
-    clean: int  # number of clean rows
-    rows: np.ndarray  # rows of each bin in turn, ascending
-    starts: np.ndarray
-    names: np.ndarray
-    least: float
-
-    @classmethod
-    def of(cls, able: Able) -> Pairs:
-        offsets = np.concatenate([[0], np.cumsum(able.sizes)])
-        by_bin = np.argsort(able.flat, kind="stable")
-        rows = np.repeat(np.arange(len(able.sizes), dtype=np.int32), able.sizes)[by_bin]
-        starts = np.concatenate([[0], np.cumsum(np.bincount(able.flat, minlength=len(able.names)))])
-        return cls(able.flat, offsets, able.clean, rows, starts, able.names, able.least)
+        return cls(flat, sizes, int(label[0]), names, counts[:, names], least)
+
+    def _rows_of(self, bins: range) -> dict[int, np.ndarray]:
+        """Ascending rows of each of the bins."""
+        found = []
+        for start in range(0, len(self.flat), PAIR_CHUNK):
+            chunk = self.flat[start : start + PAIR_CHUNK]
+            found.append(np.flatnonzero(chunk % bins.step == bins.start) + start)
+        at = np.concatenate(found) if found else np.empty(0, np.int64)
+        row = np.searchsorted(np.cumsum(self.sizes), at, side="right")
+        own = self.flat[at]
+        order = np.argsort(own, kind="stable")
+        row, own = row[order], own[order]
+        edges = np.searchsorted(own, np.array([*bins, bins.stop]))
+        return {a: row[x:y] for a, x, y in zip(bins, edges[:-1].tolist(), edges[1:].tolist(), strict=True)}
+
+    def _met(self, rows: np.ndarray) -> np.ndarray:
+        """How many of the rows hold each bin."""
+        met = np.zeros(len(self.names), np.int64)
+        ends = np.cumsum(self.sizes[rows], dtype=np.int64)
+        start = 0
+        while start < len(rows):
+            limit = (int(ends[start - 1]) if start else 0) + PAIR_CHUNK
+            stop = max(start + 1, int(np.searchsorted(ends, limit, side="right")))
+            met += np.bincount(self.flat[spread(self.sizes, rows[start:stop])[0]], minlength=len(met))
+            start = stop
+        return met
 
     def partners(self, bins: range) -> np.ndarray:
         """Names of those bins and their partners whose rows in common lean to a class more than either's rows do."""
-        n, m = len(self.offsets) - 1, len(self.names)
-        edge = self.offsets[self.clean]
-        toxic = np.bincount(self.flat[edge:], minlength=m)
-        share = toxic / np.maximum(np.diff(self.starts), 1)
-        overall, lengths, found = (n - self.clean) / max(n, 1), np.diff(self.offsets), np.zeros(m, bool)
-        for a in bins:
-            own = self.rows[self.starts[a] : self.starts[a + 1]]
+        n, m = len(self.sizes), len(self.names)
+        share = self.counts[1] / np.maximum(self.counts.sum(axis=0), 1)
+        overall, found = (n - self.clean) / max(n, 1), np.zeros(m, bool)
+        for a, own in self._rows_of(bins).items():
             cut = int(np.searchsorted(own, self.clean))
-            clean, bad = (np.bincount(self.flat[spread(lengths, part)[0]], minlength=m) for part in (own[:cut], own[cut:]))
+            clean, bad = self._met(own[:cut]), self._met(own[cut:])
             both = clean + bad
             at = np.flatnonzero((bad * -np.log(max(overall, 1e-9)) >= self.least) | (clean * -np.log(max(1 - overall, 1e-9)) >= self.least))
             at = at[at != a]
@@ -223,14 +219,14 @@ def paired(docs: DataFrame, rows: list[tuple[int, np.ndarray]]) -> np.ndarray:
     useful = np.zeros(BINS, bool)
     if len({y for y, _ in rows}) < 2:
         return useful
-    spark, able, key = docs.sparkSession, Able.of(rows), uuid.uuid4().hex
-    shared, many = spark.sparkContext.broadcast(tuple(able)), len(able.names)
-    del able
+    spark, pairs = docs.sparkSession, Pairs.of(rows)
+    shared, many = spark.sparkContext.broadcast(tuple(pairs)), len(pairs.names)
+    del pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in batch.column("id").to_pylist():
-                found = _pairs_in_worker(key, shared.value).partners(range(start, many, PAIR_TASKS))
+                found = Pairs(*shared.value).partners(range(start, many, PAIR_TASKS))
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["bin"])
 
     found = spark.range(0, min(PAIR_TASKS, many), 1, max(1, min(PAIR_TASKS, many))).mapInArrow(run, "bin bigint").distinct().toArrow()
