@@ -335,11 +335,13 @@ def train(
     return fit(few)
 
 
+def _small(model: Model) -> Model:
+    return model._replace(weights=model.weights.astype(np.float32), factors=model.factors.astype(np.float32))
+
+
 def scored(docs: DataFrame, model: Model, keep: list[str], text: str = "text", score: str = "score") -> DataFrame:
     """``keep`` columns of every document and its score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model._replace(
-        weights=model.weights.astype(np.float32), factors=model.factors.astype(np.float32)
-    ))
+    shared = docs.sparkSession.sparkContext.broadcast(_small(model))
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(score, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +373,16 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Documents scored below the threshold, with all their columns."""
     model = train(docs, labels, learnable())
-    # Positions stand for names, so that no column can clash with the score.
+    shared = docs.sparkSession.sparkContext.broadcast(_small(model))
+
+    @F.arrow_udf(T.DoubleType())
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            whole = pa.RecordBatch.from_arrays([batch], ["text"])
+            parts = [shared.value.scores(*term_bins(part.column(0))) for part in slices(whole, "text", SLICE_BYTES)]
+            yield pa.array(np.concatenate(parts) if parts else np.empty(0), pa.float64())
+
+    # Only texts go to Python and only scores come back. Positions stand for names, so that none can clash.
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    kept = scored(plain, model, plain.columns, f"c{docs.columns.index('text')}", "_score")
-    return kept.where(F.col("_score") < threshold).drop("_score").toDF(*docs.columns)
+    text = F.col(f"c{docs.columns.index('text')}")
+    return plain.withColumn("_score", score(text)).where(F.col("_score") < threshold).drop("_score").toDF(*docs.columns)

@@ -105,7 +105,10 @@ def spread(size: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int):
-    """Parts of a batch whose texts hold about ``most_bytes``; a longer text is a part of its own."""
+    """Parts of a batch whose texts hold about ``most_bytes``; a longer text is a part of its own.
+
+    What the work on a batch has freed goes back to the system after it, as a worker lives on for later stages.
+    """
     if not batch.num_rows:
         return
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -116,3 +119,4 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int):
         stop = max(start + 1, int(np.searchsorted(total, limit, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()
