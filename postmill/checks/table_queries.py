@@ -156,6 +156,12 @@ def fuzzy(spark, sf):
     return dedup_fuzzy(valid(_canon(spark, sf)).select("k", "source_rank", "ord", "title", "company"))
 
 
+@query("dedup_fuzzy_summary")
+def fuzzy_summary(spark, sf):
+    """Kept and dropped rows of the near-duplicate removal."""
+    return summary.fuzzy_summary(valid(_canon(spark, sf)).select("k", "source_rank", "ord", "title", "company"))
+
+
 _SIGNATURE = "lower(title) || ' ' || lower(company)"
 
 

@@ -44,6 +44,24 @@ ROWS_PER_TASK = 20_000
 PAIR_TOKEN_LIMIT = 2 / 3
 
 
+def _masks(text: str) -> dict[str, int]:
+    """Where each character stands, as bits."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def common(masks: dict[str, int], size: int, text: str) -> int:
+    """Length of the longest common subsequence with a text of ``size``; matching blocks never cover more."""
+    full = (1 << size) - 1
+    state = full
+    for c in text:
+        hit = state & masks.get(c, 0)
+        state = (state + hit | state - hit) & full
+    return size - state.bit_count()
+
+
 @F.arrow_udf(T.BooleanType())
 def _similar(pos: pa.Array, later: pa.Array, earlier: pa.Array, threshold: pa.Array, any_match: pa.Array) -> pa.Array:
     """Does each pair reach the threshold?
@@ -57,16 +75,23 @@ def _similar(pos: pa.Array, later: pa.Array, earlier: pa.Array, threshold: pa.Ar
         return pa.array(verdict, type=pa.bool_())
     t, one_is_enough = threshold[0].as_py(), any_match[0].as_py()
     matcher, current, done = SequenceMatcher(), None, set()
+    masks, prepared = {}, False
     # difflib prepares its second text once: visit pairs by it, frequent ones first.
     often = Counter(b)
     for i in sorted(range(len(b)), key=lambda i: (-often[b[i]], b[i])):
         if one_is_enough and keys[i] in done:
             continue
         if b[i] != current:
-            current = b[i]
+            current, prepared = b[i], False
+            masks = _masks(current)
+        total = len(a[i]) + len(current)
+        if 2 * common(masks, len(current), a[i]) < (t - 1e-9) * total:
+            continue
+        if not prepared:
             matcher.set_seq2(current)
+            prepared = True
         matcher.set_seq1(a[i])
-        if matcher.real_quick_ratio() >= t and matcher.quick_ratio() >= t and matcher.ratio() >= t:
+        if matcher.ratio() >= t:
             verdict[i] = True
             done.add(keys[i])
     return pa.array(verdict, type=pa.bool_())

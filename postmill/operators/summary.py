@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from postmill.operators.enrich import RICH_TEXT
 from postmill.operators.filters import with_drop_reason
+from postmill.operators.fuzzy import dedup_fuzzy
 from postmill.operators.model import fingerprint
 
 
@@ -29,6 +30,15 @@ def dedup_summary(df: DataFrame) -> DataFrame:
     )
 
 
+def fuzzy_summary(df: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """Kept and dropped rows of the near-duplicate removal."""
+    kept = dedup_fuzzy(df, threshold).select(F.lit(1).alias("kept"))
+    return df.select(F.lit(0).alias("kept")).unionByName(kept).agg(
+        F.count_if(F.col("kept") == 1).alias("n_unique"),
+        (F.count_if(F.col("kept") == 0) - F.count_if(F.col("kept") == 1)).alias("n_duplicates"),
+    )
+
+
 def enrich_summary(df: DataFrame) -> DataFrame:
     rich = F.length(F.coalesce(F.col("description"), F.lit(""))) > RICH_TEXT
     return df.agg(F.count_if(rich).alias("n_rich"), F.count("*").alias("n_total"))

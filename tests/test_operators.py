@@ -133,7 +133,19 @@ def test_fuzzy_dedup_equals_the_sequential_rule(spark, monkeypatch, threshold, b
     rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4))), rnd.choice(["Acme", "Globex Ltd", "Ac"])) for i in range(150)]
     rows += [(150 + i, rows[i][1].replace("e", "x", 1), rows[i][2]) for i in range(30)]
     df = posts(spark, rows, "ord long, title string, company string").repartition(3)
-    assert sorted(r["ord"] for r in fuzzy.dedup_fuzzy(df, threshold).select("ord").collect()) == _greedy(rows, threshold)
+    wanted = _greedy(rows, threshold)
+    assert sorted(r["ord"] for r in fuzzy.dedup_fuzzy(df, threshold).select("ord").collect()) == wanted
+    if block == 32:
+        assert summary.fuzzy_summary(df, threshold).first().asDict() == {"n_unique": len(wanted), "n_duplicates": len(rows) - len(wanted)}
+
+
+def test_common_subsequence_bounds_similarity():
+    """The filter in front of difflib never is below what difflib matches."""
+    rnd = random.Random(31)
+    for _ in range(2000):
+        a, b = ("".join(rnd.choice("abcd é") for _ in range(rnd.randrange(0, 90))) for _ in range(2))
+        matched = sum(m.size for m in SequenceMatcher(None, a, b).get_matching_blocks())
+        assert matched <= fuzzy.common(fuzzy._masks(b), len(b), a) <= min(len(a), len(b))
 
 
 def test_rows_sharing_a_position_are_judged_by_their_own_text(spark):
