@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from typing import NamedTuple
 
 import numpy as np
@@ -104,6 +105,13 @@ def spread(size: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(begin[index] - (ends - lengths), lengths) + np.arange(total), ends
 
 
+def give_back() -> None:
+    """Memory that Arrow and the C library hold free goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int):
     """Parts of a batch whose texts hold about ``most_bytes``; a longer text is a part of its own.
 
@@ -119,4 +127,4 @@ def slices(batch: pa.RecordBatch, column: str, most_bytes: int):
         stop = max(start + 1, int(np.searchsorted(total, limit, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
-    pa.default_memory_pool().release_unused()
+    give_back()
