@@ -171,3 +171,50 @@ def markdown(spark: SparkSession, folder: str) -> DataFrame:
         company=F.when(k % 3 > 0, F.concat(F.lit("[ "), F.col("s"), F.lit("](https://wellfound.com/company/c)"))).otherwise(""),
     )
     return base.select(k.alias("page_id"), F.when(k % 2 == 0, "hyderabad").alias("search_location"), text.alias("markdown"))
+
+
+#: Postings that one landed payload of the whole run holds.
+PER_PAGE = 8
+
+
+def _paged(rows: DataFrame, *pieces: str) -> DataFrame:
+    """Payloads of up to ``PER_PAGE`` neighbours side by side, in order, as arrays of their pieces."""
+    page = F.floor(F.col("page_id") / (3 * PER_PAGE)).alias("page_id")
+    held = F.sort_array(F.collect_list(F.struct(F.col("page_id").alias("k"), *pieces)))
+    return rows.groupBy(page).agg(held.alias("held"))
+
+
+def landed_feed(spark: SparkSession, folder: str) -> DataFrame:
+    """``(page_id, payload)``: feed arrays with the elements of several postings."""
+    rows = _paged(feed(spark, folder).where("page_id % 3 = 1"), "payload")
+    inner = F.transform("held", lambda h: F.substr(h["payload"], F.lit(2), F.length(h["payload"]) - 2))
+    return rows.select("page_id", F.concat(F.lit("["), F.array_join(inner, ","), F.lit("]")).alias("payload"))
+
+
+def landed_api(spark: SparkSession, folder: str) -> DataFrame:
+    """``(page_id, payload)``: API objects that list several postings; unreadable ones stay as they are."""
+    rows = api(spark, folder).where("page_id % 3 = 0")
+    item = F.regexp_extract("payload", r'^\{"jobDetails":\[(.*)\],"n":1\}$', 1)
+    listed = _paged(rows.withColumn("item", item).where("item <> ''"), "item")
+    items = F.array_join(F.transform("held", lambda h: h["item"]), ",")
+    good = listed.select("page_id", F.concat(F.lit('{"jobDetails":['), items, F.lit("]}")).alias("payload"))
+    return good.unionByName(rows.where(item == "").select(-F.col("page_id") - 1, "payload").toDF("page_id", "payload"))
+
+
+def landed_startup(spark: SparkSession, folder: str) -> DataFrame:
+    """``(page_id, search_location, html)``: pages with the cards of several postings."""
+    rows = _paged(startup(spark, folder).where("page_id % 3 = 2"), "html")
+    return rows.select("page_id", F.lit("pune").alias("search_location"), F.array_join(F.transform("held", lambda h: h["html"]), "").alias("html"))
+
+
+def landed_cards(spark: SparkSession, folder: str) -> DataFrame:
+    """``(page_id, html)``: result pages with the cards of several postings."""
+    rows = _paged(cards(spark, folder).where("page_id % 3 = 0"), "html")
+    return rows.select("page_id", F.array_join(F.transform("held", lambda h: h["html"]), "").alias("html"))
+
+
+def detail_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """``(source, url, html)``: landed pages of postings, some unreadable."""
+    text = F.regexp_replace(F.regexp_replace("text", "&", "&amp;"), "<", "&lt;")
+    html = F.concat(F.lit("<html><body><nav>menu</nav><main>"), text, F.lit("</main></body></html>"))
+    return derived.details(spark, folder).select("source", "url", F.when(F.col("k") % 17 == 0, "<![foo[ x").otherwise(html).alias("html"))

@@ -14,7 +14,11 @@ from postmill.checks.scalar_queries import BADGE_PAY, BADGE_YEARS, EXP_FROM_TAGS
 from postmill.functions.html import clean_html as clean_html_column
 from postmill.operators.filters import drop_blocked_pages
 from postmill.sources import api, cards, details, feed, startup
+from postmill.operators.lineage import staging_path
+from postmill.plans.payload_flow import Landed, payload_flow
+from postmill.sources.exports import read_csv_text
 from postmill.sources.registry import default_registry
+from postmill.sources.rejects import page_rejects
 
 WORDS = "trim(regexp_replace(description, '[^A-Za-z]+', ' ', 'g'))"
 NAME = "trim(regexp_replace(title, ' +', ' ', 'g'))"
@@ -306,3 +310,32 @@ _LINE = duck.collapse(_pieces(_PAGE_TEXT, "' '"))
 @query("clean_html", f"SELECT page_id, CASE WHEN length({_LINE}) > 500 THEN substr({_LINE}, 1, 500) || '...' ELSE {_LINE} END AS text FROM pages")
 def clean_html(spark, sf):
     return derived.table(spark, sf, "pages").select("page_id", clean_html_column(F.col("html"), 500).alias("text"))
+
+
+# ---------------------------------------------------------------- whole run
+
+
+@query(
+    "page_rejects",
+    """SELECT page_id, CASE WHEN page_id % 10 = 7 THEN 'page missing' ELSE 'page not readable' END AS reject_reason
+    FROM pages WHERE page_id % 10 IN (3, 7)""",
+)
+def page_rejects_query(spark, sf):
+    """Pages of which some are cut off inside a declaration and some have not come."""
+    k = F.col("page_id")
+    html = F.when(k % 10 == 3, F.concat(F.lit("<![foo[ x"), F.col("html"))).when(k % 10 != 7, F.col("html"))
+    return page_rejects(derived.table(spark, sf, "pages").select("page_id", html.alias("html")))
+
+
+@query("payload_flow")
+def payload_flow_query(spark, sf):
+    """Landed payloads of four adapters to an export, read back; the export is text as it was written."""
+    landed = [
+        Landed("naukri", payloads.landed_api(spark, sf), {"as_of": derived.AS_OF}),
+        Landed("remoteok", payloads.landed_feed(spark, sf), {"as_of": derived.AS_OF}),
+        Landed("wellfound", payloads.landed_startup(spark, sf)),
+        Landed("naukri_cards", payloads.landed_cards(spark, sf), {"as_of": derived.AS_OF}),
+    ]
+    path = staging_path(spark, "payload-flow")
+    run = payload_flow(spark, landed, payloads.detail_pages(spark, sf), derived.AS_OF, path)
+    return read_csv_text(spark, run.path or path)

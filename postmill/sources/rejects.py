@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.functions.html import html_nodes
+
 
 def rejected(payloads: DataFrame, elements: Column, payload: str) -> DataFrame:
     """``(page columns, ord, reject_reason)`` for every payload or element that no scan can use.
@@ -24,3 +26,11 @@ def rejected(payloads: DataFrame, elements: Column, payload: str) -> DataFrame:
     )
     named = rows.select(*keep, F.col("ord").cast("bigint").alias("ord"), reason.alias("reject_reason"))
     return named.where(F.col("reject_reason").isNotNull())
+
+
+def page_rejects(pages: DataFrame, html: str = "html") -> DataFrame:
+    """``(page columns, reject_reason)`` of every page that no card or text scan can read."""
+    keep = [c for c in pages.columns if c != html]
+    parsed = pages.select(*keep, F.col(html).isNull().alias("_missing"), html_nodes(F.col(html)).isNull().alias("_unread"))
+    reason = F.when(F.col("_missing"), "page missing").when(F.col("_unread"), "page not readable")
+    return parsed.select(*keep, reason.alias("reject_reason")).where(F.col("reject_reason").isNotNull())
