@@ -20,7 +20,7 @@ from postmill.sources.exports import read_csv_text
 from postmill.sources.registry import default_registry
 from postmill.sources.rejects import page_rejects
 
-WORDS = "trim(regexp_replace(description, '[^A-Za-z]+', ' ', 'g'))"
+WORDS = "trim(regexp_replace(description, '[^\\p{L}]+', ' ', 'g'))"
 NAME = "trim(regexp_replace(title, ' +', ' ', 'g'))"
 SHORT = "split_part(company, ' ', 1)"
 BASE = f"WITH base0 AS ({derived.postings_sql(derived.DUCK)}), base AS (SELECT *, {WORDS} AS words, {NAME} AS name, {SHORT} AS s FROM base0)"
