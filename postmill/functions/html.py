@@ -39,9 +39,31 @@ def entity_table() -> dict[str, str]:
     return table
 
 
+# Maps over which the names of the table are spread; a power of two above half their number.
+ENTITY_SLOTS = 1024
+
+
+def _entity_maps() -> list[dict[str, str]]:
+    """The table as small maps, a name in the map of its slot (see ``_named_entity``)."""
+    maps: list[dict[str, str]] = [{} for _ in range(ENTITY_SLOTS)]
+    for name, put in entity_table().items():
+        first, second, third = (ord(ch) for ch in name[:3].ljust(3, "\0"))
+        last = ord(name[-1])
+        maps[(first + 7 * second + 61 * third + 151 * last + 401 * len(name)) % ENTITY_SLOTS][name] = put
+    return maps
+
+
+def _named_entity(name: Column) -> Column:
+    """Text of a reference by its name, else null. Spark searches a map entry by entry, so the map is picked by place first."""
+    first, second, third = (F.ascii(F.substring(name, i, 1)) for i in (1, 2, 3))
+    last = F.ascii(F.right(name, F.lit(1)))
+    slot = (first + second * 7 + third * 61 + last * 151 + F.length(name) * 401) % ENTITY_SLOTS
+    maps = F.from_json(F.lit(json.dumps(_entity_maps())), "array<map<string,string>>")
+    return F.try_element_at(F.get(maps, slot), name)
+
+
 def decode_entities(c: Column) -> Column:
     """Replace character references; an unknown name stays, without its semicolon."""
-    table = F.from_json(F.lit(json.dumps(entity_table())), "map<string,string>")
 
     def code_point(ref: Column) -> Column:
         hexa = ref.rlike("^#[xX]")
@@ -49,13 +71,13 @@ def decode_entities(c: Column) -> Column:
         number = code.try_cast("bigint")
         valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
         utf32 = F.unhex(F.lpad(F.hex(number), 8, "0"))
-        from_table = F.try_element_at(table, F.concat(F.lit("#"), number.cast("string")))
+        from_table = F.when(number < 256, _named_entity(F.concat(F.lit("#"), number.cast("string"))))
         return F.coalesce(from_table, F.when(valid, F.decode(utf32, "UTF-32")), F.lit("�"))
 
     def piece(p: Column) -> Column:
         def put(ref: Column) -> Column:
             rest = F.regexp_replace(F.substr(p, F.length(ref) + 1), "^;", "")
-            named = F.coalesce(F.try_element_at(table, ref), F.concat(F.lit("&"), ref))
+            named = F.coalesce(_named_entity(ref), F.concat(F.lit("&"), ref))
             return F.concat(F.when(ref.startswith("#"), code_point(ref)).otherwise(named), rest)
 
         ref = F.regexp_extract(p, r"^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*)", 1)
@@ -67,11 +89,11 @@ def decode_entities(c: Column) -> Column:
         decoded = F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece)
         return F.concat(parts.getItem(0), F.array_join(decoded, ""))
 
-    return F.when(c.contains("&"), let(F.split(c, "&"), rebuild)).otherwise(c)
+    return let(c, lambda t: F.when(t.contains("&"), let(F.split(t, "&"), rebuild)).otherwise(t))
 
 
 def _without_markup(c: Column, mark: str) -> Column:
-    return F.when(c.contains("<"), F.regexp_replace(c, _MARKUP, mark)).otherwise(c)
+    return let(c, lambda t: F.when(t.contains("<"), F.regexp_replace(t, _MARKUP, mark)).otherwise(t))
 
 
 def plain_text(html_text: Column) -> Column:
@@ -88,7 +110,7 @@ def spaced_text(html_text: Column, separator: str = " ") -> Column:
 def clean_html(html_text: Column, limit: int | None = None) -> Column:
     """One line of text; cut at ``limit`` characters if one is given."""
     line = collapse(spaced_text(html_text))
-    return line if limit is None else clip(line, limit)
+    return line if limit is None else let(line, lambda whole: clip(whole, limit))
 
 
 # --------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from postmill.functions.experience import says_senior
 from postmill.functions.html import plain_text, spaced_text
-from postmill.functions.text import strip
+from postmill.functions.text import let, strip
 
 # Role words too general to select a posting on their own.
 GENERIC_ROLE_WORDS = (
@@ -70,18 +70,20 @@ def match_keywords(position: Column, tags: Column, description: Column, keywords
     """
     if not keywords:
         return F.lit(True)
-    where = searchable(position, tags, description)
-    checks = []
-    for phrase in (k.lower().strip() for k in keywords):
-        if not phrase:
-            continue
-        checks.append(where.text.contains(phrase))
-        specific = specific_words(phrase)
-        if specific:
-            checks.append(_any([where.head.contains(w) for w in specific]))
-        else:
-            checks.append(reduce(lambda a, b: a & b, [where.text.contains(w) for w in phrase.split()]))
-    return _any(checks)
+    phrases = [p for p in (k.lower().strip() for k in keywords) if p]
+
+    def found(where: Column) -> Column:
+        checks = []
+        for phrase in phrases:
+            checks.append(where["text"].contains(phrase))
+            specific = specific_words(phrase)
+            if specific:
+                checks.append(_any([where["head"].contains(w) for w in specific]))
+            else:
+                checks.append(reduce(lambda a, b: a & b, [where["text"].contains(w) for w in phrase.split()]))
+        return _any(checks)
+
+    return let(searchable(position, tags, description), found)
 
 
 def open_to_applicants(tags: Column, description: Column) -> Column:
@@ -139,8 +141,12 @@ def strict_filter(df: DataFrame, ceiling: int = EXPERIENCE_CEILING) -> DataFrame
     return with_drop_reason(df, ceiling).where(F.col("drop_reason").isNull()).drop("drop_reason")
 
 
+def shows_block(*bodies: Column, markdown: bool = False) -> Column:
+    """Does a page show a human check instead of postings?"""
+    terms = BLOCKED_MARKDOWN if markdown else BLOCKED_PAGE
+    return let(F.lower(F.concat_ws("", *bodies)), lambda text: _any([text.contains(t) for t in terms]))
+
+
 def drop_blocked_pages(df: DataFrame, *bodies: str, markdown: bool = False) -> DataFrame:
     """Pages that show a human check instead of postings are discarded."""
-    terms = BLOCKED_MARKDOWN if markdown else BLOCKED_PAGE
-    text = F.lower(F.concat_ws("", *bodies))
-    return df.where(~_any([text.contains(t) for t in terms]))
+    return df.where(~shows_block(*[F.col(b) for b in bodies], markdown=markdown))
