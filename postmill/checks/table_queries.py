@@ -14,6 +14,8 @@ from postmill.operators.matching import match_searches
 from postmill.operators.model import canonicalise, has_required, quarantine, valid
 from postmill.operators.normalise import export_projection, normalise_postings
 from postmill.plans import reports
+from postmill.operators.lineage import staging_path
+from postmill.plans.counters import Counters
 from postmill.plans.posting_flow import export_flow, posting_flow
 from postmill.schema import SOURCES
 
@@ -258,6 +260,28 @@ def source_counts(spark, sf):
     return summary.source_counts(derived.postings(spark, sf).select(F.lower(F.trim("source")).alias("source")))
 
 
+_COUNTERS = {
+    "canon": {"normalise": {"n_input": "TRUE", "n_ok": "reject_reason IS NULL"}},
+    "judged": {"filter": {"kept": "drop_reason IS NULL", "senior": "drop_reason = 'senior'", "experience": "drop_reason = 'experience'"}},
+    "uniq": {"dedup": {"n_unique": "TRUE"}},
+    "enriched": {
+        "enrich": {"n_rich": "length(description) > 200", "n_total": "TRUE"},
+        "sources": {**{name: f"source = '{name}'" for name in SOURCES}, "other": "source NOT IN ('" + "', '".join(SOURCES) + "')"},
+    },
+}
+
+
+@query("flow_counters", duck.stages("enriched") + " UNION ALL ".join(
+    f"SELECT '{step}' AS step, '{name}' AS counter, count(*) FILTER ({test}) AS n_rows FROM {stage}"
+    for stage, steps in _COUNTERS.items() for step, tests in steps.items() for name, test in tests.items()))
+def flow_counters(spark, sf):
+    """All counters of one run of the flow, taken while its rows are written."""
+    counters = Counters()
+    rows = posting_flow(derived.raw_postings(spark, sf), derived.details(spark, sf), derived.AS_OF, counters=counters)
+    rows.write.parquet(staging_path(spark, "counted"))
+    return counters.frame(spark)
+
+
 @query("normalise_summary", f"{duck.stages('canon')} SELECT count(*) FILTER (reject_reason IS NULL) AS n_ok, count(*) AS n_input FROM canon")
 def normalise_summary(spark, sf):
     return summary.normalise_summary(_canon(spark, sf))

@@ -19,11 +19,14 @@ RICH_TEXT = 200
 
 
 def usable_details(details: DataFrame) -> DataFrame:
-    """``details(source, url, text)`` to one usable text per url."""
+    """``details(source, url, text)`` to one usable text per url: the longest, of equally long ones that of the smallest hash.
+
+    Texts are no part of the order, so no text is compared or sorted by.
+    """
     texts = details.select(
         F.lower(strip(F.col("source"))).alias("d_source"), F.col("url").alias("d_url"), strip(F.col("text")).alias("d_text")
     ).where(F.length("d_text") >= MINIMUM_TEXT)
-    return first_per_group(texts, [F.col("d_source"), F.col("d_url")], ["d_text"])
+    return first_per_group(texts, [F.col("d_source"), F.col("d_url")], [F.length("d_text").desc()], tie=["d_text"])
 
 
 def known_sources(df: DataFrame, sources: Sequence[str] = SOURCES) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,6 +26,14 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def observed(seen: Observation) -> dict[str, int]:
+    """Metrics of a frame that ran; empty where Spark left the frame out because no row could come of it."""
+    try:
+        return seen.get
+    except Py4JJavaError:
+        return {}
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to a table in the shared folder and go on from there.
 

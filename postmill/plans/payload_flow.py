@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions.text import strip
+from postmill.plans.counters import Counters
 from postmill.plans.posting_flow import export_flow
 from postmill.sources.details import CONTAINERS, extract_body_text
 from postmill.sources.exports import write_csv
@@ -27,10 +28,11 @@ class Landed(NamedTuple):
 
 
 class Run(NamedTuple):
-    """Where the export is (``""`` without rows) and how each source fared."""
+    """Where the export is (``""`` without rows), how each source fared and what each step counted."""
 
     path: str
     status: DataFrame
+    counts: DataFrame
 
 
 def details_of(pages: DataFrame) -> DataFrame:
@@ -51,4 +53,6 @@ def payload_flow(
     known = registry or default_registry()
     sources = [(s.adapter, partial(known.postings, s.adapter, s.payloads, **s.options)) for s in landed]
     raw, status = merge_isolated(spark, sources)
-    return Run(write_csv(export_flow(raw, details_of(pages), as_of, **options), path, as_of), status)
+    counters = Counters()
+    written = write_csv(export_flow(raw, details_of(pages), as_of, counters=counters, **options), path, as_of)
+    return Run(written, status, counters.frame(spark))

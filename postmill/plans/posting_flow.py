@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from postmill.operators.dedup import cap_per_source, dedup_exact
 from postmill.operators.enrich import enrich_details
-from postmill.operators.filters import EXPERIENCE_CEILING, experience_ceiling, strict_filter
+from postmill.operators.filters import EXPERIENCE_CEILING, experience_ceiling, with_drop_reason
 from postmill.operators.model import canonicalise, valid
 from postmill.operators.normalise import export_projection, normalise_postings
+from postmill.plans.counters import Counters, watch_filter, watch_result, watch_unique, watch_validation
 from postmill.schema import SOURCES
 
 
@@ -24,19 +26,25 @@ def posting_flow(
     ceiling: int = EXPERIENCE_CEILING,
     refilter: bool = False,
     sources: Sequence[str] = SOURCES,
+    counters: Counters | None = None,
 ) -> DataFrame:
     """Merged raw postings to deduplicated, enriched canonical postings.
 
     ``raw`` carries ``source_rank`` and ``ord``. Cheap row-local work comes first,
     then duplicates go, and only what is left is joined to the large page texts.
     The years found in a page do not remove a posting unless ``refilter`` asks for it.
+    ``counters`` are filled by the run itself, which then reads its input once.
     """
-    postings = valid(canonicalise(raw, as_of))
+    def watched(watch: Callable[[Counters, DataFrame], DataFrame], df: DataFrame) -> DataFrame:
+        return df if counters is None else watch(counters, df)
+
+    postings = valid(watched(watch_validation, canonicalise(raw, as_of)))
     if cap is not None:
         postings = cap_per_source(postings, cap)
-    shortlisted = strict_filter(normalise_postings(postings), ceiling)
-    enriched = enrich_details(dedup_exact(shortlisted), details, sources)
-    return experience_ceiling(enriched, ceiling) if refilter else enriched
+    judged = watched(watch_filter, with_drop_reason(normalise_postings(postings), ceiling))
+    shortlisted = judged.where(F.col("drop_reason").isNull()).drop("drop_reason")
+    enriched = enrich_details(watched(watch_unique, dedup_exact(shortlisted)), details, sources)
+    return watched(watch_result, experience_ceiling(enriched, ceiling) if refilter else enriched)
 
 
 def export_flow(raw: DataFrame, details: DataFrame, as_of: datetime, **options) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions.search import slugify
 from postmill.functions.text import first_nonblank
+from postmill.operators.lineage import observed
 from postmill.schema import EXPORT_COLUMNS, EXPORT_DDL, EXPORT_TYPED_DDL
 
 # Quotes double as in RFC 4180, blanks stay blanks, no value is trimmed.
@@ -65,21 +67,44 @@ def run_path(folder: str, run_at: datetime, role: str | None = None, location: s
 def write_csv(df: DataFrame, path: str, run_at: datetime, append: bool = False, keep_extra: bool = False) -> str:
     """Write an export and return its path, or ``""`` and nothing when there are no rows.
 
-    The rows are kept from the look at the first one to the write, so the plan runs once.
+    The plan runs once and nothing is kept: whether there were rows is counted while they are written.
+    More rows for an export that is there are written to a hidden folder inside of it, which readers
+    skip, and its files are moved up when all of them are complete.
     """
-    rows = export_rows(df, run_at, keep_extra).persist()
-    try:
-        if rows.isEmpty():
-            return ""
-        rows.write.mode("append" if append else "errorifexists").options(**WRITE_OPTIONS).csv(path)
-        return path
-    finally:
-        rows.unpersist()
+    spark = df.sparkSession
+    seen = Observation()
+    rows = export_rows(df, run_at, keep_extra).observe(seen, F.count(F.lit(1)).alias("n_rows"))
+    adds = append and _exists(spark, path)
+    target = f"{path.rstrip('/')}/_adding-{uuid.uuid4().hex}" if adds else path
+    rows.write.mode("errorifexists").options(**WRITE_OPTIONS).csv(target)
+    any_rows = bool(observed(seen).get("n_rows"))
+    if adds and any_rows:
+        _move_parts(spark, target, path)
+    if adds or not any_rows:
+        folder, files = _folder(spark, target)
+        files.delete(folder, True)
+    return path if any_rows else ""
+
+
+def _folder(spark: SparkSession, path: str):
+    """A path and its file system."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _move_parts(spark: SparkSession, source: str, target: str) -> None:
+    """Part files to another folder; their names hold the id of their job, so none meets one of the same name."""
+    folder, files = _folder(spark, source)
+    goal, _ = _folder(spark, target)
+    for part in files.listStatus(folder):
+        name = part.getPath().getName()
+        if name.startswith("part-") and not files.rename(part.getPath(), spark._jvm.org.apache.hadoop.fs.Path(goal, name)):
+            raise OSError(f"{name} could not be added to {target}")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    folder, files = _folder(spark, path)
+    found = files.globStatus(folder)
     return found is not None and len(found) > 0
 
 

@@ -267,6 +267,9 @@ def test_csv_round_trip(spark, tmp_path):
         exports.write_csv(df, path, AS_OF)
     exports.write_csv(df, path, AS_OF, append=True)
     assert exports.read_csv_glob(spark, str(tmp_path / "*.csv")).count() == 4
+    assert exports.write_csv(df.limit(0), path, AS_OF, append=True) == "" and exports.read_csv_text(spark, path).count() == 4
+    assert not list((tmp_path / "out.csv").glob("_adding*"))
+    assert exports.write_csv(df.where("url = 'none'"), str(tmp_path / "none.csv"), AS_OF) == ""
     assert exports.write_csv(df.limit(0), str(tmp_path / "none.csv"), AS_OF) == "" and not (tmp_path / "none.csv").exists()
     assert exports.read_csv_typed(spark, str(tmp_path / "none.csv")).columns == list(EXPORT_COLUMNS)
     assert exports.read_csv_typed(spark, path, infer=True).count() == 4

@@ -52,6 +52,11 @@ def test_payloads_to_export(spark, landed, pages, tmp_path):
     assert sorted(rows) == ["Bäcker", "Gärtner, \"jung\"", "Imker", "Schlosser 1", "Schlosser 2", "Schlosser 3"]
     assert rows["Schlosser 2"]["description"] == LONG.strip() and rows["Bäcker"]["description"] == "Größe 1 & mehr"
     assert rows["Imker"]["url"].endswith("/jobs/Imker") and rows["Schlosser 1"]["source"] == "naukri"
+    counts = {(r["step"], r["counter"]): r["n_rows"] for r in run.counts.collect()}
+    # The second Bäcker has the first one's link, the senior beekeeper goes.
+    assert (counts["normalise", "n_input"], counts["filter", "kept"], counts["filter", "senior"], counts["dedup", "n_unique"]) == (8, 7, 1, 6)
+    assert (counts["sources", "naukri"], counts["sources", "remoteok"], counts["sources", "wellfound"], counts["sources", "other"]) == (3, 2, 1, 0)
+    assert counts["enrich", "n_rich"] == 1 and counts["enrich", "n_total"] == 6
     assert [(r["source"], r["state"], r["n_rows"]) for r in run.status.orderBy("source_rank").collect()] == [
         ("naukri", "ok", 3), ("remoteok", "ok", 3), ("wellfound", "ok", 2)]
 
