@@ -253,19 +253,42 @@ def any_of(*selectors):
 def inside(*chain):
     """Descendant chain: each selector must match an ancestor of the next one."""
     *outer, last = chain
+    if not outer:
+        return last
+    ancestor = inside(*outer)
 
     def test(n: Column, nodes: Column) -> Column:
-        ok = last(n, nodes)
-        if outer:
-            ancestor = inside(*outer)
-            ok = ok & F.exists(nodes, lambda p: (p["lo"] < n["lo"]) & (p["hi"] >= n["hi"]) & ancestor(p, nodes))
-        return ok
+        return last(n, nodes) & F.exists(nodes, lambda p: _covers(p, n) & ancestor(p, nodes))
 
+    test.parts = ancestor, last
     return test
 
 
+def below_root(selector, root: Column):
+    """The same selector for nodes below ``root`` only; ``root`` itself can still be an ancestor in a chain."""
+    def test(n: Column, nodes: Column) -> Column:
+        return (n["lo"] > root["lo"]) & selector(n, nodes)
+
+    if hasattr(selector, "parts"):
+        ancestor, last = selector.parts
+        test.parts = ancestor, below_root(last, root)
+    return test
+
+
+def _covers(outer: Column, n: Column) -> Column:
+    return (outer["lo"] < n["lo"]) & (outer["hi"] >= n["hi"])
+
+
 def select_all(nodes: Column, selector) -> Column:
-    return F.filter(nodes, lambda n: selector(n, nodes))
+    """Matching nodes. Of a chain the outer hits are found first, once; without any, no node is looked at for the rest."""
+    if not hasattr(selector, "parts"):
+        return F.filter(nodes, lambda n: selector(n, nodes))
+    ancestor, last = selector.parts
+
+    def within(outer: Column) -> Column:
+        return F.filter(nodes, lambda n: (F.size(outer) > 0) & last(n, nodes) & F.exists(outer, lambda p: _covers(p, n)))
+
+    return let(select_all(nodes, ancestor), within)
 
 
 def select_one(nodes: Column, selector) -> Column:
@@ -273,8 +296,9 @@ def select_one(nodes: Column, selector) -> Column:
 
 
 def content(nodes: Column, node: Column) -> Column:
-    """The nodes below ``node``."""
-    return F.filter(nodes, lambda n: (n["lo"] > node["lo"]) & (n["hi"] <= node["hi"]))
+    """The nodes below ``node``, of an array without gaps: nodes stand in document order, so they are a slice."""
+    first = F.get(nodes, F.lit(0))["lo"]
+    return F.slice(nodes, node["lo"] - first + 2, node["hi"] - node["lo"] - 1)
 
 
 def without(nodes: Column, selector) -> Column:
@@ -287,12 +311,16 @@ def without(nodes: Column, selector) -> Column:
     )
 
 
-def text_of(nodes: Column, node: Column, separator: str = "") -> Column:
-    """Stripped text pieces below ``node``; the node is looked up once, not per piece."""
+def text_of(nodes: Column, node: Column, separator: str = "", gaps: bool = False) -> Column:
+    """Stripped text pieces below ``node``; the node is looked up once, not per piece.
+
+    ``gaps`` tells that nodes were taken out of the array, so all of it has to be looked at.
+    """
     def pieces(found: Column) -> Column:
-        inner = F.filter(
-            nodes, lambda t: (t["tag"] == "") & (t["lo"] >= found["lo"]) & (t["hi"] <= found["hi"])
-        )
+        if gaps:
+            inner = F.filter(nodes, lambda t: (t["tag"] == "") & _covers(found, t))
+        else:
+            inner = F.filter(content(nodes, found), lambda t: t["tag"] == "")
         stripped = F.filter(F.transform(inner, lambda t: strip(t["text"])), lambda s: s != "")
         return F.when(found.isNotNull(), F.array_join(stripped, separator))
 
@@ -321,7 +349,7 @@ def body_text(nodes: Column, chrome, containers, minimum: int = 80) -> Column:
 
     def container_text(selector):
         def of(ns: Column) -> Column:
-            joined = F.regexp_replace(text_of(ns, select_one(ns, selector), "\n"), r"\n{3,}", "\n\n")
+            joined = F.regexp_replace(text_of(ns, select_one(ns, selector), "\n", gaps=True), r"\n{3,}", "\n\n")
             return first_where(F.array(strip(joined)), lambda t: F.length(t) > minimum)
 
         return of

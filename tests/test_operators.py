@@ -313,6 +313,14 @@ def test_registry(spark):
         registry.register(" ", lambda p: p)
 
 
+def test_long_pages_of_cards(spark):
+    """Thousands of cards on a page, each with its own fields; links outside of cards belong to none."""
+    card = '<div class="jobTuple"><h2><a href="/d/{i}"> T{i} </a></h2><div class="row2"><span><a>C{i}</a></span></div><i>x<b>y</b></i></div><a href="/no">no</a>'
+    page = "<html><body><p>first</p>" + "".join(card.format(i=i) for i in range(3000)) + "</body></html>"
+    rows = cards.card_postings(spark.createDataFrame([(0, page)], "page_id int, html string"), AS_OF).select("ord", "title", "company", "url").collect()
+    assert sorted(map(tuple, rows)) == [(i, f"T{i}", f"C{i}", f"https://www.naukri.com/d/{i}") for i in range(3000)]
+
+
 def test_unreadable_pages_do_not_end_the_job(spark):
     from postmill.functions.html import html_nodes
 
