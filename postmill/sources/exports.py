@@ -12,6 +12,7 @@ from postmill.functions.search import slugify
 from postmill.functions.text import first_nonblank
 from postmill.operators.lineage import observed
 from postmill.schema import EXPORT_COLUMNS, EXPORT_DDL, EXPORT_TYPED_DDL
+from postmill.sources.csv_records import read_csv_records
 
 # Quotes double as in RFC 4180, blanks stay blanks, no value is trimmed.
 CSV_OPTIONS = {
@@ -108,9 +109,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def _has_large_file(spark: SparkSession, path: str) -> bool:
+    """Is there a file that Spark would read in several splits? Told by file metadata alone."""
+    largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
+    return (largest or 0) > spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+
+
 def _read(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """Files of one split's size are a task each; larger ones are cut at splits, with the same rows."""
     if not _exists(spark, path):
         return spark.createDataFrame([], ddl)
+    if _has_large_file(spark, path):
+        return read_csv_records(spark, path, ddl, READ_OPTIONS)
     return spark.read.schema(ddl).options(**READ_OPTIONS).csv(path)
 
 
