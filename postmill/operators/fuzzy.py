@@ -23,6 +23,8 @@ the threshold, and never loses a pair that can:
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
+from contextlib import ExitStack
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -32,7 +34,7 @@ from pyspark.sql import types as T
 
 from postmill.functions.text import let
 from postmill.operators.dedup import first_per_group
-from postmill.operators.lineage import cut_lineage
+from postmill.operators.lineage import cut_lineage, passing_steps
 from postmill.operators.model import order_columns
 
 FIRST_BLOCK = 256
@@ -128,9 +130,9 @@ def _prefix_length(n_chars: Column, n_tokens: Column, threshold: float) -> Colum
     return n_tokens - F.greatest(F.ceil(overlap - F.lit(1e-6)), F.lit(1)) + 1
 
 
-def _features(sigs: DataFrame, threshold: float) -> DataFrame:
+def _features(sigs: DataFrame, threshold: float, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``(pos, sig, n, prefix)`` with prefix tokens in global order, rarest first."""
-    tokens = cut_lineage(sigs.select("pos", "sig", F.length("sig").alias("n"), _tokens(F.col("sig"), threshold).alias("tokens")))
+    tokens = cut(sigs.select("pos", "sig", F.length("sig").alias("n"), _tokens(F.col("sig"), threshold).alias("tokens")))
     # A bounded list: the most frequent tokens go last, all others count as rare.
     frequent = (
         tokens.select(F.explode("tokens").alias("token")).groupBy("token").count()
@@ -202,19 +204,20 @@ def _resolve(block: DataFrame, pairs: DataFrame) -> DataFrame:
     neighbours; pairs of dropped rows disappear. Pairs point to smaller positions,
     so some row is always free and the rounds end.
     """
-    open_pairs = cut_lineage(pairs)
-    kept = block
-    while not open_pairs.isEmpty():
-        waiting = open_pairs.select(F.col("later").alias("earlier"))
-        free = open_pairs.select("earlier").join(waiting, "earlier", "left_anti").distinct()
-        dropped = cut_lineage(open_pairs.join(free, "earlier", "left_semi").select("later").distinct())
-        kept = kept.join(dropped, kept["pos"] == dropped["later"], "left_anti")
-        open_pairs = cut_lineage(
-            open_pairs.join(dropped, "later", "left_anti").join(
-                dropped.select(F.col("later").alias("earlier")), "earlier", "left_anti"
+    with passing_steps(block.sparkSession) as cut:
+        open_pairs = cut(pairs)
+        kept = block
+        while not open_pairs.isEmpty():
+            waiting = open_pairs.select(F.col("later").alias("earlier"))
+            free = open_pairs.select("earlier").join(waiting, "earlier", "left_anti").distinct()
+            dropped = cut(open_pairs.join(free, "earlier", "left_semi").select("later").distinct())
+            kept = kept.join(dropped, kept["pos"] == dropped["later"], "left_anti")
+            open_pairs = cut(
+                open_pairs.join(dropped, "later", "left_anti").join(
+                    dropped.select(F.col("later").alias("earlier")), "earlier", "left_anti"
+                )
             )
-        )
-    return cut_lineage(kept)
+        return cut_lineage(kept)
 
 
 def dedup_fuzzy(df: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -227,19 +230,24 @@ def dedup_fuzzy(df: DataFrame, threshold: float = 0.85) -> DataFrame:
         return firsts.drop("_sig")
     # Numbers rise with the range-sorted rows; written at once, they stay as they are.
     sorted_sigs = firsts.select(F.col("_sig").alias("sig"), *order).orderBy(*order, "sig")
-    sigs = cut_lineage(sorted_sigs.select(F.monotonically_increasing_id().alias("pos"), "sig"))
-    undecided = cut_lineage(_features(_spread(sigs, sigs.count()), threshold))
     kept, size = None, FIRST_BLOCK
-    while (total := undecided.count()) > 0:
-        block, cut, size = _next_block(undecided, total, size)
-        winners = _resolve(block, _similar_pairs(block, block, threshold))
-        kept = winners.select("sig") if kept is None else kept.union(winners.select("sig"))
-        if cut is None:
-            break
-        rest = undecided.where(F.col("pos") > cut)
-        losers = _similar_pairs(rest, winners, threshold, any_match=True).select(F.col("later").alias("pos")).distinct()
-        undecided = cut_lineage(_spread(rest.join(losers, "pos", "left_anti"), total))
-        size *= BLOCK_GROWTH
+    # The rows still undecided; their table goes when the next one is written.
+    with ExitStack() as table:
+        with passing_steps(df.sparkSession) as step:
+            sigs = step(sorted_sigs.select(F.monotonically_increasing_id().alias("pos"), "sig"))
+            undecided = table.enter_context(passing_steps(df.sparkSession))(_features(_spread(sigs, sigs.count()), threshold, step))
+        while (total := undecided.count()) > 0:
+            block, cut, size = _next_block(undecided, total, size)
+            winners = _resolve(block, _similar_pairs(block, block, threshold))
+            kept = winners.select("sig") if kept is None else kept.union(winners.select("sig"))
+            if cut is None:
+                break
+            rest = undecided.where(F.col("pos") > cut)
+            losers = _similar_pairs(rest, winners, threshold, any_match=True).select(F.col("later").alias("pos")).distinct()
+            before = table.pop_all()
+            with before:
+                undecided = table.enter_context(passing_steps(df.sparkSession))(_spread(rest.join(losers, "pos", "left_anti"), total))
+            size *= BLOCK_GROWTH
     if kept is None:
         return df
     return firsts.join(kept.withColumnRenamed("sig", "_sig"), "_sig", "left_semi").drop("_sig")

@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 
 
+# Temporary folders of local sessions that name none.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; a temporary one only on a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -16,9 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    folder = tempfile.mkdtemp(prefix="postmill-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    name = spark.sparkContext.applicationId
+    if name not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[name] = tempfile.mkdtemp(prefix="postmill-")
+    return _LOCAL_FOLDERS[name]
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
@@ -40,6 +47,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The plan is computed once, a lost executor costs only its own task, and the
     files give the next join real sizes to choose its strategy by.
     """
-    path = staging_path(df.sparkSession, "step")
+    return _written(df, staging_path(df.sparkSession, "step"))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def passing_steps(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """``cut_lineage`` for tables that only the steps of this block read: its end deletes them.
+
+    What goes on from there has to be written, by ``cut_lineage`` itself, before the block ends.
+    """
+    paths: list[str] = []
+
+    def cut(df: DataFrame) -> DataFrame:
+        paths.append(staging_path(spark, "step"))
+        return _written(df, paths[-1])
+
+    try:
+        yield cut
+    finally:
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postmill.checks import derived
-from postmill.operators import dedup, enrich, filters, fuzzy, matching, summary
+from postmill.operators import dedup, enrich, filters, fuzzy, lineage, matching, summary
 from postmill.operators.model import canonicalise, quarantine, valid
 from postmill.operators.normalise import export_projection, normalise_postings
 from postmill.plans import reports
@@ -338,3 +338,27 @@ def test_pages_are_filtered_before_they_are_shuffled(spark, tmp_path):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") < plan.index("LeftSemi")  # below the choice of one text per url
     assert out.count() == 1
+
+
+def test_fuzzy_dedup_leaves_no_passing_steps(spark, tmp_path, monkeypatch):
+    """After a run one table of kept rows for each block is there, and the result still reads."""
+    resolved = []
+    inner = fuzzy._resolve
+    monkeypatch.setattr(fuzzy, "_resolve", lambda block, pairs: resolved.append(1) or inner(block, pairs))
+    monkeypatch.setattr(fuzzy, "FIRST_BLOCK", 8)
+    monkeypatch.setattr(lineage, "shared_folder", lambda _: str(tmp_path))
+    rows = [(i, f"{i * 7919} clerk {i * i}", "Moss") for i in range(40)] + [(40, "0 clerk 0.", "Moss")]
+    found = fuzzy.dedup_fuzzy(posts(spark, rows, "ord long, title string, company string"), 0.9)
+    assert len(resolved) > 1
+    assert len(list(tmp_path.iterdir())) == len(resolved)
+    assert sorted(r["ord"] for r in found.collect()) == _greedy(rows, 0.9)
+
+
+def test_a_local_session_without_a_folder_gets_one(spark):
+    class Session:
+        sparkContext = spark.sparkContext
+
+        class conf:
+            get = staticmethod(lambda name, default=None: default)
+
+    assert lineage.shared_folder(Session) == lineage.shared_folder(Session)
