@@ -109,36 +109,30 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def _has_large_file(spark: SparkSession, path: str) -> bool:
-    """Is there a file that Spark would read in several splits? Told by file metadata alone."""
-    largest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
-    return (largest or 0) > spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-
-
-def _read(spark: SparkSession, path: str, ddl: str) -> DataFrame:
-    """Files of one split's size are a task each; larger ones are cut at splits, with the same rows."""
+def _read(spark: SparkSession, path: str, ddl: str, by_split: bool) -> DataFrame:
+    """A task reads a whole file; with ``by_split`` many tasks read it, for more shuffling and the same rows."""
     if not _exists(spark, path):
         return spark.createDataFrame([], ddl)
-    if _has_large_file(spark, path):
+    if by_split:
         return read_csv_records(spark, path, ddl, READ_OPTIONS)
     return spark.read.schema(ddl).options(**READ_OPTIONS).csv(path)
 
 
-def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
+def read_csv_text(spark: SparkSession, path: str, by_split: bool = False) -> DataFrame:
     """Exports below a path or glob as text, blanks as ``""``; a missing one reads as empty."""
-    return _read(spark, path, EXPORT_DDL).fillna("")
+    return _read(spark, path, EXPORT_DDL, by_split).fillna("")
 
 
-def read_csv_typed(spark: SparkSession, path: str, infer: bool = False) -> DataFrame:
+def read_csv_typed(spark: SparkSession, path: str, infer: bool = False, by_split: bool = False) -> DataFrame:
     """An export with typed columns: declared ones, or inferred on request."""
     if infer and _exists(spark, path):
         return spark.read.options(**READ_OPTIONS, inferSchema=True).csv(path)
-    return _read(spark, path, EXPORT_TYPED_DDL)
+    return _read(spark, path, EXPORT_TYPED_DDL, by_split)
 
 
-def read_csv_glob(spark: SparkSession, pattern: str) -> DataFrame:
+def read_csv_glob(spark: SparkSession, pattern: str, by_split: bool = False) -> DataFrame:
     """All exports whose path matches ``pattern``, under the one declared schema."""
-    return read_csv_text(spark, pattern)
+    return read_csv_text(spark, pattern, by_split)
 
 
 def list_exports(spark: SparkSession, folder: str) -> DataFrame:

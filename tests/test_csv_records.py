@@ -72,19 +72,19 @@ def test_quotes_inside_plain_fields_and_blank_lines(spark, tmp_path, small_split
     assert rows_of(csv_records.read_csv_records(spark, path, EXPORT_DDL, exports.READ_OPTIONS)) == rows_of(whole_files(spark, path))
 
 
-def test_exports_choose_by_file_size(spark, tmp_path, small_splits):
-    """Small files stay whole, large ones are cut; typed and untyped reading agree with the whole-file reader."""
+def test_exports_are_read_by_split_on_request(spark, tmp_path, small_splits):
+    """Both ways of reading agree, typed and untyped."""
     rng = random.Random(5)
     (tmp_path / "large").mkdir()
     (tmp_path / "large" / "part-0.csv").write_text(sheet(rng, 60))
     (tmp_path / "small").mkdir()
     (tmp_path / "small" / "part-0.csv").write_text("h" + "," * (WIDTH - 1) + "\n" + "one" + "," * (WIDTH - 1))
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
-    for name, cut in (("large", True), ("small", False)):
+    for name, cut in (("large", True), ("large", False), ("small", True)):
         path = str(tmp_path / name)
-        read = exports.read_csv_text(spark, path)
+        read = exports.read_csv_text(spark, path, by_split=cut)
         assert ("from_csv" in plan(read)) == cut
         assert rows_of(read) == rows_of(whole_files(spark, path).fillna(""))
-        assert rows_of(exports.read_csv_typed(spark, path)) == rows_of(whole_files(spark, path, EXPORT_TYPED_DDL))
-    both = exports.read_csv_glob(spark, str(tmp_path / "*"))
+        assert rows_of(exports.read_csv_typed(spark, path, by_split=cut)) == rows_of(whole_files(spark, path, EXPORT_TYPED_DDL))
+    both = exports.read_csv_glob(spark, str(tmp_path / "*"), by_split=True)
     assert both.count() == 61
