@@ -15,6 +15,8 @@ from postmill.schema import EXPORT_COLUMNS
 from postmill.sources import exports
 
 RUN_AT = derived.AS_OF
+# The exports repeat whole descriptions: as plain text they take many times the disk of the tables.
+PACKED = {"compression": "gzip"}
 CANON_EXPORT = (
     "title, company, location, description, coalesce(salary, salary_raw, '') AS salary, coalesce(experience_raw, '') AS experience_raw,"
     " '' AS max_experience_required, url, coalesce(posted_date, '') AS posted_date, job_type, source, scraped_at"
@@ -29,7 +31,7 @@ def _postings(spark, sf):
 
 def _written(spark, rows, name, **options):
     path = staging_path(spark, name) + ".csv"
-    exports.write_csv(rows, path, RUN_AT, **options)
+    exports.write_csv(rows, path, RUN_AT, **PACKED, **options)
     return path
 
 
@@ -58,7 +60,7 @@ def _two_runs(spark, sf):
     folder = staging_path(spark, "runs")
     rows = _postings(spark, sf)
     for place, part in (("pune", rows.where("k % 2 = 0")), ("noida", rows.where("k % 2 = 1"))):
-        exports.write_csv(export_projection(part), exports.run_path(folder, RUN_AT, "Data Engineer", place) + ".csv", RUN_AT)
+        exports.write_csv(export_projection(part), exports.run_path(folder, RUN_AT, "Data Engineer", place) + ".csv", RUN_AT, **PACKED)
     return folder
 
 
@@ -93,7 +95,7 @@ def write_csv_extra(spark, sf):
 def append_csv(spark, sf):
     rows = _postings(spark, sf)
     path = _written(spark, export_projection(rows), "export")
-    exports.write_csv(export_projection(rows.where("k % 3 = 0")), path, RUN_AT, append=True)
+    exports.write_csv(export_projection(rows.where("k % 3 = 0")), path, RUN_AT, append=True, **PACKED)
     return exports.read_csv_text(spark, path)
 
 

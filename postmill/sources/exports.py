@@ -65,19 +65,22 @@ def run_path(folder: str, run_at: datetime, role: str | None = None, location: s
     return f"{folder.rstrip('/')}/{name}_{stamp}"
 
 
-def write_csv(df: DataFrame, path: str, run_at: datetime, append: bool = False, keep_extra: bool = False) -> str:
+def write_csv(
+    df: DataFrame, path: str, run_at: datetime, append: bool = False, keep_extra: bool = False, compression: str = "none",
+) -> str:
     """Write an export and return its path, or ``""`` and nothing when there are no rows.
 
     The plan runs once and nothing is kept: whether there were rows is counted while they are written.
     More rows for an export that is there are written to a hidden folder inside of it, which readers
     skip, and its files are moved up when all of them are complete.
+    ``compression``, such as ``gzip``, is of the part files; readers tell it by their names, so parts may differ in it.
     """
     spark = df.sparkSession
     seen = Observation()
     rows = export_rows(df, run_at, keep_extra).observe(seen, F.count(F.lit(1)).alias("n_rows"))
     adds = append and _exists(spark, path)
     target = f"{path.rstrip('/')}/_adding-{uuid.uuid4().hex}" if adds else path
-    rows.write.mode("errorifexists").options(**WRITE_OPTIONS).csv(target)
+    rows.write.mode("errorifexists").options(**WRITE_OPTIONS, compression=compression).csv(target)
     any_rows = bool(observed(seen).get("n_rows"))
     if adds and any_rows:
         _move_parts(spark, target, path)
@@ -138,7 +141,7 @@ def read_csv_glob(spark: SparkSession, pattern: str, by_split: bool = False) ->
 def list_exports(spark: SparkSession, folder: str) -> DataFrame:
     """Names of the export runs in a folder, from file metadata alone."""
     names = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True)
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.{csv,csv.*}").option("recursiveFileLookup", True)
         .load(folder).select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("name"))
     )
     return names.distinct()
