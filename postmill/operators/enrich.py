@@ -23,10 +23,23 @@ def usable_details(details: DataFrame) -> DataFrame:
 
     Texts are no part of the order, so no text is compared or sorted by.
     """
-    texts = details.select(
-        F.lower(strip(F.col("source"))).alias("d_source"), F.col("url").alias("d_url"), strip(F.col("text")).alias("d_text")
-    ).where(F.length("d_text") >= MINIMUM_TEXT)
-    return first_per_group(texts, [F.col("d_source"), F.col("d_url")], [F.length("d_text").desc()], tie=["d_text"])
+    return _longest(_named(details))
+
+
+def _named(details: DataFrame) -> DataFrame:
+    """Keys and texts with what texts are ordered by, so that a text nobody reads afterwards is not shuffled."""
+    text = strip(F.col("text"))
+    return details.select(
+        F.lower(strip(F.col("source"))).alias("d_source"), F.col("url").alias("d_url"), text.alias("d_text"),
+        F.length(text).alias("_length"), F.xxhash64(text).alias("_hash"),
+    )
+
+
+def _longest(named: DataFrame) -> DataFrame:
+    order = [F.desc("_length"), F.col("_hash")]
+    return first_per_group(
+        named.where(F.col("_length") >= MINIMUM_TEXT), [F.col("d_source"), F.col("d_url")], order, tie=["_hash"]
+    ).drop("_length", "_hash")
 
 
 def known_sources(df: DataFrame, sources: Sequence[str] = SOURCES) -> DataFrame:
@@ -35,7 +48,13 @@ def known_sources(df: DataFrame, sources: Sequence[str] = SOURCES) -> DataFrame:
     return df.withColumn("adapter", F.when(source.isin(*sources), source))
 
 
-def enrich_details(df: DataFrame, details: DataFrame, sources: Sequence[str] = SOURCES) -> DataFrame:
+# Columns of a posting that a filled column is made of, beside itself.
+FILLED_FROM = {"salary": ("salary_raw",)}
+
+
+def enrich_details(
+    df: DataFrame, details: DataFrame, sources: Sequence[str] = SOURCES, columns: Sequence[str] | None = None
+) -> DataFrame:
     """Longer text replaces the description; other fields fill only where blank.
 
     The postings are written once, and a semi-join with their keys drops the pages that
@@ -47,7 +66,13 @@ def enrich_details(df: DataFrame, details: DataFrame, sources: Sequence[str] = S
     Postings that can have no page (unknown source, placeholder url) get a key of
     their own from their position, so they spread over all partitions instead of
     meeting in one null partition.
+
+    With ``columns`` the result has these only, and what none of them needs is neither written nor shuffled.
     """
+    result = [c for c in df.columns if columns is None or c in columns]
+    if columns is not None:
+        needed = {*result, *(c for name in result for c in FILLED_FROM.get(name, ())), "source", "url", *(order_columns(df) or ["job_id"])}
+        df = df.select(*[c for c in df.columns if c in needed])
     own_key = F.xxhash64(*(order_columns(df) or ["job_id"])).cast("string")
     has_page = F.col("adapter").isNotNull() & ~F.col("url").isin("", "#", "/")
     left = cut_lineage(known_sources(df, sources)).select(
@@ -56,9 +81,9 @@ def enrich_details(df: DataFrame, details: DataFrame, sources: Sequence[str] = S
         F.when(has_page, F.col("url")).otherwise(own_key).alias("_url"),
     )
     wanted = left.where(has_page).select(F.col("_source").alias("w_source"), F.col("_url").alias("w_url"))
-    asked_for = (F.lower(strip(F.col("source"))) == F.col("w_source")) & (F.col("url") == F.col("w_url"))
+    asked_for = (F.col("d_source") == F.col("w_source")) & (F.col("d_url") == F.col("w_url"))
     matched = left.join(
-        usable_details(details.join(wanted, asked_for, "left_semi")),
+        _longest(_named(details).join(wanted, asked_for, "left_semi")),
         (F.col("_source") == F.col("d_source")) & (F.col("_url") == F.col("d_url")),
         "left",
     )
@@ -74,4 +99,4 @@ def enrich_details(df: DataFrame, details: DataFrame, sources: Sequence[str] = S
         "salary_min": F.coalesce(F.col("salary_min"), F.nullif(F.col("d_bounds.lo"), F.lit(0))),
         "salary_max": F.coalesce(F.col("salary_max"), F.nullif(F.col("d_bounds.hi"), F.lit(0))),
     }
-    return joined.select(*[filled.get(c, F.col(c)).alias(c) for c in df.columns])
+    return joined.select(*[filled.get(c, F.col(c)).alias(c) for c in result])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,20 +42,19 @@ def normalise_postings(df: DataFrame) -> DataFrame:
     return refilled.select(*[changed.get(c, F.col(c)).alias(c) for c in df.columns])
 
 
-def export_projection(df: DataFrame, include_metadata: bool = False) -> DataFrame:
-    """The twelve text columns of an export, nulls as ``""``; metadata on request."""
+def export_projection(df: DataFrame, include_metadata: bool = False, columns: Sequence[str] = EXPORT_COLUMNS) -> DataFrame:
+    """The twelve text columns of an export, or some of them, nulls as ``""``; metadata with all of them on request."""
     def text(c):
         return F.coalesce(c.cast("string"), F.lit(""))
 
     special = {"salary": first_nonblank(F.col("salary"), F.col("salary_raw"))}
-    columns = [text(special.get(c, F.col(c))).alias(c) for c in EXPORT_COLUMNS]
+    shown = [text(special.get(c, F.col(c))).alias(c) for c in EXPORT_COLUMNS if c in columns]
     if include_metadata:
         # The years column turns back into a nullable number beside the metadata.
-        columns = [c for c, name in zip(columns, EXPORT_COLUMNS) if name != "max_experience_required"]
-        columns.insert(EXPORT_COLUMNS.index("max_experience_required"), F.col("max_experience_required"))
+        shown[EXPORT_COLUMNS.index("max_experience_required")] = F.col("max_experience_required")
         extra = {
             "tags": F.array_join("tags", ", "),
             "company_logo": text(F.col("company_logo")),
         }
-        columns += [extra.get(c, F.col(c)).alias(c) for c in METADATA_COLUMNS]
-    return df.select(*columns)
+        shown += [extra.get(c, F.col(c)).alias(c) for c in METADATA_COLUMNS]
+    return df.select(*shown)

@@ -27,6 +27,7 @@ def posting_flow(
     refilter: bool = False,
     sources: Sequence[str] = SOURCES,
     counters: Counters | None = None,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Merged raw postings to deduplicated, enriched canonical postings.
 
@@ -34,7 +35,11 @@ def posting_flow(
     then duplicates go, and only what is left is joined to the large page texts.
     The years found in a page do not remove a posting unless ``refilter`` asks for it.
     ``counters`` are filled by the run itself, which then reads its input once.
+    With ``columns`` the result has these only, and the steps carry no others than they need.
     """
+    if columns is not None and (refilter or counters is not None):
+        raise ValueError("counters and refilter look at all columns")
+
     def watched(watch: Callable[[Counters, DataFrame], DataFrame], df: DataFrame) -> DataFrame:
         return df if counters is None else watch(counters, df)
 
@@ -43,10 +48,13 @@ def posting_flow(
         postings = cap_per_source(postings, cap)
     judged = watched(watch_filter, with_drop_reason(normalise_postings(postings), ceiling))
     shortlisted = judged.where(F.col("drop_reason").isNull()).drop("drop_reason")
-    enriched = enrich_details(watched(watch_unique, dedup_exact(shortlisted)), details, sources)
+    enriched = enrich_details(watched(watch_unique, dedup_exact(shortlisted)), details, sources, columns)
     return watched(watch_result, experience_ceiling(enriched, ceiling) if refilter else enriched)
 
 
-def export_flow(raw: DataFrame, details: DataFrame, as_of: datetime, **options) -> DataFrame:
-    """The flow with the twelve export columns."""
-    return export_projection(posting_flow(raw, details, as_of, **options))
+def export_flow(raw: DataFrame, details: DataFrame, as_of: datetime, *, columns: Sequence[str] | None = None, **options) -> DataFrame:
+    """The flow with the twelve export columns, or those of them that ``columns`` names."""
+    if columns is None:
+        return export_projection(posting_flow(raw, details, as_of, **options))
+    needed = [*columns, *(["salary_raw"] if "salary" in columns else [])]
+    return export_projection(posting_flow(raw, details, as_of, columns=needed, **options), columns=columns)

@@ -10,7 +10,9 @@ from postmill.checks import derived
 from postmill.functions import text
 from postmill.functions.html import element, spaced_text
 from postmill.operators import filters
+from postmill.plans.posting_flow import export_flow
 from postmill.sources import cards, feed
+from postmill.sources.exports import list_exports, read_csv_text, write_csv
 
 PLAIN_RUN = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 PLAIN_LIMITS = (
@@ -82,3 +84,30 @@ def test_class_tokens_are_whole_words(spark):
     nodes = spark.sql("SELECT explode(array('a', 'x a', 'a\ty', 'ab', 'b a', 'A', NULL, '')) AS cls").select(F.struct(F.lit("p").alias("tag"), "cls").alias("n"))
     hits = nodes.where(element(cls="a")(F.col("n"), F.array("n"))).select("n.cls").collect()
     assert [h.cls for h in hits] == ["a", "x a", "a\ty", "b a"]
+
+
+def _flow(spark, **options):
+    rows = [(1, 0, "naukri", "https://a.example.com/1", "T1", "C", None, "short"), (2, 0, "naukri", "https://a.example.com/2", "T2", "C", "6 LPA", "d" * 300)]
+    raw = spark.createDataFrame(rows, "ord int, source_rank int, source string, url string, title string, company string, salary_raw string, description string")
+    pages = [("Naukri", "https://a.example.com/1", "CTC: $8,000 - $15,000 per annum. " + "x " * 60), ("naukri", "https://a.example.com/1", "y" * 90)]
+    details = spark.createDataFrame(pages, "source string, url string, text string")
+    return export_flow(raw, details, derived.AS_OF, **options)
+
+
+def test_flow_carries_named_columns_only(spark):
+    whole, some = _flow(spark), _flow(spark, columns=("title", "salary"))
+    assert some.columns == ["title", "salary"]
+    assert sorted(some.collect()) == sorted(whole.select("title", "salary").collect())
+    assert "description" not in _plan(some)
+    assert "d_text" not in _flow(spark, columns=("title", "source"))._jdf.queryExecution().executedPlan().toString().split("Exchange")[0]
+
+
+def test_packed_exports_read_as_plain_ones(spark, tmp_path):
+    rows = spark.createDataFrame([("a,\n\"b\"", "C"), ("d", "")], "title string, company string")
+    plain, packed = str(tmp_path / "jobs_a_1.csv"), str(tmp_path / "jobs_b_1.csv")
+    write_csv(rows, plain, derived.AS_OF)
+    write_csv(rows, packed, derived.AS_OF, compression="gzip")
+    write_csv(rows, packed, derived.AS_OF, append=True)
+    assert all(name.name.endswith(".csv.gz") for name in (tmp_path / "jobs_b_1.csv").glob("part-*-c000.csv.gz"))
+    assert sorted(read_csv_text(spark, packed).collect()) == sorted(read_csv_text(spark, plain).collect() * 2)
+    assert sorted(r.name for r in list_exports(spark, str(tmp_path)).collect()) == ["jobs_a_1.csv", "jobs_b_1.csv"]
