@@ -2,16 +2,17 @@
 
 The library costs microseconds a word, and texts repeat their words. A text is therefore cut at ASCII white space,
 which no token of such a tokenizer crosses, and the ids of every piece are kept in a bounded
-table of the task. Words of letters only go straight to the tokenizer's merges, all others through its
-whole chain; both give what encoding the text as one gives. The library's defaults hold: a special token's
+table of the task. Words of letters only, with or without signs after them, go straight to the tokenizer's merges, all others
+through its whole chain; both give what encoding the text as one gives. The library's defaults hold: a special token's
 string in a text is that token.
 """
 
 from __future__ import annotations
 
 import os
+import string
+import struct
 import unicodedata
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +23,8 @@ from postmill.llm.words import spread, words
 KEPT = 250_000
 #: Capitals whose lower case depends on their neighbours or is longer than one character.
 ODD_CAPITALS = frozenset("Σİİ")
+#: Neither letters nor digits: after a word, a run of them is a piece of its own.
+SIGNS = string.punctuation
 
 
 def byte_letters() -> dict[int, str]:
@@ -44,30 +47,29 @@ class WordIds(dict):
         # Two generations of words: a full one becomes the old one, from which words in use come back.
         self.cores: dict[str, bytes] = {}
         self.old_cores: dict[str, bytes] = {}
-        ends = [self._whole(x) for x in (",", ".")]
-        self.signs = {",": ends[0], ".": ends[1]}
 
     def _whole(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _letters_only(self, word: str) -> bytes:
-        """Ids of one run of letters that is in normal form."""
-        low = word.lower()
-        found = self.cores.get(low)
+    def _letters_only(self, low: str) -> bytes:
+        """Ids of one run of letters that is in normal form and in lower case."""
+        found = self.old_cores.get(low)
         if found is None:
-            found = self.cores[low] = self.old_cores.get(low) or self._merged(low)
+            spelled = low if low.isascii() else "".join([self.letters[b] for b in low.encode()])
+            tokens = self.model.tokenize(spelled)
+            found = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        self.cores[low] = found
         return found
 
-    def _merged(self, low: str) -> bytes:
-        spelled = low if low.isascii() else "".join([self.letters[b] for b in low.encode()])
-        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-
     def __missing__(self, piece: str) -> bytes:
-        core, sign = (piece[:-1], piece[-1]) if piece[-1:] in self.signs else (piece, "")
+        core = piece.rstrip(SIGNS)
         if core.isalpha() and (core.isascii() or unicodedata.is_normalized("NFC", core) and ODD_CAPITALS.isdisjoint(core)):
-            found = self._letters_only(core)
-            if sign:
-                found += self.signs[sign]
+            low = core.lower()
+            found = self.cores.get(low)
+            if found is None:
+                found = self._letters_only(low)
+            if len(core) < len(piece):
+                found += self[piece[len(core):]]
         else:
             found = self._whole(piece)
         self[piece] = found
