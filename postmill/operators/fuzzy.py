@@ -13,7 +13,11 @@ the threshold, and never loses a pair that can:
   least ``3M-(|a|+|b|)-1`` character pairs, counted with repeats. Two token lists
   with that overlap share a token in their *prefix* once the tokens are put in
   one global order, rarest first. Joining on prefix tokens is therefore lossless.
-* Rows are decided in blocks by position. A block is resolved against itself, then
+* While copies dominate, rounds need no index: the first ``FIRST_BLOCK`` undecided rows are
+  decided by the rule itself, then one pass over the others drops those similar to a row
+  kept from them (``earliest.py``). Rounds go on as long as each halves the rows, so all of
+  them cost about as much as the first; what is left goes through the index below.
+* There, rows are decided in blocks by position. A block is resolved against itself, then
   everything later that is similar to a kept row of the block is removed at once.
   Dense groups of copies so meet only the few rows kept from them. The number of
   candidate pairs of a block is counted before they are produced, and the block
@@ -23,7 +27,7 @@ the threshold, and never loses a pair that can:
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from contextlib import ExitStack
 from difflib import SequenceMatcher
 
@@ -34,6 +38,7 @@ from pyspark.sql import types as T
 
 from postmill.functions.text import let
 from postmill.operators.dedup import first_per_group
+from postmill.operators.earliest import Kept, common, first_wins, masks as _masks
 from postmill.operators.lineage import cut_lineage, passing_steps
 from postmill.operators.model import order_columns
 
@@ -42,28 +47,11 @@ BLOCK_GROWTH = 8
 PAIRS_PER_ROW = 256
 FREQUENT_TOKENS = 256
 ROWS_PER_TASK = 20_000
+ROWS_AT_ONCE = 2_048
 # Above this threshold the shared character pairs give a positive bound.
 PAIR_TOKEN_LIMIT = 2 / 3
 
 
-def _masks(text: str) -> dict[str, int]:
-    """Where each character stands, as bits."""
-    out: dict[str, int] = {}
-    for i, c in enumerate(text):
-        out[c] = out.get(c, 0) | 1 << i
-    return out
-
-
-def common(masks: dict[str, int], size: int, text: str) -> int:
-    """Length of the longest common subsequence with a text of ``size``; matching blocks never cover more."""
-    full = (1 << size) - 1
-    state = full
-    for c in text:
-        hit = state & masks.get(c, 0)
-        state = (state + hit | state - hit) & full
-    return size - state.bit_count()
-
-
 @F.arrow_udf(T.BooleanType())
 def _similar(pos: pa.Array, later: pa.Array, earlier: pa.Array, threshold: pa.Array, any_match: pa.Array) -> pa.Array:
     """Does each pair reach the threshold?
@@ -220,22 +208,65 @@ def _resolve(block: DataFrame, pairs: DataFrame) -> DataFrame:
         return cut_lineage(kept)
 
 
+def _decided_first(undecided: DataFrame, threshold: float) -> DataFrame:
+    """Of the first ``FIRST_BLOCK`` rows ``(pos, sig)``, whether each is kept. One task, for their number is bounded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in pa.Table.from_batches([*batches], schema=columns).sort_by("pos").combine_chunks().to_batches():
+            sigs = rows.column("sig").to_pylist()
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(first_wins(sigs, threshold), pa.bool_())], ["pos", "sig", "kept"])
+
+    columns = pa.schema([("pos", pa.int64()), ("sig", pa.string())])
+    block = undecided.select("pos", "sig").orderBy("pos").limit(FIRST_BLOCK)
+    return block.coalesce(1).mapInArrow(run, "pos bigint, sig string, kept boolean")
+
+
+def _without_similar(rows: DataFrame, kept: list[str], threshold: float) -> DataFrame:
+    """Rows ``(pos, sig)`` similar to none of the kept texts, which all stand before them; one pass, no shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Kept(kept, threshold)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
+                yield part.filter(pa.array(~known.similar(part.column("sig").to_pylist())))
+
+    return rows.select("pos", "sig").mapInArrow(run, "pos bigint, sig string")
+
+
 def dedup_fuzzy(df: DataFrame, threshold: float = 0.85) -> DataFrame:
     """First-wins removal of postings similar to an earlier kept posting."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     order = order_columns(df)
-    firsts = first_per_group(df.withColumn("_sig", signature()), [F.col("_sig")], order)
+    signed = df.withColumn("_sig", signature())
+    tie = [c for c, kind in signed.dtypes if "map<" not in kind]
     if threshold == 1:  # only equal texts are that similar
-        return firsts.drop("_sig")
+        return first_per_group(signed, [F.col("_sig")], order, tie=tie).drop("_sig")
     # Numbers rise with the range-sorted rows; written at once, they stay as they are.
-    sorted_sigs = firsts.select(F.col("_sig").alias("sig"), *order).orderBy(*order, "sig")
-    kept, size = None, FIRST_BLOCK
+    texts = signed.groupBy(F.col("_sig").alias("sig"))
+    place = F.min(F.struct(*order)) if order else F.lit(0)
+    sorted_sigs = texts.agg(place.alias("at")).orderBy("at", "sig")
+    kept, early, size = None, [], FIRST_BLOCK
     # The rows still undecided; their table goes when the next one is written.
     with ExitStack() as table:
-        with passing_steps(df.sparkSession) as step:
-            sigs = step(sorted_sigs.select(F.monotonically_increasing_id().alias("pos"), "sig"))
-            undecided = table.enter_context(passing_steps(df.sparkSession))(_features(_spread(sigs, sigs.count()), threshold, step))
+        undecided = table.enter_context(passing_steps(df.sparkSession))(sorted_sigs.select(F.monotonically_increasing_id().alias("pos"), "sig"))
+        total = undecided.count()
+        before = 2 * total
+        while total and 2 * total <= before:
+            block = _decided_first(undecided, threshold).collect()
+            winners = [row["sig"] for row in block if row["kept"]]
+            early += winners
+            rest = _spread(undecided.where(F.col("pos") > block[-1]["pos"]), total)
+            last = table.pop_all()
+            with last:
+                undecided = table.enter_context(passing_steps(df.sparkSession))(_without_similar(rest, winners, threshold))
+            before, total = total, undecided.count()
+        if total:
+            with passing_steps(df.sparkSession) as step:
+                last = table.pop_all()
+                with last:
+                    undecided = table.enter_context(passing_steps(df.sparkSession))(_features(_spread(undecided, total), threshold, step))
         while (total := undecided.count()) > 0:
             block, cut, size = _next_block(undecided, total, size)
             winners = _resolve(block, _similar_pairs(block, block, threshold))
@@ -248,6 +279,7 @@ def dedup_fuzzy(df: DataFrame, threshold: float = 0.85) -> DataFrame:
             with before:
                 undecided = table.enter_context(passing_steps(df.sparkSession))(_spread(rest.join(losers, "pos", "left_anti"), total))
             size *= BLOCK_GROWTH
-    if kept is None:
-        return df
-    return firsts.join(kept.withColumnRenamed("sig", "_sig"), "_sig", "left_semi").drop("_sig")
+    found = df.sparkSession.createDataFrame(pa.table({"_sig": pa.array(early, pa.string())}))
+    found = found if kept is None else found.union(kept)
+    # Few rows are left by the kept texts, and only those are put in order.
+    return first_per_group(signed.join(found, "_sig", "left_semi"), [F.col("_sig")], order, tie=tie).drop("_sig")
