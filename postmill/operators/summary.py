@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from postmill.operators.enrich import RICH_TEXT
 from postmill.operators.filters import with_drop_reason
 from postmill.operators.fuzzy import dedup_fuzzy
-from postmill.operators.model import fingerprint
+from postmill.operators.lineage import cut_lineage
+from postmill.operators.model import fingerprint, order_columns
 
 
 def filter_summary(df: DataFrame) -> DataFrame:
@@ -31,9 +32,13 @@ def dedup_summary(df: DataFrame) -> DataFrame:
 
 
 def fuzzy_summary(df: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """Kept and dropped rows of the near-duplicate removal."""
-    kept = dedup_fuzzy(df, threshold).select(F.lit(1).alias("kept"))
-    return df.select(F.lit(0).alias("kept")).unionByName(kept).agg(
+    """Kept and dropped rows of the near-duplicate removal.
+
+    What it compares is written once, for the rows are read several times and may cost much to make.
+    """
+    rows = cut_lineage(df.select(*order_columns(df), "title", "company"))
+    kept = dedup_fuzzy(rows, threshold).select(F.lit(1).alias("kept"))
+    return rows.select(F.lit(0).alias("kept")).unionByName(kept).agg(
         F.count_if(F.col("kept") == 1).alias("n_unique"),
         (F.count_if(F.col("kept") == 0) - F.count_if(F.col("kept") == 1)).alias("n_duplicates"),
     )

@@ -5,7 +5,7 @@ from difflib import SequenceMatcher
 
 import pytest
 
-from postmill.operators import earliest, fuzzy
+from postmill.operators import earliest, fuzzy, summary
 
 DDL = "ord long, title string, company string"
 
@@ -68,3 +68,10 @@ def test_batches_decide_as_difflib(threshold, monkeypatch):
     assert not earliest.Kept([], threshold).similar(rows).any()
     distinct = list(dict.fromkeys(rows))
     assert [x for x, k in zip(distinct, earliest.first_wins(distinct, threshold), strict=True) if k] == _kept(distinct, threshold)
+
+
+def test_summary_makes_its_rows_once(spark):
+    df = spark.range(40).selectExpr("id AS ord", "concat('mason ', id % 4) AS title", "'Elm' AS company")
+    out = summary.fuzzy_summary(df, 0.99)
+    assert "Range" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.first().asDict() == {"n_unique": 4, "n_duplicates": 36}
