@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postmill.llm.components import components
-from postmill.llm.shared import written
+from postmill.llm.shared import settle, written
 from postmill.llm.words import mix, shingle_sets, slices
 
 REGISTERS = 128
@@ -341,16 +341,18 @@ def _grouped(docs: DataFrame, width: int, percent: int, doc_id: str, text: str,
     members = written(_members(every), "members")
     classes = written(every.join(members.select("id").distinct(), "id", "left_semi"), "candidates")
     sets = written(_full_sets(docs, classes.select("id", "doc", "digest"), width, doc_id, text), "sets")
+    settle(docs.sparkSession)
 
     hubs = members.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     near = _with_estimates(hubs, classes, least)
     best = near.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("likeness"), "a")))
     links = written(_confirmed(best.where(F.col("rank") <= HUBS), sets, percent), "links")
     parts = written(components(links), "parts")
+    settle(docs.sparkSession)
     more = _between(members, parts, classes, sets, least, percent)
     stars = parts.where("id <> component").select(F.col("id").alias("u"), F.col("component").alias("v"))
     parts = written(components(stars.unionByName(more)), "parts")
-
+    settle(docs.sparkSession)
     return drawn, every.select("digest", "id").join(parts, "id", "left").select("digest", F.coalesce("component", "id").alias("part"))
 
 

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postmill.llm.words import give_back
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder named by ``spark.checkpoint.dir``; a temporary one on a local master only."""
@@ -30,6 +32,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets the driver drop what finished steps left: collected results, broadcasts, plans.
+
+    A heap that a step has widened is not narrowed again before a full collection, and broadcasts and shuffle files of
+    earlier steps go only when their handles are collected.
+    """
+    spark._jvm.java.lang.System.gc()
+    give_back()
+
+
 #: Most ranges whose bounds the driver holds.
 MOST_RANGES = 10_000
 

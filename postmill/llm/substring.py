@@ -18,7 +18,7 @@ shorter than a window lose nothing. Extra columns pass through ``remove_repeats`
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import compress
 
 import numpy as np
@@ -91,30 +91,37 @@ def _lists(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     return first, pa.ListArray.from_arrays(pa.array(np.append(first, len(keys)), pa.int32()), pa.array(values, pa.int32()))
 
 
-def _anchor_rows(window: int, parts: int):
+def _anchors_of(part: pa.RecordBatch, window: int, parts: int) -> Piece | None:
+    """Rows of the anchors of a slice; what they are worked out from goes with the call, before the next slice."""
+    t = _Text(part.column("text"), window)
+    if not len(t.starts):
+        return None
+    key = part.column("key").to_numpy()[t.doc[t.starts]]
+    place = t.anchor_places()
+    own = t.anchor < 0
+    name = np.where(own, t.hashed(window) ^ np.uint64(1), t.symbols.name[t.anchor])
+    # One row for each occurrence of an anchor, not for each window that it serves.
+    once = own.copy()
+    used, first = np.unique(t.anchor[~own], return_index=True)
+    once[np.flatnonzero(~own)[first]] = True
+    name, key, place = name[once], key[once], place[once]
+    distinct, lead, n = np.unique(name, return_index=True, return_counts=True)
+    count = np.full(len(name), 2, np.int8)
+    count[lead] = np.minimum(n, 2)
+    # Further occurrences in this batch are repeats already: they go on under names of their own.
+    further = np.ones(len(name), bool)
+    further[lead] = False
+    name[further] = mix(name[further] + mix(key[further].view(np.uint64) + place[further].astype(np.uint64)))
+    return (name % np.uint64(parts)).astype(np.int64), [name, count, key, place.astype("<i4")]
+
+
+def _rows_of(of_slice: Callable[[pa.RecordBatch, int, int], Piece | None], window: int, parts: int):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Piece]:
         for batch in batches:
             for part in slices(batch, "text", SLICE_BYTES):
-                t = _Text(part.column("text"), window)
-                if not len(t.starts):
-                    continue
-                key = part.column("key").to_numpy()[t.doc[t.starts]]
-                place = t.anchor_places()
-                own = t.anchor < 0
-                name = np.where(own, t.hashed(window) ^ np.uint64(1), t.symbols.name[t.anchor])
-                # One row for each occurrence of an anchor, not for each window that it serves.
-                once = own.copy()
-                used, first = np.unique(t.anchor[~own], return_index=True)
-                once[np.flatnonzero(~own)[first]] = True
-                name, key, place = name[once], key[once], place[once]
-                distinct, lead, n = np.unique(name, return_index=True, return_counts=True)
-                count = np.full(len(name), 2, np.int8)
-                count[lead] = np.minimum(n, 2)
-                # Further occurrences in this batch are repeats already: they go on under names of their own.
-                further = np.ones(len(name), bool)
-                further[lead] = False
-                name[further] = mix(name[further] + mix(key[further].view(np.uint64) + place[further].astype(np.uint64)))
-                yield (name % np.uint64(parts)).astype(np.int64), [name, count, key, place.astype("<i4")]
+                if (piece := of_slice(part, window, parts)) is not None:
+                    yield piece
+                del piece
 
     return lambda batches: gathered(pieces(batches))
 
@@ -144,34 +151,30 @@ def _hit_lists(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(key[order][first]), lists], ["key", "hits"])
 
 
-def _window_rows(window: int, parts: int):
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[Piece]:
-        for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
-                t = _Text(part.column("text"), window)
-                if not len(t.starts):
-                    continue
-                lists = part.column("hits")
-                owner = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
-                hit = (owner.astype(np.int64) << 32) + lists.flatten().to_numpy()
-                shared = np.flatnonzero(np.isin((t.doc[t.starts].astype(np.int64) << 32) + t.anchor_places(), hit))
-                if not len(shared):
-                    continue
-                doc = t.doc[t.starts][shared]
-                numbers = part.column("doc_id")
-                rows = [
-                    t.hashed(window)[shared], (t.hashed(window, 1)[shared] >> np.uint64(33)).astype("<i4"),
-                    numbers.is_valid().to_numpy(zero_copy_only=False)[doc].astype(np.int8), numbers.fill_null(0).to_numpy()[doc],
-                    part.column("key").to_numpy()[doc], t.pos[shared].astype("<i4"),
-                ]
-                stays = ~_later(rows)
-                # A window that this batch holds earlier is sent under a hash of its document: it is covered whatever
-                # the others hold, and known by the odd mark.
-                name = np.where(stays, rows[0], mix(rows[4].view(np.uint64)))
-                known = np.where(stays, rows[2], rows[2] | np.int8(2))
-                yield (name % np.uint64(parts)).astype(np.int64), [rows[0], rows[1], known, *rows[3:]]
-
-    return lambda batches: gathered(pieces(batches))
+def _windows_of(part: pa.RecordBatch, window: int, parts: int) -> Piece | None:
+    """Rows of the windows of a slice whose anchors are shared."""
+    t = _Text(part.column("text"), window)
+    if not len(t.starts):
+        return None
+    lists = part.column("hits")
+    owner = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+    hit = (owner.astype(np.int64) << 32) + lists.flatten().to_numpy()
+    shared = np.flatnonzero(np.isin((t.doc[t.starts].astype(np.int64) << 32) + t.anchor_places(), hit))
+    if not len(shared):
+        return None
+    doc = t.doc[t.starts][shared]
+    numbers = part.column("doc_id")
+    rows = [
+        t.hashed(window)[shared], (t.hashed(window, 1)[shared] >> np.uint64(33)).astype("<i4"),
+        numbers.is_valid().to_numpy(zero_copy_only=False)[doc].astype(np.int8), numbers.fill_null(0).to_numpy()[doc],
+        part.column("key").to_numpy()[doc], t.pos[shared].astype("<i4"),
+    ]
+    stays = ~_later(rows)
+    # A window that this batch holds earlier is sent under a hash of its document: it is covered whatever
+    # the others hold, and known by the odd mark.
+    name = np.where(stays, rows[0], mix(rows[4].view(np.uint64)))
+    known = np.where(stays, rows[2], rows[2] | np.int8(2))
+    return (name % np.uint64(parts)).astype(np.int64), [rows[0], rows[1], known, *rows[3:]]
 
 
 def _later(columns: list[np.ndarray]) -> np.ndarray:
@@ -216,10 +219,10 @@ def _cover_lists(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
 def covers(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(key, covers)``: per document the starts of its windows that occur earlier, with the doc_id they belong to."""
     parts = parts_for(keyed)
-    drawn = keyed.mapInArrow(_anchor_rows(window, parts), BLOBS)
+    drawn = keyed.mapInArrow(_rows_of(_anchors_of, window, parts), BLOBS)
     shared = by_part(drawn, _shared_anchors(parts), ANCHOR_KINDS, BLOBS)
     hits = by_part(shared, _hit_lists, HIT_KINDS, HITS)
-    found = keyed.join(hits, "key").mapInArrow(_window_rows(window, parts), BLOBS)
+    found = keyed.join(hits, "key").mapInArrow(_rows_of(_windows_of, window, parts), BLOBS)
     later = by_part(found, _covered(parts), WINDOW_KINDS, BLOBS)
     return by_part(later, _cover_lists, COVER_KINDS, COVERS)
 

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from postmill.llm.shared import written
+from postmill.llm.shared import settle, written
 from postmill.llm.words import slices, spread, words
 
 BITS = 18
@@ -231,7 +231,7 @@ def paired(docs: DataFrame, rows: list[tuple[int, np.ndarray]]) -> np.ndarray:
 
     found = spark.range(0, min(PAIR_TASKS, many), 1, max(1, min(PAIR_TASKS, many))).mapInArrow(run, "bin bigint").distinct().toArrow()
     useful[found.column("bin").to_numpy()] = True
-    shared.unpersist()
+    shared.destroy()
     return useful
 
 
@@ -332,6 +332,7 @@ def train(
     useful = informative(rows) | paired(docs, rows)
     few = [(y, b[useful[b]]) for y, b in rows]
     del rows
+    settle(docs.sparkSession)
     return fit(few)
 
 
