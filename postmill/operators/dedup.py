@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions.text import blank_null, strip
+from postmill.operators.marks import marked, marks, numbered
 from postmill.operators.model import fingerprint, order_columns
 
 
@@ -43,6 +44,19 @@ def dedup_exact(df: DataFrame) -> DataFrame:
     return first_per_group(df, [key], order_columns(df), tie=_tie(df))
 
 
+def dedup_exact_written(df: DataFrame, cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``dedup_exact`` of postings with whole descriptions: ``cut`` writes them, what decides is shuffled without them.
+
+    The rows that stay are marked by their numbers, and the others are left out where the written rows are read.
+    Unnumbered postings are told apart by all of their columns, so they are shuffled whole.
+    """
+    if not _tie(df):
+        return dedup_exact(df)
+    written = cut(numbered(df, "_row"))
+    first = dedup_exact(written.drop("description"))
+    return marked(written, F.col("_row"), marks(first.select("_row"))).drop("_row")
+
+
 def dedup_exact_raw(df: DataFrame) -> DataFrame:
     """First raw row per fingerprint, which is always computed anew."""
     return first_per_group(df, [fingerprint(F.col("url"), F.col("title"), F.col("company"))], order_columns(df), tie=_tie(df))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.experience import with_deep_fields
-from postmill.functions.text import SEP, blank_null, first_nonblank, strip
+from postmill.functions.text import blank_null, first_nonblank, strip
 from postmill.operators.dedup import first_per_group
-from postmill.operators.lineage import cut_lineage
+from postmill.operators.lineage import cut_lineage, passing_steps
+from postmill.operators.marks import marked, marks, numbered, place, with_mark
 from postmill.operators.model import order_columns
 from postmill.schema import SOURCES
 
@@ -23,7 +24,7 @@ def usable_details(details: DataFrame) -> DataFrame:
 
     Texts are no part of the order, so no text is compared or sorted by.
     """
-    return _longest(_named(details))
+    return _longest(_named(details)).drop("_length", "_hash")
 
 
 def _named(details: DataFrame) -> DataFrame:
@@ -35,11 +36,14 @@ def _named(details: DataFrame) -> DataFrame:
     )
 
 
+# What tells which of several texts a page link takes.
+PAGE_KEYS = ("d_source", "d_url", "_length", "_hash")
+
+
 def _longest(named: DataFrame) -> DataFrame:
     order = [F.desc("_length"), F.col("_hash")]
     return first_per_group(
-        named.where(F.col("_length") >= MINIMUM_TEXT), [F.col("d_source"), F.col("d_url")], order, tie=["_hash"]
-    ).drop("_length", "_hash")
+        named.where(F.col("_length") >= MINIMUM_TEXT), [F.col("d_source"), F.col("d_url")], order, tie=["_hash"])
 
 
 def known_sources(df: DataFrame, sources: Sequence[str] = SOURCES) -> DataFrame:
@@ -50,6 +54,16 @@ def known_sources(df: DataFrame, sources: Sequence[str] = SOURCES) -> DataFrame:
 
 # Columns of a posting that a filled column is made of, beside itself.
 FILLED_FROM = {"salary": ("salary_raw",)}
+# Columns that a page text can fill.
+FILLED = ("description", "experience_raw", "max_experience_required", "salary", "salary_raw", "salary_min", "salary_max")
+
+
+def carried(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
+    """The columns of the postings that a result with ``columns`` needs, those of keys and order among them."""
+    if columns is None:
+        return df
+    needed = {*columns, *(c for name in columns for c in FILLED_FROM.get(name, ())), "source", "url", *(order_columns(df) or ["job_id"])}
+    return df.select(*[c for c in df.columns if c in needed])
 
 
 def enrich_details(
@@ -57,36 +71,42 @@ def enrich_details(
 ) -> DataFrame:
     """Longer text replaces the description; other fields fill only where blank.
 
-    The postings are written once, and a semi-join with their keys drops the pages that
-    no posting asks for. The written table has a known size: where the keys are small,
-    Spark ships them to the pages and no other text is shuffled; where they are not,
-    the one shuffle of the pages serves the semi-join, the choice of one text per url
-    and the join. Texts are parsed after the join.
+    The postings are written once. Their page keys go to the pages as bitmaps of bounded size, so pages that no
+    posting asks for are left out where they are read; the few that share a place in the bitmap go in the join.
+    What is left of the pages is written too, and which page a posting takes is found by keys and lengths alone.
+    Only then texts are shuffled: of each page taken once, and of a description only if no longer page text
+    replaces it. Postings without a page are not shuffled at all. Texts are parsed after the join.
 
-    Postings that can have no page (unknown source, placeholder url) get a key of
-    their own from their position, so they spread over all partitions instead of
-    meeting in one null partition.
+    Placeholder urls and unknown sources ask for no page.
 
     With ``columns`` the result has these only, and what none of them needs is neither written nor shuffled.
     """
     result = [c for c in df.columns if columns is None or c in columns]
-    if columns is not None:
-        needed = {*result, *(c for name in result for c in FILLED_FROM.get(name, ())), "source", "url", *(order_columns(df) or ["job_id"])}
-        df = df.select(*[c for c in df.columns if c in needed])
-    own_key = F.xxhash64(*(order_columns(df) or ["job_id"])).cast("string")
-    has_page = F.col("adapter").isNotNull() & ~F.col("url").isin("", "#", "/")
-    left = cut_lineage(known_sources(df, sources)).select(
-        "*",
-        F.when(has_page, F.col("adapter")).otherwise(F.lit(SEP)).alias("_source"),
-        F.when(has_page, F.col("url")).otherwise(own_key).alias("_url"),
-    )
-    wanted = left.where(has_page).select(F.col("_source").alias("w_source"), F.col("_url").alias("w_url"))
-    asked_for = (F.col("d_source") == F.col("w_source")) & (F.col("d_url") == F.col("w_url"))
-    matched = left.join(
-        _longest(_named(details).join(wanted, asked_for, "left_semi")),
-        (F.col("_source") == F.col("d_source")) & (F.col("_url") == F.col("d_url")),
-        "left",
-    )
+    left = cut_lineage(numbered(known_sources(carried(df, columns), sources), "_row"))
+    has_page = F.col("adapter").isNotNull() & ~F.coalesce(F.col("url"), F.lit("")).isin("", "#", "/")
+    asking = left.where(has_page)
+    asked_for = marks(asking.select(place(F.col("adapter"), F.col("url"))))
+    pages = _named(marked(details, place(F.lower(strip(F.col("source"))), F.col("url")), asked_for))
+    text = ["d_text"] if any(c in FILLED for c in result) else []
+    keys = (F.col("adapter") == F.col("d_source")) & (F.col("url") == F.col("d_url"))
+
+    with passing_steps(df.sparkSession) as cut:
+        written = cut_lineage(numbered(pages.where(F.col("_length") >= MINIMUM_TEXT).select(*PAGE_KEYS, *text), "_page"))
+        chosen = _longest(written.select(*PAGE_KEYS, "_page"))
+        own = F.length(F.coalesce(F.col("description"), F.lit(""))) if "description" in left.columns else F.lit(0)
+        decided = cut(asking.select("_row", "adapter", "url", own.alias("_own")).join(chosen, keys).select(
+            "_row", "_page", (F.col("_length") > F.col("_own")).alias("_replaced")))
+        taken, paged = marks(decided.select("_page")), marks(decided.select("_row"))
+        replaced = marks(decided.where("_replaced").select("_row"))
+
+    number = F.col("_row")
+    told = with_mark(with_mark(left, number, paged, "_paged"), number, replaced, "_replaced")
+    if "description" in left.columns:
+        told = told.withColumn("description", F.when(~F.col("_replaced"), F.col("description")))
+    alone = told.where(~F.col("_paged")).withColumn("d_text", F.lit(None).cast("string"))
+    # The marks leave one text per link; the choice stays in the plan, for it deals the texts as the join needs them.
+    texts = _longest(marked(written, F.col("_page"), taken)).select("d_source", "d_url", *text)
+    matched = alone.unionByName(told.where("_paged").join(texts, keys).drop("d_source", "d_url"), allowMissingColumns=True)
     joined = with_deep_fields(matched, "d_text")
     longer = F.length("d_text") > F.length(F.coalesce(F.col("description"), F.lit("")))
     salary_open = blank_null(F.col("salary_raw")).isNull()

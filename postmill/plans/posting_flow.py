@@ -8,9 +8,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postmill.operators.dedup import cap_per_source, dedup_exact
-from postmill.operators.enrich import enrich_details
+from postmill.operators.dedup import IDENTITY, cap_per_source, dedup_exact, dedup_exact_written
+from postmill.operators.enrich import carried, enrich_details
 from postmill.operators.filters import EXPERIENCE_CEILING, experience_ceiling, with_drop_reason
+from postmill.operators.lineage import passing_steps
 from postmill.operators.model import canonicalise, valid
 from postmill.operators.normalise import export_projection, normalise_postings
 from postmill.plans.counters import Counters, watch_filter, watch_result, watch_unique, watch_validation
@@ -48,7 +49,10 @@ def posting_flow(
         postings = cap_per_source(postings, cap)
     judged = watched(watch_filter, with_drop_reason(normalise_postings(postings), ceiling))
     shortlisted = judged.where(F.col("drop_reason").isNull()).drop("drop_reason")
-    enriched = enrich_details(watched(watch_unique, dedup_exact(shortlisted)), details, sources, columns)
+    shortlisted = carried(shortlisted, None if columns is None else [*columns, *IDENTITY])
+    with passing_steps(raw.sparkSession) as cut:
+        unique = dedup_exact_written(shortlisted, cut) if "description" in shortlisted.columns else dedup_exact(shortlisted)
+        enriched = enrich_details(watched(watch_unique, unique), details, sources, columns)
     return watched(watch_result, experience_ceiling(enriched, ceiling) if refilter else enriched)
 
 
