@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,7 +67,8 @@ def carried(df: DataFrame, columns: Sequence[str] | None) -> DataFrame:
 
 
 def enrich_details(
-    df: DataFrame, details: DataFrame, sources: Sequence[str] = SOURCES, columns: Sequence[str] | None = None
+    df: DataFrame, details: DataFrame, sources: Sequence[str] = SOURCES, columns: Sequence[str] | None = None,
+    read: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Longer text replaces the description; other fields fill only where blank.
 
@@ -80,13 +81,15 @@ def enrich_details(
     Placeholder urls and unknown sources ask for no page.
 
     With ``columns`` the result has these only, and what none of them needs is neither written nor shuffled.
+    ``read`` makes texts of ``details(source, url, ...)``, of those pages only that may be asked for.
     """
     result = [c for c in df.columns if columns is None or c in columns]
     left = cut_lineage(numbered(known_sources(carried(df, columns), sources), "_row"))
     has_page = F.col("adapter").isNotNull() & ~F.coalesce(F.col("url"), F.lit("")).isin("", "#", "/")
     asking = left.where(has_page)
     asked_for = marks(asking.select(place(F.col("adapter"), F.col("url"))))
-    pages = _named(marked(details, place(F.lower(strip(F.col("source"))), F.col("url")), asked_for))
+    found = marked(details, place(F.lower(strip(F.col("source"))), F.col("url")), asked_for)
+    pages = _named(read(found) if read else found)
     text = ["d_text"] if any(c in FILLED for c in result) else []
     keys = (F.col("adapter") == F.col("d_source")) & (F.col("url") == F.col("d_url"))
 

@@ -39,7 +39,9 @@ def details_of(pages: DataFrame) -> DataFrame:
     """Landed detail pages ``(source, url, html)`` as ``(source, url, text)``, each board by its own containers."""
     named = pages.select(F.lower(strip(F.col("source"))).alias("source"), "url", "html")
     parts = [extract_body_text(named.where(F.col("source") == board), board) for board in CONTAINERS]
-    return reduce(DataFrame.unionByName, parts).where(F.col("text") != "")
+    # A generator's columns are worked out once: a page isn't parsed again by the filters on its text.
+    once = [p.select("source", "url", F.inline(F.array(F.struct("text")))) for p in parts]
+    return reduce(DataFrame.unionByName, once).where(F.col("text") != "")
 
 
 def payload_flow(
@@ -54,5 +56,5 @@ def payload_flow(
     sources = [(s.adapter, partial(known.postings, s.adapter, s.payloads, **s.options)) for s in landed]
     raw, status = merge_isolated(spark, sources)
     counters = Counters()
-    written = write_csv(export_flow(raw, details_of(pages), as_of, counters=counters, **options), path, as_of)
+    written = write_csv(export_flow(raw, pages, as_of, counters=counters, read=details_of, **options), path, as_of)
     return Run(written, status, counters.frame(spark))

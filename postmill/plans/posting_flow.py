@@ -29,6 +29,7 @@ def posting_flow(
     sources: Sequence[str] = SOURCES,
     counters: Counters | None = None,
     columns: Sequence[str] | None = None,
+    read: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Merged raw postings to deduplicated, enriched canonical postings.
 
@@ -37,6 +38,7 @@ def posting_flow(
     The years found in a page do not remove a posting unless ``refilter`` asks for it.
     ``counters`` are filled by the run itself, which then reads its input once.
     With ``columns`` the result has these only, and the steps carry no others than they need.
+    ``read`` turns ``details(source, url, ...)`` into texts; pages that no posting asks for are left out before.
     """
     if columns is not None and (refilter or counters is not None):
         raise ValueError("counters and refilter look at all columns")
@@ -52,7 +54,7 @@ def posting_flow(
     shortlisted = carried(shortlisted, None if columns is None else [*columns, *IDENTITY])
     with passing_steps(raw.sparkSession) as cut:
         unique = dedup_exact_written(shortlisted, cut) if "description" in shortlisted.columns else dedup_exact(shortlisted)
-        enriched = enrich_details(watched(watch_unique, unique), details, sources, columns)
+        enriched = enrich_details(watched(watch_unique, unique), details, sources, columns, read)
     return watched(watch_result, experience_ceiling(enriched, ceiling) if refilter else enriched)
 
 
